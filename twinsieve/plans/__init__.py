@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("metrics",):
+for _name in ("metrics", "sources", "filters"):
     importlib.import_module(f"twinsieve.plans.{_name}")
