@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,19 +46,28 @@ def characters(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
 
 
-def grams(chars: Column, k: int) -> Column:
-    """All k-grams of a character array that has at least k elements."""
-    return F.transform(
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it inside ``body``.
+
+    A lambda of a higher-order function evaluates everything it mentions again for every element; a
+    value bound this way is a lambda variable and is computed once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def grams(t: Column, k: int) -> Column:
+    """All k-grams of a text that has at least k characters."""
+    return let(characters(t), lambda chars: F.transform(
         F.sequence(F.lit(1), F.size(chars) - F.lit(k - 1)),
         lambda i: F.concat(*[F.element_at(chars, (i + F.lit(j)).cast("int")) for j in range(k)]),
-    )
+    ))
 
 
 def shingle_set(norm: Column, k: int = 5, short_text: bool = True) -> Column:
     """Distinct k-grams. A shorter text is its own shingle, or gives none with ``short_text=False``."""
     none = F.array().cast("array<string>")
     short = F.when(F.lit(short_text) & (F.length(norm) > 0), F.array(norm)).otherwise(none)
-    return F.when(F.length(norm) < k, short).otherwise(F.array_distinct(grams(characters(norm), k)))
+    return F.when(F.length(norm) < k, short).otherwise(F.array_distinct(grams(norm, k)))
 
 
 def tail_shingles(t: Column, tail: int = 80, k: int = 5) -> Column:
@@ -106,14 +115,13 @@ def text_seed(t: Column) -> Column:
 
 def homoglyph(t: Column, share: float = 0.3) -> Column:
     """Swap a share of look-alike letters, chosen by position and by the digest of the text."""
-    seed = text_seed(t)
 
-    def swap(c: Column, i: Column) -> Column:
+    def swap(c: Column, i: Column, seed: Column) -> Column:
         low = F.lower(c)
         drawn = F.pmod(seed + i.cast("long") * F.lit(2654435761), F.lit(int(U32))) < F.lit(int(share * U32))
         return F.when(low.isin(*v.LATIN) & drawn, F.translate(low, v.LATIN, v.CYRILLIC)).otherwise(c)
 
-    return F.array_join(F.transform(characters(t), swap), "")
+    return let(text_seed(t), lambda s: F.array_join(F.transform(characters(t), lambda c, i: swap(c, i, s)), ""))
 
 
 def one_of(words: Sequence[str], index: Column) -> Column:

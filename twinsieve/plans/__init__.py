@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("metrics", "sources", "filters"):
+for _name in ("metrics", "sources", "filters", "sampling"):
     importlib.import_module(f"twinsieve.plans.{_name}")

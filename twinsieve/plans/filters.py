@@ -147,11 +147,11 @@ def text_query(key, sql_expr, column):
 text_query("norm_exact", norm_exact("text"), t.norm_exact)
 text_query("norm_neardup", norm_neardup("text"), t.norm_neardup)
 text_query("norm_squeeze", squeeze("text"), t.squeeze)
-text_query("norm_lines", strip(f"array_to_string(list_transform(string_split(text, chr(10)), x -> {squeeze('x')}), chr(10))"), t.norm_lines)
+text_query("norm_lines", strip(f"array_to_string(list_transform(string_split(text, chr(10)), lambda x: {squeeze('x')}), chr(10))"), t.norm_lines)
 text_query("encode_base64", "to_base64(encode(text))", t.base64_text)
 _ALPHA = "abcdefghijklmnopqrstuvwxyz"
 text_query("encode_rot13", f"translate(text, '{_ALPHA + _ALPHA.upper()}', '{_ALPHA[13:] + _ALPHA[:13] + (_ALPHA[13:] + _ALPHA[:13]).upper()}')", t.rot13)
-HOMOGLYPH_SQL = (f"""array_to_string(list_transform(string_split(text, ''), (x, i) -> case when lower(x) in ('a','e','o','c','p','x')
+HOMOGLYPH_SQL = (f"""array_to_string(list_transform(string_split(text, ''), lambda x, i: case when lower(x) in ('a','e','o','c','p','x')
    and (('0x' || substr(md5(text),1,8))::bigint + (i-1)*2654435761) % 4294967296 < {int(0.3 * 4294967296)} then translate(lower(x), '{v.LATIN}', '{v.CYRILLIC}') else x end), '')""")
 text_query("encode_homoglyph", HOMOGLYPH_SQL, t.homoglyph)
 

@@ -177,7 +177,7 @@ def sink_split_removed(spark, d):
 
 @query("sink_manifest", """with s as (select source, count(*) n from documents group by 1)
   select count(*)::bigint as n_total, count(*) filter (lang='en')::bigint as n_en, count(*) filter (length(text)>=1000)::bigint as n_long, max(length(text))::bigint as len_max,
-  sum(length(text))::bigint as chars, (select string_agg(source || '=' || n, ';' order by source) from s) as by_source, 3131::bigint as seed from documents""")
+  sum(length(text))::bigint as chars, (select string_agg(source || '=' || n, ';' order by source || '=' || n) from s) as by_source, 3131::bigint as seed from documents""")
 def sink_manifest(spark, d):
     n = F.length("text").cast("long")
     per = table(spark, d, "documents").groupBy("source").agg(

@@ -45,7 +45,7 @@ def norm_neardup(x: str) -> str:
 def shingles(x: str, k: int = 5, short_text: bool = True) -> str:
     short = f"case when length({x})>0 then [{x}] else [] end" if short_text else "[]"
     return (f"case when length({x})<{k} then {short} else "
-            f"list_distinct(list_transform(range(1, length({x})-{k - 2}), i -> substr({x}, i, {k}))) end")
+            f"list_distinct(list_transform(range(1, length({x})-{k - 2}), lambda i: substr({x}, i, {k}))) end")
 
 
 def planted_cte() -> str:
