@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("metrics", "sources", "filters", "sampling"):
+for _name in ("metrics", "sources", "filters", "sampling", "cascade"):
     importlib.import_module(f"twinsieve.plans.{_name}")

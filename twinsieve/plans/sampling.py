@@ -159,10 +159,10 @@ def arms_ctes():
     rl = "[" + ", ".join("[" + ", ".join(q(w) for w in v.REWORDS[g]) + "]" for g in v.GOALS) + "]"
     swap = "substr(b,1,length(b)-length(pc)) || {new} || substr(text,length(b)+1)"
     return planted_cte() + f""", x as (select doc_id, text, {SUFFIX_SQL} as pc, {rstrip('text')} as b from planted),
-  y as (select *, (row_number() over (partition by pc order by doc_id))%3 as vi, list_position({gl}, pc) as at from x),
+  y as (select *, (row_number() over (partition by pc order by doc_id))%3 as vi, list_position({gl}, pc) as ps from x),
   arms as (select doc_id, pc as payload_class, 'A_original' as arm, -1::bigint as variant, text from y
-   union all select doc_id, pc, 'B_reword', vi, {swap.format(new=f"({rl})[at][vi+1]")} from y
-   union all select doc_id, pc, 'C_seen_swap', (at % {len(v.GOALS)})::bigint, {swap.format(new=f"({gl})[at % {len(v.GOALS)} + 1]")} from y)"""
+   union all select doc_id, pc, 'B_reword', vi, {swap.format(new=f"({rl})[ps][vi+1]")} from y
+   union all select doc_id, pc, 'C_seen_swap', (ps % {len(v.GOALS)})::bigint, {swap.format(new=f"({gl})[ps % {len(v.GOALS)} + 1]")} from y)"""
 
 
 @query("reword_arms", "with " + arms_ctes() + " select doc_id, payload_class, arm, variant, text from arms")
