@@ -14,11 +14,14 @@ from twinsieve.functions.scores import injection_nll, sigmoid
 
 
 def nll(df: DataFrame, temperatures: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Mean loss at several temperatures in one pass: one row per (keys, T)."""
-    z, y = F.col("z"), F.col("label")
-    wide = df.groupBy(*keys).agg(*[F.avg(injection_nll(z, y, float(t))).alias(f"_{i}") for i, t in enumerate(temperatures)])
-    long = F.array(*[F.struct(F.lit(float(t)).alias("T"), F.col(f"_{i}").alias("nll")) for i, t in enumerate(temperatures)])
-    return wide.select(*keys, F.explode(long).alias("x")).select(*keys, "x.*")
+    """Mean loss at several temperatures in one pass: one row per (keys, T).
+
+    The temperatures are data, not part of the generated code, so that every round of a search runs
+    the same compiled plan.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in temperatures])
+    rows = df.select(*keys, "z", "label", F.explode(grid).alias("T"))
+    return rows.groupBy(*keys, "T").agg(F.avg(injection_nll(F.col("z"), F.col("label"), F.col("T"))).alias("nll"))
 
 
 def fit_temperature(df: DataFrame, bounds: tuple[float, float] = (1e-2, 1e2), points: int = 33, rounds: int = 5) -> float:

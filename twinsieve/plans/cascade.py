@@ -377,7 +377,7 @@ def apply_temperature(spark, d):
 def report_sql(src, split, variant, t):
     terms = " + ".join(f"(case when c >= {i / 10!r}e0 then 1 else 0 end)" for i in range(1, 10))
     return f"""select '{split}' as split, '{variant}' as variant, round({t},2) as T, (select round(sum(n*abs(mc-ob))/sum(n),2) from (select {terms} as bin, avg(c) mc, avg(label) ob, count(*) n from
-   (select label, 1e0/(1e0+exp(z/({t}))) as c from {src}) group by 1)) as ece, (select round(avg({NLL.format(t='(' + t + ')')}),3) from {src}) as nll, (select round(auroc,6) from au_res where k='{split}') as auroc"""
+   (select label, 1e0/(1e0+exp(z/({t}))) as c from {src}) group by 1)) as ece, (select round(avg({NLL.format(t='(' + t + ')')}),3) from {src}) as nll, (select round(auroc,4) from au_res where k='{split}') as auroc"""
 
 
 @query("calibration_report", with_(SCORED, GAPS, "cg as (select * from gaps where split='cal')", "vg as (select * from gaps where split='val')", "eg as (select * from gaps where split='eval')", "sg as (select *, -z as s from gaps)",
@@ -398,7 +398,7 @@ def calibration_report(spark, d):
     # The area does not depend on T, so it is taken once per split.
     a = m.auroc(g.withColumn("s", -F.col("z")), "s", ["split"])
     out = loss.join(e, ["split", "variant"]).join(a, "split")
-    return out.select("split", "variant", F.round("T", 2).alias("T"), F.round("ece", 2).alias("ece"), F.round("nll", 3).alias("nll"), F.round("auroc", 6).alias("auroc"))
+    return out.select("split", "variant", F.round("T", 2).alias("T"), F.round("ece", 2).alias("ece"), F.round("nll", 3).alias("nll"), F.round("auroc", 4).alias("auroc"))
 
 
 @query("isotonic")

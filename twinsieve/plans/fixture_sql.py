@@ -26,7 +26,7 @@ SAMPLES = f"""samples as (select case when event_id%2=0 then 'nf4' else 'bf16' e
   case when {_MODEL}=2 then 'stage2' else 'stage1' end as role,
   {_TARGET}::bigint as target_tokens,
   (case when {_TARGET}=64 and {_MODEL}=2 then 83 when {_TARGET}=64 then 86 else {_TARGET} end)::bigint as actual_tokens,
-  20e0 + (case {_MODEL} when 0 then 0.25e0 when 1 then 0.5e0 else 2e0 end)*{_TARGET} + value/16e0 as ms,
+  20e0 + (case {_MODEL} when 0 then 0.25e0 when 1 then 0.5e0 else 2e0 end)*{_TARGET} + value/17e0 as ms,
   case when event_type='error' then 1 else 0 end::bigint as label,
   event_id as idx, user_id%64 as rep_group
   from events)"""

@@ -76,3 +76,14 @@ def list_or_text(doc: Column, path: str) -> Column:
     v = F.parse_json(doc)
     lines = F.try_variant_get(v, path, "array<string>")
     return F.coalesce(F.array_join(lines, "\n"), F.try_variant_get(v, path, "string"), F.lit(""))
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write a costly intermediate once to the shared folder and read it back.
+
+    Later steps prune columns from the written table, and a lost executor costs a re-read, not a
+    recomputation.
+    """
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,7 +59,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         target.cast("long").alias("target_tokens"),
         F.when((target == 64) & (model == 2), 83).when(target == 64, 86).otherwise(target)
         .cast("long").alias("actual_tokens"),
-        (F.lit(20.0) + per_token * target + F.col("value") / F.lit(16.0)).alias("ms"),
+        (F.lit(20.0) + per_token * target + F.col("value") / F.lit(17.0)).alias("ms"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long").alias("label"),
         i.alias("idx"),
         (F.col("user_id") % 64).alias("rep_group"),
