@@ -18,6 +18,7 @@ def local_session(app: str = "twinsieve", cpus: str | None = None) -> SparkSessi
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TWINSIEVE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
