@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("metrics", "sources", "filters", "sampling", "cascade", "cost", "joins"):
+for _name in ("metrics", "sources", "filters", "sampling", "cascade", "cost", "joins", "live"):
     importlib.import_module(f"twinsieve.plans.{_name}")

@@ -73,7 +73,7 @@ def jaccard_verify(spark, d):
     near = vec.knn(*vec_sides(spark, d), 10)
     grams = gram_set()
     cands, refs = doc_sides(spark, d)
-    sets = lambda df: nd.keyed(df, "id", "text").select("id", grams("norm").alias("g"))
+    sets = lambda df: nd.normalised(df).select("id", grams("norm").alias("g"))
     return rnd(nd.verify(near.select("id", "match_id"), sets(cands), sets(refs)), "jac")
 
 
