@@ -6,7 +6,7 @@ the rows are laid out, so a lost task that is run again draws the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U32 = 4294967296.0
@@ -47,3 +47,19 @@ def poisson1(u: Column) -> Column:
     for s in steps:
         count = count + (u >= F.lit(s)).cast("long")
     return count
+
+
+MODULUS = 2147483647
+
+
+def mixed(df: DataFrame, seed: int, rep: str, key: str) -> DataFrame:
+    """Adds ``_u`` in (0, 1), a cheap whole-number mix of (seed, rep, key) for draws by the billion.
+
+    Each round is its own column: a round uses the one before twice, and nesting them would double
+    the work every time.
+    """
+    start = F.pmod(F.col(key), F.lit(MODULUS)) * 48271 + (F.col(rep) + 1) * F.lit(1103515245).cast("long") + F.lit(seed * 12345 + 1).cast("long")
+    df = df.withColumn("_x", F.pmod(start, F.lit(MODULUS).cast("long")))
+    for m, c in ((65521, 40692), (32749, 69621), (65519, 12345)):
+        df = df.withColumn("_x", F.pmod(F.col("_x") * (F.pmod(F.col("_x"), F.lit(m)) + 1) + c, F.lit(MODULUS).cast("long")))
+    return df.withColumn("_u", (F.col("_x") + F.lit(0.5)) / F.lit(float(MODULUS))).drop("_x")

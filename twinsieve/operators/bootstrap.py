@@ -12,16 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.functions.hashing import fraction, poisson1
+from twinsieve.functions.hashing import mixed, poisson1
 from twinsieve.operators.cascade import cascade_at
 from twinsieve.operators.metrics import dr_at_fpr
-from twinsieve.operators.ranks import cut_points
+from twinsieve.operators.ranks import cut_points, widened
 
 
 def replicates(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Rows with their count ``w > 0`` in each replicate ``rep``."""
-    x = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return x.withColumn("w", poisson1(fraction(seed, "rep", key))).filter("w > 0")
+    """Rows with their count ``w`` in each replicate ``rep``; a count may be 0."""
+    x = widened(df).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = mixed(x, seed, "rep", key)
+    return x.withColumn("w", poisson1(F.col("_u"))).drop("_u")
 
 
 def interval(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,9 +38,9 @@ def gap(df: DataFrame, key: str, theta: float, fpr: float = 0.01, n: int = 1000,
     """Interval of the cascade's detection rate, the second stage's, and their difference."""
     cuts = cut_points(df, "s2")
     reps = replicates(df.select(key, "label", "p1", "s2"), key, n, seed)
-    pts = cascade_at(reps, theta, fpr, ["rep"], F.col("w"), cuts).select("rep", F.col("tpr").alias("cascade_tpr"))
+    pts = cascade_at(reps, theta, fpr, ["rep"], F.col("w"), cuts, n).select("rep", F.col("tpr").alias("cascade_tpr"))
     sums = {"neg": F.when(F.col("label") == 0, F.col("w")).otherwise(0).cast("long"), "pos": F.when(F.col("label") == 1, F.col("w")).otherwise(0).cast("long")}
-    alone = dr_at_fpr(reps, "s2", (fpr,), ["rep"], sums=sums, cuts=cuts).select("rep", F.col("dr").alias("stage2_dr"))
+    alone = dr_at_fpr(reps, "s2", (fpr,), ["rep"], sums=sums, cuts=cuts, groups=n).select("rep", F.col("dr").alias("stage2_dr"))
     both = pts.join(alone, "rep").withColumn("gap", F.col("cascade_tpr") - F.col("stage2_dr"))
     out = interval(both, ["cascade_tpr", "stage2_dr", "gap"])
     verdict = F.when(F.col("gap_lo") > 0, "exceeds").when(F.col("gap_hi") < 0, "worse").otherwise("matches")

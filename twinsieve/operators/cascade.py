@@ -41,7 +41,7 @@ def _result(keys: Sequence[str]) -> list[Column]:
 
 def cascade_at(
     df: DataFrame, theta: float | Column, fpr: float = 0.01, keys: Sequence[str] = (),
-    weight: Column | None = None, cuts: Sequence[float] | None = None,
+    weight: Column | None = None, cuts: Sequence[float] | None = None, groups: int | None = None,
 ) -> DataFrame:
     """Operating point at one theta, per key group; row weights (whole counts) are optional."""
     th = F.lit(theta) if isinstance(theta, float) else theta
@@ -50,7 +50,7 @@ def cascade_at(
         "eb": _sum_if(esc & benign, weight), "ea": _sum_if(esc & attack, weight),
         "nb": _sum_if(benign, weight), "na": _sum_if(attack, weight),
     }
-    run = running(df, "s2", sums, keys, lambda: bucket_holds("eb", budget_rank(F.col("eb_all"), F.col("nb_all"), fpr)), cuts)
+    run = running(df, "s2", sums, keys, lambda: bucket_holds("eb", budget_rank(F.col("eb_all"), F.col("nb_all"), fpr)), cuts, groups)
     hit = run.filter(holds("eb", budget_rank(F.col("eb_all"), F.col("nb_all"), fpr))).select(
         *keys, F.col("s2").alias("theta2"),
         (F.col("ea_all") - F.col("ea_below") - F.col("ea")).alias("caught"),
@@ -98,7 +98,8 @@ def frontier(df: DataFrame, grid: Sequence[float], fpr: float = 0.01, keys: Sequ
     dense = dense.join(size_of, keys) if keys else dense.join(F.broadcast(size_of))
     rank = budget_rank(F.col("eb_all"), F.col("nb"), fpr)
     hit = dense.filter(bucket_holds("eb", rank)).select(*keys, BUCKET, F.col("g").alias("_g"), "eb_off", "ea_off", "ea_all", "eb_all", rank.alias("_rank"))
-    close = rows.join(hit, [*keys, BUCKET]).filter(F.col("g") <= F.col("_g"))
+    # Without keys there is at most one row per grid point.
+    close = rows.join(hit if keys else F.broadcast(hit), [*keys, BUCKET]).filter(F.col("g") <= F.col("_g"))
     merged = close.groupBy(*keys, "_g", "s2").agg(
         F.sum(eb).alias("eb"), F.sum(ea).alias("ea"), *[F.max(c).alias(c) for c in ("eb_off", "ea_off", "ea_all", "eb_all", "_rank")]
     )

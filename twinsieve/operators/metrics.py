@@ -30,6 +30,7 @@ def higher_rank(n: Column, target: Column | float) -> Column:
 def dr_at_fpr(
     df: DataFrame, score: str, targets: Sequence[float] = FPR_TARGETS, keys: Sequence[str] = (),
     label: str = "label", sums: dict[str, Column] | None = None, cuts: Sequence[float] | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Detection rate at fixed false-positive rates, one row per (keys, target).
 
@@ -44,7 +45,7 @@ def dr_at_fpr(
             cond = cond | bucket_holds("neg", higher_rank(F.col("neg_all"), t))
         return cond
 
-    at = running(df, score, sums, keys, keep, cuts)
+    at = running(df, score, sums, keys, keep, cuts, groups)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(1.0 - t).alias("share")) for i, t in enumerate(targets)])
     hit = (
         at.select("*", F.explode(wanted).alias("w"))

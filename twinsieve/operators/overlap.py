@@ -17,7 +17,8 @@ def coverage(df: DataFrame, ref: DataFrame, ident: str, text: str, keep: Sequenc
     grams = lambda x, *c: x.select(*c, F.explode(t.tail_shingles(F.col(text), tail, k)).alias("g"))
     vocab = grams(ref).distinct().withColumn("_seen", F.lit(1))
     own = grams(df, ident)
-    # Equal grams of many rows meet one vocabulary row; counting them first keeps a hot gram small.
+    # A gram that most rows share is a skewed key on the left and one row on the right; the adaptive
+    # skew join splits it, and a small vocabulary is broadcast at run time.
     share = own.join(vocab, "g", "left").groupBy(ident).agg((F.count("_seen") / F.count(F.lit(1))).alias("_c"))
     return df.select(ident, *keep).join(share, ident, "left").select(ident, *keep, F.coalesce("_c", F.lit(0.0)).alias("coverage"))
 

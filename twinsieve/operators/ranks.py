@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 MAX_BUCKETS = 4096
+MAX_BROADCAST_ROWS = 200_000  # bucket offsets are a few longs per row
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -30,13 +31,32 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, 4 * parts))
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than cores (one small file). Larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _cut_spots(value: str, n: int) -> Column:
+    # Cut points may be off by a quarter of a bucket; a finer sketch would only make the merge larger.
+    return F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], max(1000, 4 * n))
+
+
+def _as_cuts(found: list[float] | None) -> list[float]:
+    return sorted({float(x) for x in found or []})
+
+
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """At most ``buckets - 1`` increasing cut points of a column, from one sketch pass."""
-    n = buckets or bucket_count(df)
-    shares = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, max(1000, 20 * n)).alias("c")).first()
-    found = row["c"] or []
-    return sorted({float(x) for x in found})
+    return _as_cuts(df.agg(_cut_spots(value, buckets or bucket_count(df)).alias("c")).first()["c"])
+
+
+def _cuts_and_groups(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[list[float], int]:
+    """Cut points and the (estimated) number of key groups, from the same pass."""
+    n = bucket_count(df)
+    groups = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
+    row = df.agg(_cut_spots(value, n).alias("c"), groups.alias("g")).first()
+    return _as_cuts(row["c"]), int(row["g"])
 
 
 def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
@@ -60,11 +80,13 @@ def running(
     keys: Sequence[str] = (),
     keep: Callable[[], Column] | None = None,
     cuts: Sequence[float] | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value) with running sums.
 
     For each name in ``sums`` the result has ``name`` (sum at this value), ``name_below`` (sum over
     smaller values) and ``name_all`` (sum over the key group). Rows with a NULL value are left out.
+    ``groups`` is the number of key groups where the caller knows it; otherwise it is estimated.
     ``keep`` may use ``name_off`` (sum before the bucket), ``name_in`` (sum in it) and ``name_all``.
     """
     keys = list(keys)
@@ -72,7 +94,8 @@ def running(
     base = df.select(*keys, F.col(value), *[c.alias(n) for n, c in sums.items()])
     base = base.filter(F.col(value).isNotNull())
     if cuts is None:
-        cuts = cut_points(base, value)
+        cuts, seen = _cuts_and_groups(base, value, keys)
+        groups = seen if groups is None else groups
     rows = with_bucket(base, value, cuts)
     totals = rows.groupBy(*keys, BUCKET).agg(*[F.sum(n).alias(f"{n}_in") for n in names])
     ordered = _over(keys).orderBy(BUCKET)
@@ -85,11 +108,14 @@ def running(
     if keep is not None:
         offsets = offsets.filter(keep())
     offsets = offsets.drop(*[f"{n}_in" for n in names])
-    # Without keys the offsets are at most MAX_BUCKETS rows, a proven bound for a broadcast.
-    side = F.broadcast(offsets) if not keys else offsets
+    # Offsets are at most groups x buckets rows. They are broadcast when that product is known to be
+    # small; with more groups the same joins run as shuffles.
+    few = not keys or (groups is not None and groups * (len(cuts) + 1) <= MAX_BROADCAST_ROWS)
+    small = F.broadcast if few else (lambda x: x)
+    side = small(offsets)
     on = [*keys, BUCKET]
     if keep is not None:
-        rows = rows.join(F.broadcast(offsets.select(*on)) if not keys else offsets.select(*on), on, "left_semi")
+        rows = rows.join(small(offsets.select(*on)), on, "left_semi")
     merged = rows.groupBy(*keys, BUCKET, value).agg(*[F.sum(n).alias(n) for n in names])
     inside = Window.partitionBy(*keys, BUCKET).orderBy(value)
     out = merged.join(side, on)

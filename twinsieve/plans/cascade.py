@@ -10,7 +10,7 @@ from twinsieve.operators import calibrate as cal
 from twinsieve.operators import cascade as k
 from twinsieve.operators import metrics as m
 from twinsieve.operators.ranks import quantiles
-from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, fraction, with_
+from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, with_
 from twinsieve.plans.metrics import GROUPED, SUS, bins_cte, channel_vs_benign, rnd, suspicious
 from twinsieve.plans.registry import query
 from twinsieve.sources.tables import samples, scored
@@ -111,8 +111,12 @@ POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def boot_ctes(src, key, seed, n=N_BOOT):
+    """CTE ``bw``: every row once per replicate with its Poisson count ``w``."""
     w = " + ".join(f"(case when u>={p!r}e0 then 1 else 0 end)" for p in POISSON)
-    return f"""bw as (select * from (select *, {w} as w from (select s.*, r.rep, {fraction(seed, 'r.rep', f's.{key}')} as u from {src} s, (select unnest(range({n})) as rep) r)) where w>0)"""
+    mod = 2147483647
+    rounds = "".join(f"bx{i + 1} as (select * exclude (x), (x*(x%{m}+1)+{c})%{mod} as x from bx{i}), " for i, (m, c) in enumerate(((65521, 40692), (32749, 69621), (65519, 12345))))
+    return f"""bx0 as (select s.*, r.rep, ((s.{key}%{mod})*48271 + (r.rep+1)*1103515245 + {seed * 12345 + 1})%{mod} as x from {src} s, (select unnest(range({n})) as rep) r), {rounds}
+  bw as (select *, {w} as w from (select * exclude (x), (x+0.5e0)/{mod}e0 as u from bx3))"""
 
 
 @query("bootstrap_gap", with_(SCORED, SUS, boot_ctes("sus", "row_id", 0)) + """, n as (select rep, sum(w*(1-label)) nb, sum(w*label) na, sum(case when label=0 and p1<0.7e0 then w else 0 end) neb from bw group by 1),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsieve.functions import money
-from twinsieve.functions.scores import ratio
-from twinsieve.operators import bootstrap as b
 from twinsieve.operators import cascade as k
 from twinsieve.operators import cost as c
 from twinsieve.operators import metrics as m
@@ -16,6 +14,7 @@ from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, wit
 from twinsieve.plans.metrics import SUS, rnd, suspicious
 from twinsieve.plans.registry import query
 from twinsieve.plans.sources import curve_points
+from twinsieve.sources.readers import stored
 from twinsieve.sources.tables import samples, scored
 
 OOD_SHARE = 0.7237
@@ -189,7 +188,6 @@ QS, QN = (0.5, 0.95, 0.99), ("median_ms", "p95_ms", "p99_ms")
 
 
 def wq_sql(src, value, share):
-    cw = "sum(c)*1e0/tot" if share is None else None
     inner = f"(select {value} as v, count(*) filter (label=0) as q, count(*) filter (label=1) as p from {src} group by 1)"
     cum = f"(select v, sum(q) over (order by v) as cq, sum(p) over (order by v) as cp, sum(q) over () as tq, sum(p) over () as tp from {inner})"
     w = "(cq+cp)*1e0/(tq+tp)" if share is None else f"(cq*1e0/tq)*{share!r}e0 + (cp*1e0/tp)*{1.0 - share!r}e0"
@@ -240,7 +238,8 @@ def err_sql(p, meas):
 
 @query("interp_error", TM + f"select 'k1' as stage, {err_sql('k1', 'm1')} from tp union all select 'k2', {err_sql('k2', 'm2')} from tp")
 def interp_error(spark, d):
-    x = timed_priced(spark, d)
+    # Written once: every quantile below reads it again.
+    x = stored(timed_priced(spark, d).select("k1", "k2", "m1", "m2"), "timed")
     a = c.interp_error(x, "k1", "m1").withColumn("stage", F.lit("k1")).unionByName(c.interp_error(x, "k2", "m2").withColumn("stage", F.lit("k2")))
     return rnd(a.select("stage", *ERR), *ERR)
 
