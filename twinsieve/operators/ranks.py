@@ -31,10 +31,17 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, 4 * parts))
 
 
+SMALL_SPLIT = 16 << 20
+
+
 def widened(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than cores (one small file). Larger inputs are left alone."""
+    """Spread an input too small to have a split per core, for work that is heavy per row.
+
+    The decision is made on the optimizer's size estimate; larger inputs are never moved.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
 
 
 def _cut_spots(value: str, n: int) -> Column:

@@ -9,6 +9,7 @@ from twinsieve.functions import text as t
 from twinsieve.functions import vocab as v
 from twinsieve.functions.hashing import pick
 from twinsieve.operators import corpus as c
+from twinsieve.operators.ranks import widened
 from twinsieve.plans.fixture_sql import CORPUS, SCORED, u32, with_
 from twinsieve.plans.registry import query
 from twinsieve.plans.text_sql import (choose, norm_exact, norm_neardup, planted_cte, q, rstrip, shingles, squeeze, strip, words)
@@ -139,7 +140,7 @@ def integrity_checks(spark, d):
 def text_query(key, sql_expr, column):
     @query(key, f"select doc_id, {sql_expr} as text from documents")
     def run(spark, d):
-        return docs(spark, d).select("doc_id", column(F.col("text")).alias("text"))
+        return widened(docs(spark, d).select("doc_id", "text")).select("doc_id", column(F.col("text")).alias("text"))
 
     return run
 
@@ -163,7 +164,7 @@ def digest(col):
 
 @query("shingle_set", f"with n as (select doc_id, {norm_neardup('text')} as x from documents), s as (select doc_id, {shingles('x')} as g from n) select doc_id, len(g)::bigint as n, md5(array_to_string(list_sort(g), '|')) as digest from s")
 def shingle_set(spark, d):
-    x = docs(spark, d).select("doc_id", t.norm_neardup(F.col("text")).alias("x")).select("doc_id", t.shingle_set(F.col("x")).alias("g"))
+    x = widened(docs(spark, d).select("doc_id", "text")).select("doc_id", t.norm_neardup(F.col("text")).alias("x")).select("doc_id", t.shingle_set(F.col("x")).alias("g"))
     return x.select("doc_id", F.size("g").cast("long").alias("n"), digest(F.col("g")).alias("digest"))
 
 
@@ -181,7 +182,7 @@ VARIANTS_SQL = with_(CORPUS) + f"""select row_id, row_id as group_id, 'original'
 
 @query("variant_union", VARIANTS_SQL)
 def variant_union(spark, d):
-    x = corpus(spark, d).select("row_id", F.col("row_id").alias("group_id"), "label", "text")
+    x = widened(corpus(spark, d).select("row_id", F.col("row_id").alias("group_id"), "label", "text"))
     return c.with_variants(x, "text", F.col("label") == 1).select("row_id", "group_id", "variant", "text")
 
 
