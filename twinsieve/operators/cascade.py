@@ -233,11 +233,11 @@ def overlap_table(miss: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(m1).alias("miss1"), F.sum(m2).alias("miss2"), F.sum(m1 * m2).alias("both_miss"))
     n, a, b, k = (F.col(x) for x in ("n", "miss1", "miss2", "both_miss"))
     p1, p2 = ratio(a, n), ratio(b, n)
-    var = (a * (n - a)).cast("double") * (b * (n - b)).cast("double")
+    var = p1 * (F.lit(1.0) - p1) * p2 * (F.lit(1.0) - p2)  # rates, as products of counts would overflow
     return c.select(
         *keys, "n", (n - a - b + k).alias("both_flag"), (b - k).alias("s1_only"), (a - k).alias("s2_only"), "both_miss",
         (F.lit(1.0) - p1).alias("stage1_dr"), (F.lit(1.0) - p2).alias("stage2_dr"), ratio(k, n).alias("p_both_miss"),
         ratio(k, a).alias("p_s2_miss_given_s1_miss"), F.try_divide(ratio(k, a), p2).alias("lift"),
         F.try_divide(ratio(k, n), p1 * p2).alias("excess"),
-        F.try_divide((n * k - a * b).cast("double"), F.sqrt(var)).alias("phi"),
+        F.try_divide(ratio(k, n) - p1 * p2, F.sqrt(var)).alias("phi"),
         (F.lit(1.0) - ratio(k, n)).alias("union_dr"), ratio(a - k, a).alias("stage2_rescue"), ratio(b - k, b).alias("stage1_rescue"))

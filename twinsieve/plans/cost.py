@@ -296,9 +296,9 @@ def precision_ablation(spark, d):
     return rnd(out.withColumn("delta", F.col("reduction_bf16") - F.col("reduction_nf4")), "e_nf4", "e_bf16", "reduction_nf4", "reduction_bf16", "delta")
 
 
-@query("join_predictions_by_id", with_(SCORED) + "select 'ev-' || row_id as id, label, channel, case when row_id%4<>0 then p2 end as score, row_id%4<>0 as matched from scored")
+@query("join_predictions_by_id", with_(SCORED) + "select 'ev-' || row_id as id, label, channel, case when source<>'src0' then p2 end as score, source<>'src0' as matched from scored")
 def join_predictions_by_id(spark, d):
     s = scored(spark, d)
     ident = F.concat(F.lit("ev-"), F.col("row_id").cast("string"))
-    preds = s.filter(F.col("row_id") % 4 != 0).select(ident.alias("id"), F.col("p2").alias("score"))
+    preds = s.filter("source <> 'src0'").select(ident.alias("id"), F.col("p2").alias("score"))
     return s.select(ident.alias("id"), "label", "channel").join(preds, "id", "left").withColumn("matched", F.col("score").isNotNull())

@@ -199,13 +199,16 @@ def plant_payload(spark, d):
     return x.select("doc_id", "pos", t.plant(F.col("text"), F.col("goal"), F.col("pos")).alias("text"))
 
 
-@query("fill_slots", f"""select doc_id, {strip("'Dear {recipient},' || chr(10) || text || ' TODO: ' || " + choose(v.GOALS, 41, 'doc_id') + " || ' re <other_thing> and <injection_2>'")} as text from documents
-  where not regexp_matches(text, '\\{{[A-Za-z0-9_]+\\}}') and not contains(text, chr(92))""".replace("{recipient}", v.FILLERS["recipient"]))
+# Braces and backslashes of the documents themselves are mapped away, so that only planted tokens are filled.
+PLAIN_SQL = "translate(text, '{}' || chr(92), '()/')"
+
+
+@query("fill_slots", f"""select doc_id, {strip("'Dear " + v.FILLERS["recipient"] + ",' || chr(10) || " + PLAIN_SQL + " || ' TODO: ' || " + choose(v.GOALS, 41, 'doc_id') + " || ' re <other_thing> and <injection_2>'")} as text from documents""")
 def fill_slots(spark, d):
-    x = docs(spark, d).filter(~F.col("text").rlike(t.ANY_SLOT) & ~F.contains("text", F.lit("\\")))
-    carrier = F.concat(F.lit("Dear {recipient},\\n"), F.col("text"), F.lit(" {injection_1} re {Other_Thing} and {_injection_2}"))
+    plain = F.translate("text", "{}\\", "()/")
+    carrier = F.concat(F.lit("Dear {recipient},\\n"), plain, F.lit(" {injection_1} re {Other_Thing} and {_injection_2}"))
     payload = F.concat(F.lit("TODO: "), c.choose(v.GOALS, 41, "doc_id"))
-    return x.select("doc_id", t.fill_slots(carrier, payload).alias("text"))
+    return docs(spark, d).select("doc_id", t.fill_slots(carrier, payload).alias("text"))
 
 
 SUFFIX_SQL = f"(select arg_max(p, length(p)) from (select unnest({words(v.GOALS)}) as p) where ends_with({rstrip('text')}, p))"

@@ -188,12 +188,12 @@ def sink_manifest(spark, d):
                    F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="), F.col("n").cast("string")))), ";").alias("by_source")).withColumn("seed", F.lit(3131).cast("long"))
 
 
-@query("fingerprint", """select 'documents' as tbl, count(*)::bigint as n, sum(('0x' || substr(md5(doc_id || '|' || text || '|' || lang || '|' || source),1,8))::bigint)::bigint as digest from documents
-  union all select 'conversations', count(*)::bigint, sum(('0x' || substr(md5(conv_id || '|' || turn || '|' || role || '|' || text),1,8))::bigint)::bigint from conversations""")
+@query("fingerprint", """select 'documents' as tbl, count(*)::bigint as n, sum(('0x' || substr(md5(doc_id || '|' || text || '|' || lang || '|' || source),1,8))::bigint)::varchar as digest from documents
+  union all select 'conversations', count(*)::bigint, sum(('0x' || substr(md5(conv_id || '|' || turn || '|' || role || '|' || text),1,8))::bigint)::varchar from conversations""")
 def fingerprint(spark, d):
     def one(name, *cols):
         row = F.concat_ws("|", *[F.col(x).cast("string") for x in cols])
         part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("long")
-        return table(spark, d, name).agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("digest")).select(F.lit(name).alias("tbl"), "n", "digest")
+        return table(spark, d, name).agg(F.count(F.lit(1)).alias("n"), F.sum(part.cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(name).alias("tbl"), "n", "digest")
 
     return one("documents", "doc_id", "text", "lang", "source").unionByName(one("conversations", "conv_id", "turn", "role", "text"))
