@@ -107,8 +107,8 @@ def numbered(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
 
 def round_robin(df: DataFrame, bucket: str, key: str, seed: int, cap: int) -> DataFrame:
     """Draw one row per bucket in turn, buckets in name order, until ``cap`` rows."""
-    ranked = number_by_hash(df.withColumn("_h", order_key(seed, key)), "_h", [key], [bucket], "turn").drop("_h")
-    return ranked.filter(F.col("turn") <= cap).orderBy("turn", bucket).limit(cap)
+    ranked = number_by_hash(df.withColumn("_h", order_key(seed, key)), "_h", [key], [bucket], "turn", cap).drop("_h")
+    return ranked.orderBy("turn", bucket).limit(cap)
 
 
 def round_robin_dedup(df: DataFrame, bucket: str, text: str, key: str, seed: int, cap: int) -> DataFrame:
@@ -118,8 +118,8 @@ def round_robin_dedup(df: DataFrame, bucket: str, text: str, key: str, seed: int
     ranked = number_by_hash(unique, "_h", [key], [bucket], "_rn")
     owner = ranked.groupBy("_t").agg(F.min(F.struct("_rn", bucket, "_h", key)).alias("o"))
     owned = owner.select(F.col(f"o.{bucket}").alias(bucket), F.col("o._h").alias("_h"), F.col(f"o.{key}").alias(key))
-    turns = number_by_hash(owned, "_h", [key], [bucket], "turn").drop("_h")
-    return turns.filter(F.col("turn") <= cap).orderBy("turn", bucket).limit(cap)
+    turns = number_by_hash(owned, "_h", [key], [bucket], "turn", cap).drop("_h")
+    return turns.orderBy("turn", bucket).limit(cap)
 
 
 def length_balance(df: DataFrame, donors: DataFrame, key: str, seed: int, share: float) -> DataFrame:

@@ -192,10 +192,13 @@ def number_rows(
     bucket: Column,
     keys: Sequence[str] = (),
     name: str = "rn",
+    limit: int | None = None,
 ) -> DataFrame:
     """1-based row numbers per key group under ``order``.
 
     ``bucket`` must not decrease along ``order``; rows are only sorted inside a (keys, bucket) cell.
+    With ``limit`` only numbers up to it are wanted: cells that start beyond it are dropped before any
+    row is moved.
     """
     keys = list(keys)
     rows = df.withColumn(BUCKET, bucket)
@@ -203,20 +206,24 @@ def number_rows(
     offsets = totals.select(
         *keys, BUCKET, (F.sum("_in").over(_over(keys).orderBy(BUCKET)) - F.col("_in")).alias("_off")
     )
+    if limit is not None:
+        offsets = offsets.filter(F.col("_off") < limit)
+    # Without keys there is one row per bucket, of which there are at most MAX_BUCKETS.
     side = F.broadcast(offsets) if not keys else offsets
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    return (
+    out = (
         rows.join(side, [*keys, BUCKET])
         .withColumn(name, (F.row_number().over(inside) + F.col("_off")).cast("long"))
         .drop(BUCKET, "_off")
     )
+    return out if limit is None else out.filter(F.col(name) <= limit)
 
 
 def number_by_hash(
-    df: DataFrame, key: str, ties: Sequence[str], keys: Sequence[str] = (), name: str = "rn"
+    df: DataFrame, key: str, ties: Sequence[str], keys: Sequence[str] = (), name: str = "rn", limit: int | None = None
 ) -> DataFrame:
     """Row numbers under a column of hex digests; its first three digits are 4,096 even buckets."""
-    return number_rows(df, [F.col(key), *[F.col(t) for t in ties]], F.substring(key, 1, 3), keys, name)
+    return number_rows(df, [F.col(key), *[F.col(t) for t in ties]], F.substring(key, 1, 3), keys, name, limit)
 
 
 def number_by_value(
