@@ -21,14 +21,10 @@ OOD_SHARE = 0.7237
 CELL = ["regime", "model", "role", "target_tokens"]
 
 
-def session_curve(spark, d, session):
-    return curve_points(samples(spark, d).filter(F.col("session") == session), "regime")
-
-
 def merged_curve(spark, d):
-    """Base session with the later one laid over it; models x lengths rows, so it is pinned."""
-    out = c.overlay(session_curve(spark, d, "base"), session_curve(spark, d, "extra"), CELL)
-    return c.pinned(out)
+    """Base session with the later one laid over it. A curve has models x lengths rows, so it is pinned."""
+    pts = c.pinned(curve_points(samples(spark, d), "regime", "session"))
+    return c.overlay(pts.filter("session = 'base'"), pts.filter("session = 'extra'"), CELL)
 
 
 CURVE_CTES = """sess as (select regime, session, model, role, target_tokens, max(actual_tokens) as actual_tokens, quantile_cont(ms,0.5) as median_ms from samples group by 1,2,3,4,5),
@@ -47,7 +43,7 @@ def lookup_sql(src, model, tokens, name):
 
 @query("curve_overlay", with_(SAMPLES, CURVE_CTES) + "select regime, model, role, target_tokens, actual_tokens, round(median_ms,6) as median_ms, round(drift,6) as drift from cv")
 def curve_overlay(spark, d):
-    out = c.overlay(session_curve(spark, d, "base"), session_curve(spark, d, "extra"), CELL)
+    out = merged_curve(spark, d)
     return rnd(out.select(*CELL, "actual_tokens", "median_ms", "drift"), "median_ms", "drift")
 
 
@@ -69,9 +65,10 @@ PRICED = ["priced1 as " + lookup_sql("scored", "small-a", "n_tokens", "k1"), "pr
 PRICE_BASE = with_(SCORED, SAMPLES, CURVE_CTES, SEG_CTES, *PRICED)
 
 
-@query("interp_lookup", PRICE_BASE + "select row_id, n_tokens, round(k1,6) as k1, round(k2,6) as k2 from priced")
+@query("interp_lookup", PRICE_BASE + "select row_id, n_tokens, round(k1,4) as k1, round(k2,4) as k2 from priced")
 def interp_lookup(spark, d):
-    return rnd(priced(spark, d).select("row_id", "n_tokens", "k1", "k2"), "k1", "k2")
+    # Four digits: midpoints between two anchors sit on rounding ties further down.
+    return priced(spark, d).select("row_id", "n_tokens", F.round("k1", 4).alias("k1"), F.round("k2", 4).alias("k2"))
 
 
 NAMES = ["qwen2.5-1.5b", "llama3.2-1b", "granite-guardian-2b", "datasentinel_7b", "other"]
