@@ -129,13 +129,16 @@ def one_of(words: Sequence[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (index + F.lit(1)).cast("int"))
 
 
-def render(kind: Column, carrier: Column, link: Column, payload: Column, completion: Column) -> Column:
+def render(
+    kind: Column, carrier: Column, link: Column, payload: Column, completion: Column,
+    phrase: str = v.FIXED_PHRASE, escape: str = v.ESCAPE,
+) -> Column:
     """Four carrier/link/payload layouts: plain, fixed phrase, escape characters, made-up completion."""
     end = F.concat_ws(" ", link, payload)
     return (
         F.when(kind == 0, F.concat_ws(" ", carrier, end))
-        .when(kind == 1, F.concat_ws(" ", carrier, F.lit(v.FIXED_PHRASE), end))
-        .when(kind == 2, F.concat(carrier, F.lit(v.ESCAPE), end))
+        .when(kind == 1, F.concat_ws(" ", carrier, F.lit(phrase), end))
+        .when(kind == 2, F.concat(carrier, F.lit(escape), end))
         .otherwise(F.concat_ws(" ", carrier, completion, end))
     )
 
@@ -222,7 +225,7 @@ def occurrences(t: Column, phrase: Column) -> Column:
     return ((F.length(t) - F.length(F.replace(t, phrase, F.lit("")))) / F.length(phrase)).cast("long")
 
 
-def prompt(template: Sequence[str], t: Column) -> Column:
+def prompt(template: Sequence[str], t: Column, system: str = v.SYSTEM_PROMPT) -> Column:
     """Serialised conversation up to the place where the label word is scored."""
     so, sc, uo, uc, ao, _ = template
-    return F.concat(F.lit(so + v.SYSTEM_PROMPT + sc + uo + "Text:\n"), t, F.lit("\n\nLabel:" + uc + ao))
+    return F.concat(F.lit(so + system + sc + uo + "Text:\n"), t, F.lit("\n\nLabel:" + uc + ao))
