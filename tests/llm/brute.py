@@ -56,3 +56,18 @@ def targets(sizes, weights=(5, 2, 1), cap=3):
             left -= target[s]
             free.discard(s)
     return target
+
+
+def repeats(rows, k, cut, join):
+    """[(doc_id, symbols)] in order to [(n, removed, spans, kept)] by a set of all windows seen so far."""
+    seen, out = set(), []
+    for _, s in rows:
+        gone = [False] * len(s)
+        for i in range(len(s) - k + 1):
+            g = cut(s[i:i + k])
+            if g in seen:
+                gone[i:i + k] = [True] * k
+            seen.add(g)
+        n_spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(s), sum(gone), n_spans, join([x for x, g in zip(s, gone) if not g])))
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
+from twinsieve.llm.repeats import repeated_bytes, repeated_words
 from twinsieve.llm.shards import contiguous_shards
 from twinsieve.sources.tables import table
 
@@ -26,6 +27,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,3 +40,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents"))
