@@ -71,3 +71,28 @@ def repeats(rows, k, cut, join):
         n_spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((len(s), sum(gone), n_spans, join([x for x, g in zip(s, gone) if not g])))
     return out
+
+
+def simhash(text):
+    import xxhash
+
+    ws = (text or "").encode().lower().split()
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(b" ".join(ws[i:i + 4]), 42) for i in range(max(1, len(ws) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def smallest_reachable(ids, linked):
+    """{id: smallest id of its component}; linked(i, j) says whether two are neighbours."""
+    todo, out = set(ids), {}
+    while todo:
+        group, front = set(), {todo.pop()}
+        while front:
+            group |= front
+            near = {j for j in todo if any(linked(i, j) for i in front)}
+            todo -= near
+            front = near
+        known = [i for i in group if i is not None]
+        out |= dict.fromkeys(group, min(known, default=None))
+    return out

@@ -11,6 +11,7 @@ from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.repeats import repeated_bytes, repeated_words
 from twinsieve.llm.shards import contiguous_shards
+from twinsieve.llm.simhash import near_duplicates
 from twinsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
