@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsieve.llm.chat import neighbours, preference_pairs
+from twinsieve.llm.decontam import contaminated
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.repeats import repeated_bytes, repeated_words
@@ -51,3 +53,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_pairs(neighbours(table(spark, sf_dir, "conversations")))
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
