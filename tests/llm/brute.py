@@ -96,3 +96,44 @@ def smallest_reachable(ids, linked):
         known = [i for i in group if i is not None]
         out |= dict.fromkeys(group, min(known, default=None))
     return out
+
+
+def url_parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = re.split(r"[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    cut = rest.find("/") if "/" in rest else len(rest)
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+
+
+def url_rule(host, path, rules):
+    fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fit, key=lambda r: len(r[1] + r[2]), default=None)
+    return (None, None) if best is None else (best[1] + best[2], "allow" if best[0] else "block")
+
+
+def secrets(text):
+    """Base spans and, by all pairs, the weak spans next to their complements."""
+    t = text or ""
+    val = r"[A-Za-z0-9+/_.=-]+"
+    assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?(" + val + ")")
+    spans = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+    spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    ids = re.compile(r"(?i:user(?:name)?|login|client_?id|account_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}")
+    ends = re.compile(r"(?:https?|wss?|ftp|s3|amqps?|rediss?|jdbc:[a-z]+|mysql|postgres(?:ql)?|mongodb)://[^\x20\x09-\x0D\"'<>]+")
+    weak = [("weak_id", m.start(), m.end()) for m in ids.finditer(t)] + [("weak_endpoint", m.start(), m.end()) for m in ends.finditer(t)]
+    weak += [("weak_secret", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t) if all(re.search(p, m[0]) for p in ("[0-9]", "[A-Z]", "[a-z]"))]
+    roles = {"id": ("access", "weak_id"), "secret": ("assign", "hex", "weak_secret")}
+    everything, order = spans + weak, ["assign", "access", "hex", "weak_id", "weak_endpoint", "weak_secret"]
+
+    def near(s, role):
+        return any(o is not s and o[0] in roles[role] and o[1] - s[2] <= 300 and s[1] - o[2] <= 300 for o in everything)
+
+    def blocked(s):
+        return any(o[1] < s[2] and s[1] < o[2] and order.index(o[0]) < max(3, order.index(s[0])) for o in everything if o is not s)
+
+    needs = {"weak_id": ("secret",), "weak_endpoint": ("id", "secret"), "weak_secret": ("id",)}
+    kept = [s for s in weak if all(near(s, r) for r in needs[s[0]]) and not blocked(s)]
+    text_of = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(xs, key=lambda s: (s[1], order.index(s[0]))))
+    return text_of(spans), text_of(spans + kept), Counter(s[0] for s in spans)

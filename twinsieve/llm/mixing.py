@@ -34,7 +34,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits: int = 10, levels: int = 3) -> DataFrame:
+def _sized(docs: DataFrame, hash_bits: int, carry: str | None = None) -> DataFrame:
+    t = text_of()
+    copy_hash = F.shiftrightunsigned(F.xxhash64("doc_id", t), 64 - hash_bits)
+    return docs.select("doc_id", "source", word_count(t).alias("size"), copy_hash.alias("copy_hash"), *([F.col(carry).alias("_carry")] if carry else []))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits: int = 10, levels: int = 3, carry: str | None = None) -> DataFrame:
     """How many words a mix takes of every document, repeats counted.
 
     A source whose target is k times its size and a bit more gives every document k times and some of them
@@ -46,14 +52,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits:
 
     Returns ``doc_id, source, size, source_size, target, taken, times, copy_hash``. A null text has no words. A
     null source is a source of its own, after all others. Rows with one id and one text share a hash and are
-    taken together. An empty table gives an empty result; other columns are ignored.
+    taken together. An empty table gives an empty result; other columns are ignored, but for one named in ``carry``.
     """
     total_bits = bits * levels
-    t = text_of()
-    rows = stored(docs.select(
-        "doc_id", "source", word_count(t).alias("size"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", t), 64 - total_bits).alias("copy_hash"),
-    ), "mix")
+    rows = stored(_sized(docs, total_bits), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = source_targets(sizes, weights, cap).withColumn("times", times).select(
@@ -79,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits:
         ), "mix-state")
     below = F.col("cell") + F.when(F.col("words") < 2 * F.col("left"), 1).otherwise(0)
     limits = stored(state.select("source", "source_size", "target", "times", below.alias("_below")), "mix-state")
-    out = lookup(rows, limits, ["source"], F.col("copy_hash"))
+    out = lookup(_sized(docs, total_bits, carry) if carry else rows, limits, ["source"], F.col("copy_hash"))
     taken = F.col("times") + F.when(F.col("copy_hash") < F.col("_below"), 1).otherwise(0)
     return out.withColumn("times", taken).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "copy_hash")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "copy_hash",
+        *([F.col("_carry").alias(carry)] if carry else []))

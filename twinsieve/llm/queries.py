@@ -12,8 +12,10 @@ from twinsieve.llm.decontam import contaminated
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.repeats import repeated_bytes, repeated_words
+from twinsieve.llm.secrets import scan_secrets
 from twinsieve.llm.shards import contiguous_shards
 from twinsieve.llm.simhash import near_duplicates
+from twinsieve.llm.urls import judge_urls
 from twinsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,11 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
+@_query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = contiguous_shards(table(spark, sf_dir, "documents"), 16)
@@ -35,6 +42,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
