@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm.common import stored
+from twinsieve.llm.decontam import clean_documents
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.shards import contiguous_shards
+from twinsieve.llm.simhash import near_duplicates
 from twinsieve.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,13 +32,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(whole_rows(docs), carry="row").filter("kept").select("row.*")
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; rows without an id stay.
+
+    Several rows with the id that stays are ordered by text, and the first is taken.
+    """
+    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = whole_rows(docs)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    named = rows.join(stay, "doc_id", "left_semi").withColumn("nth", first).filter("nth = 1")
+    return named.select("row.*").unionByName(rows.filter(F.col("doc_id").isNull()).select("row.*"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; not at all, once, or up to three times."""
+    return mix(whole_rows(docs), carry="row").filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+
+
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and their place in it; columns of these names are replaced."""
     own = [f"row.{c}" for c in docs.columns if c.lower() not in ("shard", "slot")]
     return contiguous_shards(whole_rows(docs), carry="row").select(*own, "shard", "slot")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("sharding", sharded)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near-duplicates", one_of_each_group), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded),
+]
 
 #: SimHash groups and retrieval by score are beyond plain SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
