@@ -36,7 +36,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
 
 def _sized(docs: DataFrame, hash_bits: int, carry: str | None = None) -> DataFrame:
     t = text_of()
-    copy_hash = F.shiftrightunsigned(F.xxhash64("doc_id", t), 64 - hash_bits)
+    digest = F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), t), "UTF-8"))
+    copy_hash = F.shiftright(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), 48 - hash_bits)
     return docs.select("doc_id", "source", word_count(t).alias("size"), copy_hash.alias("copy_hash"), *([F.col(carry).alias("_carry")] if carry else []))
 
 

@@ -1,5 +1,81 @@
-"""DuckDB SQL that the queries of this subpackage are compared with."""
+"""DuckDB SQL that the queries of this subpackage are compared with. It spells its patterns and rules itself."""
 
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op5_mixing"] = f"""
+with d as (select doc_id, source, len({_WORDS})::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12))::bigint >> 18 as h from documents),
+  s as (select source, sum(size)::bigint as source_size from d group by 1),
+  w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w, 3 * source_size as cap from s),
+  l as (select *, sum(source_size) over () - coalesce(sum(cap) over before, 0) as rest, sum(w) over () - coalesce(sum(w) over before, 0) as ws from w
+    window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+  m as (select *, max(case when cap > rest / ws * w then rest / ws end) over () as level from l),
+  t as (select source, source_size, least(cap::double, coalesce(level * w, cap::double))::double as target from m),
+  k as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as times from t),
+  b as (select *, target - times * source_size as budget from k),
+  c as (select source, h, sum(size) as words, sum(sum(size)) over (partition by source order by h) as run from d group by 1, 2),
+  e as (select c.source, c.h, case when run <= budget or (run - words <= budget and words < 2 * (budget - (run - words))) then 1 else 0 end as more
+    from c join b on c.source is not distinct from b.source)
+select d.doc_id, d.size, b.source_size, b.target, (d.size * (b.times + e.more))::bigint as taken
+from d join b on d.source is not distinct from b.source join e on d.source is not distinct from e.source and d.h = e.h"""
+
+ORACLES["op6_quality_rules"] = rf"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t, {_WORDS} as ws from documents),
+  g as (select r, i, array_to_string(ws[i:i+4], ' ') as g from (select r, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 5)),
+  p as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+  c as (select r, count(distinct i + j) as n from p, range(0, 5) as x(j) group by 1),
+  y as (select r, unnest(string_split(t, chr(10))) as y from d),
+  n as (select r, count(*) as n_lines, count(*) - count(distinct y) as dup from y where regexp_matches(y, '[^\x20\x09-\x0D]') group by 1),
+  m as (select d.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+      coalesce(n.dup, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(n.n_lines, 0) as n_lines,
+      len(list_filter(ws, lambda w: regexp_matches(w, '^(?i:the|of|and|to|in|de|la|le|et|les|der|die|und|das|el|los|que|en|y)(?:[.,;:!?]|$)'))) as n_stop
+    from d left join c on c.r = d.r left join n on n.r = d.r),
+  v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+      case when n_words > 0 then word_chars / n_words else 0e0 end as mean_word_chars, case when n_words > 0 then n_symbols / n_words else 0e0 end as symbol_ratio,
+      case when n_lines > 0 then n_dup_lines / n_lines else 0e0 end as dup_line_ratio, case when n_words > 0 then (n_stop + 1) / n_words else 0e0 end as stop_word_ratio from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and mean_word_chars between 2 and 14 and symbol_ratio <= 0.3 and dup_line_ratio <= 0.5 and stop_word_ratio >= 0.005 as kept,
+  mean_word_chars, symbol_ratio, dup_line_ratio, stop_word_ratio from v"""
+
+ORACLES["op7_substring_dedup"] = rf"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+  g as (select doc_id, i, array_to_string(ws[i:i+19], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d where len(ws) >= 20)),
+  l as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as n from g) where n > 1),
+  c as (select distinct doc_id, i + j as i from l, range(0, 20) as x(j)),
+  b as (select doc_id, list(i) as gone, count(*) as n, count(*) filter (before is null or before < i - 1) as n_spans
+    from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from c) group by 1),
+  w as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from d),
+  k as (select w.doc_id, string_agg(w.w, ' ' order by w.i) as kept from w left join c on c.doc_id = w.doc_id and c.i = w.i where c.i is null group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(b.n, 0)::bigint as n_removed, coalesce(b.n_spans, 0)::bigint as n_spans, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join b on b.doc_id = d.doc_id left join k on k.doc_id = d.doc_id"""
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (
+    ("assign", _ASSIGN, "len(regexp_extract(m, '" + _ASSIGN + "', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "len(m) >= 16"),
+    ("hex", "[0-9a-f]+", "len(m) >= 32"),
+    ("weak_id", r"""(?i:user(?:name)?|login|client_?id|account_?id|key_?id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}""", "true"),
+    ("weak_endpoint", r"""(?:https?|wss?|ftp|s3|amqps?|rediss?|jdbc:[a-z]+|mysql|postgres(?:ql)?|mongodb)://[^\x20\x09-\x0D"''<>]+""", "true"),
+    ("weak_secret", r"[A-Za-z0-9+/_-]{20,}", "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')"),
+)
+_PLACES = " union all ".join(
+    f"select r, {n} as k, '{name}' as kind, e - len(m) as s, e from (select r, m, sum(len(g) + len(m)) over (partition by r order by i) as e, i from "
+    f"(select r, unnest(regexp_extract_all(t, '{p}')) as m, unnest(regexp_split_to_array(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) as g, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) as i from d)) where {ok}"
+    for n, (name, p, ok) in enumerate(_KINDS))
+
+ORACLES["op4_secret_scans"] = f"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+  p as materialized ({_PLACES}),
+  x as (select a.r, a.k, a.kind, a.s, a.e,
+      coalesce(bool_or(b.k in (1, 3) and b.s - a.e <= 300 and a.s - b.e <= 300), false) as with_id, coalesce(bool_or(b.k in (0, 2, 5) and b.s - a.e <= 300 and a.s - b.e <= 300), false) as with_secret,
+      coalesce(bool_or(b.s < a.e and a.s < b.e and b.k < greatest(3, a.k)), false) as hit
+    from p a left join p b on a.r = b.r and (a.k, a.s) <> (b.k, b.s) group by 1, 2, 3, 4, 5),
+  y as (select * from x where k < 3 or (not hit and case k when 3 then with_secret when 4 then with_id and with_secret else with_id end)),
+  z as (select r, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c, count(*) filter (k > 2) as w,
+      string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base from y group by 1)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(c, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(w, 0)::bigint as n_weak from d left join z on z.r = d.r"""
