@@ -28,9 +28,9 @@ def expect(rows, words):
     return [(i, n, r, s, digest(k)) for (i, _), (n, r, s, k) in zip(rows, got)]
 
 
-def run(spark, rows, words, parts=3):
+def run(spark, rows, words, parts=3, crowd=4096):
     df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA).repartition(parts)
-    out = (repeated_words if words else repeated_bytes)(df)
+    out = (repeated_words if words else repeated_bytes)(df, crowd)
     n = "n_words" if words else "n_bytes"
     return sorted([(r.doc_id, r[n], r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()], key=lambda r: (r[0] is not None, r[0] or 0))
 
@@ -53,10 +53,11 @@ def cases():
     return [(i * 3, t) for i, t in enumerate(docs)] + [(None, passage + " null id")]
 
 
+@pytest.mark.parametrize("crowd", [4096, 3])  # 3: most buckets are split
 @pytest.mark.parametrize("words", [False, True])
-def test_against_all_windows(spark, words):
+def test_against_all_windows(spark, words, crowd):
     rows = cases()
-    assert run(spark, rows, words) == expect(rows, words)
+    assert run(spark, rows, words, crowd=crowd) == expect(rows, words)
 
 
 @pytest.mark.parametrize("words", [False, True])

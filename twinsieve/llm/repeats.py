@@ -3,8 +3,9 @@
 1. Every text is cut into runs of windows that share an anchor (``windows.py``). A run travels as one tuple: the
    hash of what follows its anchor, the hash of all it spans, document and place. A bucket holds one anchor hash;
    sorting it shows which runs stand earlier as a whole: all their windows are repeats.
-2. What is left are the first runs of each kind in buckets with several kinds: the edges of shared passages. Only
-   their windows are looked at one by one, by 128-bit hashes, sorted in the same way.
+2. What is left are the first runs of each kind in buckets with several kinds: the edges of shared passages. They
+   travel to their bucket as one packed string each, where all their windows are sorted. A bucket with very many
+   kinds is split: its windows are dealt one by one, by 128-bit hashes.
 3. The marked windows come back to their texts, which are cut.
 
 Equal tuples of one task collapse before the shuffle, so a passage that a third of the corpus holds sends one
@@ -27,6 +28,7 @@ from twinsieve.llm.common import stored, text_of
 
 TUPLES = "x long, y long, did long, tid long, pos long, n long, done boolean"
 NULL_ID = -(2**63)
+CROWD = 4096  # kinds of runs up to which a bucket is sorted in one task
 
 
 def _rows(x, y, did, tid, pos, n, done) -> pa.RecordBatch:
@@ -58,6 +60,55 @@ def _run_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+def _packed(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, did, tid, data, offsets = w.texts_of(batch)
+            offsets, pack = scheme.packer(data, offsets)
+            asked = batch.column("asked").take(pa.array(rows))
+            parts, owner = asked.flatten(), np.repeat(np.arange(len(rows)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            pos, n, x = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "n", "x"))
+            start = pos + offsets[owner]
+            for lo in range(0, len(pos), 1 << 15):
+                cut = slice(lo, lo + (1 << 15))
+                packed = [pack(a, b) for a, b in zip(start[cut].tolist(), (start[cut] + n[cut] - 1 + scheme.k).tolist())]
+                cols = [pa.array(x[cut]), pa.array(did[owner[cut]]), pa.array(tid[owner[cut]]), pa.array(pos[cut]), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "did", "tid", "pos", "packed"])
+
+    return run
+
+
+def _sorted_windows(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows of each bucket's packed strings that an earlier place of the bucket has too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            parts, bucket = members.flatten(), np.repeat(np.arange(len(members)), members.value_lengths().to_numpy(zero_copy_only=False))
+            did, tid, pos = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("did", "tid", "pos"))
+            order = np.lexsort((pos, tid, did, bucket))
+            bucket, did, tid, pos = bucket[order], did[order], tid[order], pos[order]
+            new = np.ones(len(order), bool)  # a repeated row is there once
+            new[1:] = (bucket[1:] != bucket[:-1]) | (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
+            order, bucket, did, tid, pos = order[new], bucket[new], did[new], tid[new], pos[new]
+            symbols, offsets = scheme.symbols(*w.bytes_of(parts.field("packed").take(pa.array(order))))
+            m = np.diff(offsets) - scheme.k + 1
+            # whole buckets, about CHUNK windows at a time
+            total, lo = np.concatenate([[0], np.cumsum(m)]), 0
+            while lo < len(m):
+                hi = int(np.searchsorted(total, total[lo] + (w.CHUNK >> 2), "right")) - 1
+                hi = int(np.searchsorted(bucket, bucket[min(max(hi, lo), len(m) - 1)], "right"))
+                owner = np.repeat(np.arange(lo, hi), m[lo:hi])
+                inside = np.arange(len(owner)) - (total[owner] - total[lo])
+                x, y = w.window_hashes(scheme, symbols, offsets[owner] + inside)
+                x = w.mixed(x.view(np.uint64) + bucket[owner].astype(np.uint64) * np.uint64(w.BASE))
+                again = w.later_copies(x, y)
+                o, at, n = w.spans(owner[again], (pos[owner] + inside)[again], np.ones(int(again.sum()), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (did[o], tid[o], at.astype(np.int64), n.astype(np.int64))], names=["did", "tid", "pos", "n"])
+                lo = hi
+
+    return run
+
+
 def _window_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +166,7 @@ def _first_kept(x: DataFrame) -> DataFrame:
     return x.withColumn("nth", F.rank().over(Window.partitionBy("x", "y").orderBy("did", "tid", "pos")))
 
 
-def without_repeats(docs: DataFrame, scheme: w.Scheme, cut) -> DataFrame:
+def without_repeats(docs: DataFrame, scheme: w.Scheme, cut, crowd: int = CROWD) -> DataFrame:
     """Cut every document where a window of it starts earlier. See ``repeated_bytes`` and ``repeated_words``."""
     t = text_of()
     base = docs.select(
@@ -123,16 +174,19 @@ def without_repeats(docs: DataFrame, scheme: w.Scheme, cut) -> DataFrame:
         F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tid"), F.encode(t, "UTF-8").alias("text"),
     )
     tuples = base.select("did", "tid", "text").mapInArrow(_run_tuples(scheme), TUPLES).repartition("x")
-    bucket = Window.partitionBy("x")
-    judged = _first_kept(tuples).withColumn("kinds", F.min("y").over(bucket) != F.max("y").over(bucket))
-    judged = judged.select("did", "tid", "pos", "n", (F.col("done") | (F.col("nth") > 1)).alias("repeat"), "kinds").filter("repeat or kinds")
-    found = stored(judged, "repeats")
+    kinds = F.count_if(F.col("nth") == 1).over(Window.partitionBy("x"))
+    judged = _first_kept(tuples).withColumn("kinds", kinds).withColumn("repeat", F.col("done") | (F.col("nth") > 1)).filter("repeat or kinds > 1")
+    found = stored(judged.select("did", "tid", "pos", "n", "repeat", F.when(~F.col("repeat"), F.col("x")).alias("x"), (F.col("kinds") > crowd).alias("crowded")), "repeats")
 
     dealt = base.repartition("did", "tid")
-    asked = found.filter("not repeat").groupBy("did", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("asked"))
-    edges = dealt.join(asked, ["did", "tid"]).select("did", "tid", "text", "asked").mapInArrow(_window_tuples(scheme), TUPLES)
-    edges = _first_kept(edges.repartition("x", "y")).filter(F.col("done") | (F.col("nth") > 1))
-    marks = found.filter("repeat").select("did", "tid", "pos", "n").unionByName(edges.select("did", "tid", "pos", "n"))
+    asked = lambda which, *cols: dealt.join(
+        found.filter("not repeat").filter(which).groupBy("did", "tid").agg(F.collect_list(F.struct(*cols)).alias("asked")), ["did", "tid"]).select("did", "tid", "text", "asked")
+    packed = asked("not crowded", "pos", "n", "x").mapInArrow(_packed(scheme), "x long, did long, tid long, pos long, packed binary")
+    buckets = packed.groupBy("x").agg(F.collect_list(F.struct("did", "tid", "pos", "packed")).alias("members"))  # crowd members at most
+    edges = buckets.select("members").mapInArrow(_sorted_windows(scheme), "did long, tid long, pos long, n long")
+    single = asked("crowded", "pos", "n").mapInArrow(_window_tuples(scheme), TUPLES)
+    single = _first_kept(single.repartition("x", "y")).filter(F.col("done") | (F.col("nth") > 1)).select("did", "tid", "pos", "n")
+    marks = found.filter("repeat").select("did", "tid", "pos", "n").unionByName(edges).unionByName(single)
     marks = marks.groupBy("did", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
     copy = F.row_number().over(Window.partitionBy("did", "tid").orderBy("is_null"))
     whole = dealt.join(marks, ["did", "tid"], "left").withColumn("copy", copy).select("did", "is_null", "copy", "text", "marks")
@@ -165,7 +219,7 @@ def _cut_words(text: bytes, covered, copy: bool) -> tuple[int, int, int, bytes]:
     return n, sum(b - a for a, b in covered), len(covered), b" ".join(kept)
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Remove bytes covered by a string of 100 bytes that also starts earlier in the corpus.
 
     The anchors of step 1 are S* suffixes, the ones that induced sorting samples: a byte smaller than the one
@@ -180,19 +234,19 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     text; the second of two equal rows loses everything if it has 100 bytes. Texts of fewer bytes stay whole, an
     empty table gives an empty result, and other columns are ignored.
     """
-    return without_repeats(docs, w.BYTES, _cut_bytes).withColumnRenamed("n_symbols", "n_bytes")
+    return without_repeats(docs, w.BYTES, _cut_bytes, crowd).withColumnRenamed("n_symbols", "n_bytes")
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
+def repeated_words(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Remove words covered by a window of 20 words that also starts earlier in the corpus.
 
-    Consecutive windows with one minimiser form a super-k-mer. It goes to the bucket of its minimiser as the
-    hash of its packed words; equal super-k-mers are settled by sorting the bucket, and only where the super-k-mers
-    of a bucket differ are their windows sorted singly.
+    Consecutive windows with one minimiser form a super-k-mer. It goes to the bucket of its minimiser, first as
+    the hash of its words, which settles equal super-k-mers and those that are alone in their bucket. The others
+    travel as one packed string to the bucket, where sorting tells which windows come twice.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` with the kept words joined by one space, and ``n_spans``.
     Earlier means a smaller document id, then an earlier start; null ids come first. A null text has no words. Rows
     that share an id are ordered by a hash of the text; the second of two equal rows loses everything if it has
     20 words. An empty table gives an empty result, and other columns are ignored.
     """
-    return without_repeats(docs, w.WORDS, _cut_words).withColumnRenamed("n_symbols", "n_words")
+    return without_repeats(docs, w.WORDS, _cut_words, crowd).withColumnRenamed("n_symbols", "n_words")

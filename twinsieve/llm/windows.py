@@ -7,7 +7,7 @@ place depend on the window's own symbols only, so equal windows choose the same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,11 @@ class Scheme:
         raise NotImplementedError
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts and where each text's begin."""
+        raise NotImplementedError
+
+    def packer(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
+        """Where each text's symbols begin, and a function that packs the symbols from a place up to another."""
         raise NotImplementedError
 
 
@@ -79,6 +84,9 @@ class Bytes(Scheme):
     def symbols(self, data, offsets):
         return data, offsets
 
+    def packer(self, data, offsets):
+        return offsets, lambda a, b: data[a:b].tobytes()
+
     def values(self, symbols):
         padded = np.zeros(len(symbols) + 8, np.uint8)
         padded[: len(symbols)] = symbols
@@ -109,6 +117,10 @@ class Words(Scheme):
             i = j
         return out, np.searchsorted(starts, offsets)
 
+    def packer(self, data, offsets):
+        starts, ends = word_bounds(data, offsets)
+        return np.searchsorted(starts, offsets), lambda a, b: b" ".join(data[starts[a]: ends[b - 1]].tobytes().split())
+
     def values(self, symbols):
         return symbols
 
@@ -212,6 +224,14 @@ def later_copies(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column and where each value begins."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
+
+
 def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows in (did, tid) order without repeats of a pair: their places in the batch, ids, bytes and offsets."""
     did, tid = batch.column("did").to_numpy(), batch.column("tid").to_numpy()
@@ -222,9 +242,7 @@ def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     column = batch.column("text")
     if len(order) != len(column) or (np.diff(order) != 1).any():
         column = column.take(pa.array(order))
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return order, did[order], tid[order], data, offsets - offsets[:1]
+    return order, did[order], tid[order], *bytes_of(column)
 
 
 def spans(text: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
