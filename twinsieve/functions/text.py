@@ -89,7 +89,7 @@ def token_budget(t: Column, limit: int) -> Column:
 
 def compose(instruction: Column, extra: Column) -> Column:
     """Instruction, or instruction and input separated by an empty line; either may be blank."""
-    a, b = F.trim(F.coalesce(instruction, F.lit(""))), F.trim(F.coalesce(extra, F.lit("")))
+    a, b = strip(F.coalesce(instruction, F.lit(""))), strip(F.coalesce(extra, F.lit("")))
     return F.concat_ws("\n\n", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 
@@ -155,6 +155,7 @@ def plant(context: Column, payload: Column, position: Column) -> Column:
     )
 
 
+# How the input format writes its slots.
 SLOT = r"\{([A-Za-z0-9_]*injection[A-Za-z0-9_]*)\}"
 ANY_SLOT = r"\{([A-Za-z0-9_]+)\}"
 
@@ -187,9 +188,8 @@ def fill_slots(carrier: Column, payload: Column) -> Column:
 
 def find_suffix(t: Column, phrases: Sequence[str]) -> Column:
     """Longest phrase the right-trimmed text ends with, else NULL."""
-    body = F.regexp_replace(t, TAIL_SPACE, "")
     longest_first = sorted(phrases, key=lambda p: (-len(p), p))
-    return F.coalesce(*[F.when(F.endswith(body, F.lit(p)), F.lit(p)) for p in longest_first])
+    return let(F.regexp_replace(t, TAIL_SPACE, ""), lambda body: F.coalesce(*[F.when(F.endswith(body, F.lit(p)), F.lit(p)) for p in longest_first]))
 
 
 def swap_suffix(t: Column, old: Column, new: Column) -> Column:
@@ -215,7 +215,7 @@ def carrier_of(t: Column, markers: Sequence[str] = tuple(v.MARKERS)) -> Column:
 
 def payload_of(t: Column, links: Sequence[str] = tuple(v.LINKS)) -> Column:
     """Text behind the first link phrase, trimmed; NULL when there is none."""
-    pattern = r"(?s)(?:" + "|".join(links) + r")\s*(.+)$"
+    pattern = r"(?s)(?:" + "|".join(rf"\Q{x}\E" for x in links) + r")\s*(.+)$"
     got = strip(F.regexp_extract(t, pattern, 1))
     return F.nullif(got, F.lit(""))
 

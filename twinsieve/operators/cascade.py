@@ -123,6 +123,16 @@ def best_point(points: DataFrame, fpr: float = 0.01) -> DataFrame:
     return ok.agg(best).select((-F.col("b.nt")).alias("theta"), F.col("b.tpr").alias("tpr"), (-F.col("b.ne")).alias("e"))
 
 
+# The thresholds that a sweep visits when no grid is asked for.
+DEFAULT_SWEEP = (1e-5, 3.16e-5, 1e-4, 3.16e-4, 1e-3, 3.16e-3, 5e-3, 1e-2, 3.16e-2, 1e-1, 3.16e-1, 1.0)
+
+
+def sweep_grid(frozen: float, points: int | None = None) -> list[float]:
+    """The default grid, or ``points`` log-spaced thresholds from 1e-6 to 1 of three digits; always with ``frozen``."""
+    grid = DEFAULT_SWEEP if points is None else [float(f"{10 ** (-6 + 6 * i / (points - 1)):.3g}") for i in range(points)]
+    return sorted({*grid, frozen})
+
+
 def select_theta(cal: DataFrame, grid: Sequence[float], fpr: float = 0.01, keep: float = 0.99) -> float | None:
     """Cheapest theta on the calibration rows that keeps its share of the second stage's detection rate."""
     alone = dr_at_fpr(cal, "s2", (fpr,)).select(F.col("dr").alias("dr2"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions.hashing import fraction, order_key, pick
 from twinsieve.operators.ranks import number_by_hash, number_by_value
 
+TRIPLE_STEP = 1500450271  # prime
+
 
 def validated(df: DataFrame, text: str, label: str, channel: str, labels: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Strip, drop texts under five characters, and stop on a label or channel outside its vocabulary."""
@@ -89,8 +91,13 @@ def sample_bernoulli(df: DataFrame, key: str, seed: int, share: float) -> DataFr
     return df.filter(fraction(seed, key) < share)
 
 
-def weighted_quota(df: DataFrame, source: str, key: str, weights: Mapping[str, float], target: int, seed: int) -> DataFrame:
-    """Oversampled quota per source in id order, then a seeded shuffle trimmed to the target."""
+def weighted_quota(df: DataFrame, source: str, key: str, weights: Mapping[str, float], target: int, seed: int, length: Column | None = None, band: tuple[int, int] | None = None) -> DataFrame:
+    """Oversampled quota per source in id order, then a seeded shuffle trimmed to the target.
+
+    With ``band`` only rows whose ``length`` lies in it (inclusive) count towards a quota.
+    """
+    if band is not None:
+        df = df.filter(length.between(*band))
     want = F.lit(None).cast("long")
     for name, w in weights.items():
         want = F.when(F.col(source) == name, F.lit(int(target * w * 1.5) + 50)).otherwise(want)
@@ -99,6 +106,23 @@ def weighted_quota(df: DataFrame, source: str, key: str, weights: Mapping[str, f
     return sample_cap(picked.drop("rn"), key, seed, target)
 
 
+def sample_triples(contexts: DataFrame, context: str, payloads: DataFrame, payload: str, positions: Sequence[str], cap: int, seed: int) -> DataFrame:
+    """``cap`` distinct (context, payload, position) triples, or all there are.
+
+    Draw ``i`` is the mixed-radix number ``i * step + seed`` modulo the number of triples. The step is a prime far
+    above any list's length, so that the walk meets every triple once before it comes back; nothing is drawn twice
+    and no set of seen triples is kept.
+    """
+    ctx, pay = numbered(contexts.select(context), context, seed, "_ci"), numbered(payloads.select(payload), payload, seed + 1, "_pi")
+    n_ctx, n_pay = contexts.count(), payloads.count()
+    total = n_ctx * n_pay * len(positions)
+    z = F.pmod(F.col("id").cast("decimal(38,0)") * F.lit(TRIPLE_STEP) + F.lit(seed), F.lit(total).cast("decimal(38,0)")).cast("long")
+    walk = contexts.sparkSession.range(min(cap, total)).select(z.alias("z"))
+    spots = walk.select(t.one_of(positions, F.col("z") % len(positions)).alias("position"), F.expr(f"z div {len(positions)} div {max(1, n_pay)}").alias("_ci"),
+                        F.expr(f"(z div {len(positions)}) % {max(1, n_pay)}").alias("_pi"))
+    return spots.join(ctx, "_ci").join(pay, "_pi").select(context, payload, "position")
+
+
 def numbered(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
     """0-based position under a seeded shuffle."""
     out = number_by_hash(df.withColumn("_h", order_key(seed, key)), "_h", [key], name=name)
@@ -144,5 +168,11 @@ def violations(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
+def shared_phrases(spark: SparkSession, sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Phrases that stand in more than one of the named sets, which must not overlap."""
+    rows = spark.createDataFrame([(name, p) for name, ps in sets.items() for p in ps], "name string, phrase string")
+    return rows.groupBy("phrase").agg(F.countDistinct("name").alias("n")).filter("n > 1")
+
+
 def choose(words: Sequence[str], seed: int, *key: str) -> Column:
     return t.one_of(words, pick(seed, len(words), *key))

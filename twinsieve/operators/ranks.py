@@ -31,19 +31,6 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, 4 * parts))
 
 
-SMALL_SPLIT = 16 << 20
-
-
-def widened(df: DataFrame) -> DataFrame:
-    """Spread an input too small to have a split per core, for work that is heavy per row.
-
-    The decision is made on the optimizer's size estimate; larger inputs are never moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
-
-
 def _cut_spots(value: str, n: int) -> Column:
     # Cut points may be off by a quarter of a bucket; a finer sketch would only make the merge larger.
     return F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], max(1000, 4 * n))

@@ -17,7 +17,8 @@ from twinsieve.sources.tables import samples, scored
 
 CHANNELS = ("document", "tool", "direct")
 GRID = k.theta_grid(0.0, 1.0, 0.005)
-LOG_GRID = [float(f"{10 ** (-6 + 6 * i / 24):.3g}") for i in range(25)]
+FROZEN = 0.005
+LOG_GRID = k.sweep_grid(FROZEN, 40)
 
 
 def lst(values):
@@ -93,15 +94,18 @@ def k1_k2(spark, d):
     return med.agg(F.max(F.when(F.col("model") == "small-a", F.col("m"))).alias("k1"), F.max(F.when(F.col("model") == "large", F.col("m"))).alias("k2"))
 
 
-@query("theta_sweep", with_(SCORED, SUS, SAMPLES, MED512, point_ctes("sus", lst(LOG_GRID))) + f""", ch as (select theta,
+@query("theta_sweep", with_(SCORED, SUS, SAMPLES, MED512, point_ctes("sus", lst(LOG_GRID)), "calr as (select * from sus where split='cal')", dr_ctes("calr", "label", "s2", "0.01e0", None, "d"),
+                            point_ctes("calr", lst(LOG_GRID), tag="k")) + f""", pick as (select arg_min(theta, (e, theta)) as th from k_pt, d_res where fpr<=0.01e0+1e-9 and tpr >= 0.99e0*d_res.dr-1e-9), ch as (select theta,
    {', '.join(f"round(avg(case when channel='{c}' then case when p1<theta and s2>=theta2 then 1e0 else 0e0 end end),6) as dr_{c}" for c in CHANNELS)}
    from c_pt, sus where label=1 group by 1) select {POINT}, dr_document, dr_tool, dr_direct, round(1e0-(k1+e*k2)/k2,6) as latency_reduction,
-   case when theta=0.01 then 'FROZEN' else '' end as note from c_pt join ch using (theta), k12""")
+   trim(case when theta=0.005e0 then 'FROZEN' else '' end || case when theta=(select th from pick) then ' CAL-SELECTED' else '' end) as note from c_pt join ch using (theta), k12""")
 def theta_sweep(spark, d):
     s = suspicious(spark, d)
     pts = k.sweep_by_channel(s, k.frontier(s, LOG_GRID), CHANNELS).join(F.broadcast(k1_k2(spark, d)))
     red = F.lit(1.0) - (F.col("k1") + F.col("e") * F.col("k2")) / F.col("k2")
-    out = pts.withColumn("latency_reduction", red).withColumn("note", F.when(F.col("theta") == 0.01, "FROZEN").otherwise(""))
+    picked = k.select_theta(s.filter("split = 'cal'"), LOG_GRID)
+    note = F.concat_ws(" ", F.when(F.col("theta") == FROZEN, "FROZEN"), F.when(F.col("theta") == F.lit(picked).cast("double"), "CAL-SELECTED"))
+    out = pts.withColumn("latency_reduction", red).withColumn("note", note)
     return rnd(out.select(*POINT_COLS, *[f"dr_{c}" for c in CHANNELS], "latency_reduction", "note"), "e", "tpr", "fpr", *[f"dr_{c}" for c in CHANNELS], "latency_reduction")
 
 

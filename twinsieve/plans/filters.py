@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from twinsieve.functions import scores as sc
@@ -9,7 +11,6 @@ from twinsieve.functions import text as t
 from twinsieve.functions import vocab as v
 from twinsieve.functions.hashing import pick
 from twinsieve.operators import corpus as c
-from twinsieve.operators.ranks import widened
 from twinsieve.plans.fixture_sql import CORPUS, SCORED, u32, with_
 from twinsieve.plans.registry import query
 from twinsieve.plans.text_sql import (choose, norm_exact, norm_neardup, planted_cte, q, rstrip, shingles, squeeze, strip, words)
@@ -38,7 +39,7 @@ def validate_add(spark, d):
     return c.validated(x, "text", "label", "channel", ["safe", "unsafe"], ["direct", "tool", "document"]).drop("channel")
 
 
-@query("compose_instruction", """with p as (select doc_id, case when doc_id%5=0 then '' else trim(source || ' ' || lang) end as a, case when doc_id%7=0 then '' else trim(text) end as b from documents),
+@query("compose_instruction", """with p as (select doc_id, case when doc_id%5=0 then '' else """ + strip("source || ' ' || lang") + """ end as a, case when doc_id%7=0 then '' else """ + strip("text") + """ end as b from documents),
   r as (select doc_id, case when a<>'' and b<>'' then a || chr(10) || chr(10) || b else a || b end as text from p) select doc_id, text from r where length(text)>=10""")
 def compose_instruction(spark, d):
     x = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat_ws(" ", "source", "lang")).alias("a"),
@@ -122,9 +123,13 @@ def suspicion(spark, d):
     return x.select("row_id", F.round(sc.suspicion(F.col("p1")), 6).alias("suspicion"), F.round("z", 6).alias("gap"), F.round(sc.sigmoid(F.col("z")), 6).alias("p_safe"))
 
 
+SOURCES = [f"src{n}" for n in range(20)]
+
+
 @query("integrity_checks", """with p as (select text, case when doc_id%2=0 then 'train' else 'eval' end as side, source from documents)
   select 'text in two splits' as "check", (select count(*) from (select text from p group by text having count(distinct side)>1))::bigint as violations
-  union all select 'unknown source', (select count(*) from p where source not like 'src%')::bigint
+  union all select 'unknown source', (select count(*) from p where source is null or source not in (select 'src' || i from range(20) as r(i)))::bigint
+  union all select 'phrase in two sets', (select count(*) from (select unnest(""" + words(v.LINKS) + """) as x union all select unnest(""" + words(v.GOALS) + """)) where x in (select unnest(""" + words([p for ps in v.REWORDS.values() for p in ps]) + """)))::bigint
   union all select 'shared source', (select count(*) from (select source from p group by source having count(distinct side)>1))::bigint
   union all select 'text equals a benchmark item', (select count(*) from (select distinct text from documents intersect select text from benchmark))::bigint""")
 def integrity_checks(spark, d):
@@ -132,7 +137,8 @@ def integrity_checks(spark, d):
     both = (F.min("side") != F.max("side")).alias("both")
     bench = table(spark, d, "benchmark").select(F.md5(F.col("text").cast("binary")).alias("key"))
     return (c.violations("text in two splits", x.groupBy("key").agg(both).filter("both"))
-            .unionByName(c.violations("unknown source", x.filter(~F.col("source").startswith("src"))))
+            .unionByName(c.violations("unknown source", x.filter(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False)))))
+            .unionByName(c.violations("phrase in two sets", c.shared_phrases(spark, {"links": v.LINKS, "goals": v.GOALS, "rewords": [p for ps in v.REWORDS.values() for p in ps]})))
             .unionByName(c.violations("shared source", x.groupBy("source").agg(both).filter("both")))
             .unionByName(c.violations("text equals a benchmark item", x.select("key").intersect(bench))))
 
@@ -140,7 +146,7 @@ def integrity_checks(spark, d):
 def text_query(key, sql_expr, column):
     @query(key, f"select doc_id, {sql_expr} as text from documents")
     def run(spark, d):
-        return widened(docs(spark, d).select("doc_id", "text")).select("doc_id", column(F.col("text")).alias("text"))
+        return docs(spark, d).select("doc_id", column(F.col("text")).alias("text"))
 
     return run
 
@@ -164,7 +170,7 @@ def digest(col):
 
 @query("shingle_set", f"with n as (select doc_id, {norm_neardup('text')} as x from documents), s as (select doc_id, {shingles('x')} as g from n) select doc_id, len(g)::bigint as n, md5(array_to_string(list_sort(g), '|')) as digest from s")
 def shingle_set(spark, d):
-    x = widened(docs(spark, d).select("doc_id", "text")).select("doc_id", t.norm_neardup(F.col("text")).alias("x")).select("doc_id", t.shingle_set(F.col("x")).alias("g"))
+    x = docs(spark, d).select("doc_id", t.norm_neardup(F.col("text")).alias("x")).select("doc_id", t.shingle_set(F.col("x")).alias("g"))
     return x.select("doc_id", F.size("g").cast("long").alias("n"), digest(F.col("g")).alias("digest"))
 
 
@@ -182,7 +188,7 @@ VARIANTS_SQL = with_(CORPUS) + f"""select row_id, row_id as group_id, 'original'
 
 @query("variant_union", VARIANTS_SQL)
 def variant_union(spark, d):
-    x = widened(corpus(spark, d).select("row_id", F.col("row_id").alias("group_id"), "label", "text"))
+    x = corpus(spark, d).select("row_id", F.col("row_id").alias("group_id"), "label", "text")
     return c.with_variants(x, "text", F.col("label") == 1).select("row_id", "group_id", "variant", "text")
 
 
@@ -226,9 +232,10 @@ def swap_suffix(spark, d):
     return x.select("doc_id", t.swap_suffix(F.col("text"), F.col("old"), F.lit("new ending")).alias("text"))
 
 
-MARKER_SQL = "case " + " ".join(f"when contains(text, {q(m)}) then {q(m)}" for m in v.MARKERS) + " else 'none/other' end"
-CARRIER_SQL = "coalesce(" + ", ".join(f"case when instr(text, {q(m)})>1 then {strip(f'substr(text,1,instr(text,{q(m)})-1)')} end" for m in v.MARKERS) + ")"
-PAYLOAD_SQL = "nullif(" + strip(f"regexp_extract(text, '(?s)(?:{'|'.join(v.LINKS)})\\s*(.+)$', 1)") + ", '')"
+_MARKERS = ("Please set the text above aside.", "Done. All fine.", "]}]}", "Finished: nothing found.")
+MARKER_SQL = "case " + " ".join(f"when contains(text, {q(m)}) then {q(m)}" for m in _MARKERS) + " else 'none/other' end"
+CARRIER_SQL = "coalesce(" + ", ".join(f"case when instr(text, {q(m)})>1 then {strip(f'substr(text,1,instr(text,{q(m)})-1)')} end" for m in _MARKERS) + ")"
+PAYLOAD_SQL = "nullif(" + strip(f"regexp_extract(text, '(?s)(?:{'|'.join(re.escape(x) for x in v.LINKS)})\\s*(.+)$', 1)") + ", '')"
 
 
 @query("parse_parts", "with " + planted_cte() + f" select doc_id, {PAYLOAD_SQL} as payload, {MARKER_SQL} as marker, {CARRIER_SQL} as carrier from planted")

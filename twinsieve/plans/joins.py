@@ -13,11 +13,11 @@ from twinsieve.operators import metrics as m
 from twinsieve.operators import neardup as nd
 from twinsieve.operators import overlap as ov
 from twinsieve.operators import vectors as vec
-from twinsieve.plans.filters import CARRIER_SQL, MARKER_SQL, PAYLOAD_SQL, docs, planted
+from twinsieve.plans.filters import CARRIER_SQL, MARKER_SQL, PAYLOAD_SQL, PLAIN_SQL, docs, planted
 from twinsieve.plans.fixture_sql import CORPUS, hashed, with_
 from twinsieve.plans.metrics import rnd
 from twinsieve.plans.registry import query
-from twinsieve.plans.text_sql import norm_neardup, planted_cte, q, shingles, squeeze
+from twinsieve.plans.text_sql import norm_neardup, planted_cte, q, shingles, squeeze, strip
 from twinsieve.sources.tables import corpus, table
 
 
@@ -102,16 +102,28 @@ def screen_candidates(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("id"), "source").join(hit, "id", "left_anti")
 
 
-@query("attack_cross", f"""with c0 as (select distinct source as suite, {squeeze('text')} as carrier from documents), g as (select unnest({[*v.GOALS[:3]]!r}) as goal), w as (select unnest(['bare','todo','notice']) as family),
-  t as (select distinct suite, case family when 'bare' then goal when 'todo' then 'TODO: ' || goal else 'Notice (please read): ' || goal end || ' | ' || carrier as text from c0, g, w)
-  select suite, md5(text) as text_md5 from t""")
+FORMS_SQL = " union all ".join(f"select {n % v.GOAL_GROUPS} as grp, '{family}' as goal_family, {q(w.replace('{goal}', g))} as payload" for n, g in enumerate(v.GOALS) for family, w in v.WRAPPERS.items())
+
+
+@query("attack_cross", f"""with l as (select distinct source as suite, unnest(string_split(replace({PLAIN_SQL}, '. ', '. {{injection_' || lang || '}} '), chr(10))) as carrier from documents where doc_id%2=1),
+  c0 as (select suite, carrier, regexp_extract(carrier, '\\{{([A-Za-z0-9_]*injection[A-Za-z0-9_]*)\\}}', 1) as vector from l where contains(carrier, '{{injection_')), f as ({FORMS_SQL}),
+  t as (select suite, vector, goal_family, {strip("substr(carrier, 1, instr(carrier, '{injection_')-1) || payload || replace(substr(carrier, instr(carrier, '{injection_')+length(vector)+2), '{' || vector || '}', '<' || vector || '>')")} as text
+    from c0 join f on grp = substr(suite,4)::int % {v.GOAL_GROUPS})
+  select suite, min(vector) as vector, min(goal_family) as goal_family, 'tool' as channel, text from t where text<>'' group by suite, text""")
 def attack_cross(spark, d):
-    """Every carrier with every goal and wrapper: both vocabularies are fixed, so rows grow with the carriers only."""
-    carriers = docs(spark, d).select(F.col("source").alias("suite"), t.squeeze(F.col("text")).alias("carrier")).distinct()
-    forms = F.array(*[F.lit(w.replace("{goal}", g)) for g in v.GOALS[:3] for w in v.WRAPPERS.values()])
-    x = carriers.select("suite", "carrier", F.explode(forms).alias("payload"))
-    text = F.concat_ws(" | ", "payload", "carrier")
-    return x.select("suite", F.md5(text.cast("binary")).alias("text_md5")).distinct()
+    """Every carrier with every goal of its suite in every wording: records of text and provenance.
+
+    Vocabularies are fixed, so rows grow with the carriers only. A text that comes out twice in a suite is one record.
+    """
+    plain = F.replace(F.translate("text", "{}\\", "()/"), F.lit(". "), F.concat(F.lit(". {injection_"), F.col("lang"), F.lit("} ")))
+    lines = docs(spark, d).filter("doc_id % 2 = 1").select(F.col("source").alias("suite"), F.explode(F.split(plain, "\n")).alias("carrier"))
+    carriers = lines.filter(F.col("carrier").rlike(t.SLOT)).distinct().withColumn("vector", F.regexp_extract("carrier", t.SLOT, 1))
+    rows = [(n % v.GOAL_GROUPS, family, w.replace("{goal}", g)) for n, g in enumerate(v.GOALS) for family, w in v.WRAPPERS.items()]
+    forms = spark.createDataFrame(rows, "grp long, goal_family string, payload string")  # goals x wordings
+    x = carriers.withColumn("grp", F.substring("suite", 4, 9).cast("long") % v.GOAL_GROUPS).join(F.broadcast(forms), "grp")
+    x = x.select("suite", "vector", "goal_family", t.fill_slots(F.col("carrier"), F.col("payload")).alias("text")).filter("text <> ''")
+    out = x.groupBy("suite", "text").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"))
+    return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), "text")
 
 
 @query("vocab_coverage", with_(planted_cte(), f"tg as (select doc_id, side, unnest({shingles('x', 5, False)}) as g from (select doc_id, side, {squeeze('right(text,80)')} as x from planted))",

@@ -14,7 +14,7 @@ from twinsieve.operators.ranks import number_by_hash, number_by_value
 from twinsieve.plans.filters import SUFFIX_SQL, VARIANTS_SQL, docs, planted
 from twinsieve.plans.fixture_sql import CORPUS, SCORED, fraction, hashed, u32, with_
 from twinsieve.plans.registry import query
-from twinsieve.plans.text_sql import choose, norm_exact, planted_cte, q, rstrip
+from twinsieve.plans.text_sql import ESCAPE, choose, norm_exact, planted_cte, q, rstrip
 from twinsieve.sources.tables import corpus, scored, table
 
 
@@ -49,47 +49,38 @@ def sample_bernoulli(spark, d):
     return c.sample_bernoulli(corpus(spark, d).filter("label = 1").select("row_id"), "row_id", 49, 0.3)
 
 
-QUOTAS = {"src0": 0.7, "src1": 0.3}
+QUOTAS = {f"src{n}": (n % 4 + 1) / 50 for n in range(20)}  # sums to 1
+BAND, TARGET = (1000, 5000), 300
 
 
-@query("weighted_quota", f"""with r as (select doc_id, source, row_number() over (partition by source order by doc_id) rn from documents where source in ('src0','src1')),
-  k as (select * from r where rn <= case source when 'src0' then {int(40 * 0.7 * 1.5) + 50} else {int(40 * 0.3 * 1.5) + 50} end)
-  select doc_id, source from k order by {hashed(3131, 'doc_id')} limit 40""")
+@query("weighted_quota", f"""with r as (select doc_id, source, row_number() over (partition by source order by doc_id) rn from documents where length(text) between 1000 and 5000),
+  k as (select * from r where rn <= 50 + floor({TARGET} * ((substr(source, 4)::int % 4 + 1) / 50e0) * 1.5e0))
+  select doc_id, source from k order by {hashed(3131, 'doc_id')} limit {TARGET}""")
 def weighted_quota(spark, d):
-    return c.weighted_quota(docs(spark, d).select("doc_id", "source"), "source", "doc_id", QUOTAS, 40, 3131)
-
-
-TRIPLE_STEP = 1500450271  # a prime far above any payload count, so that the walk visits distinct triples
+    x = docs(spark, d).select("doc_id", "source", F.length("text").alias("len"))
+    return c.weighted_quota(x, "source", "doc_id", QUOTAS, TARGET, 3131, F.col("len"), BAND).select("doc_id", "source")
 
 
 @query("sample_triples", f"""with c0 as (select doc_id, row_number() over (order by {hashed(7, 'doc_id')})-1 as ci from documents),
   p as (select item_id, row_number() over (order by {hashed(8, 'item_id')})-1 as pi from benchmark),
   n as (select (select count(*) from c0) nc, (select count(*) from p) np),
-  w as (select (ci::hugeint*{TRIPLE_STEP} + 17) % (nc*np*3) as z, nc, np from c0, n)
+  w as (select (i::hugeint*{c.TRIPLE_STEP} + 7) % (nc*np*3) as z, np from n, range(5000) as r(i) where i < nc*np*3)
   select c0.doc_id, p.item_id, (['end','start','middle'])[(w.z%3)::int+1] as position from w join c0 on c0.ci = (w.z//3)//w.np join p on p.pi = (w.z//3)%w.np""")
 def sample_triples(spark, d):
-    """One distinct (context, payload, position) triple per context, walked through the mixed-radix ids."""
-    ctx = c.numbered(docs(spark, d).select("doc_id"), "doc_id", 7, "ci")
-    pay = c.numbered(table(spark, d, "benchmark").select("item_id"), "item_id", 8, "pi")
-    sizes = m.one_row(docs(spark, d).agg(F.count(F.lit(1)).alias("nc")), table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("np")))
-    wide = F.col("ci").cast("decimal(38,0)") * F.lit(TRIPLE_STEP) + F.lit(17)
-    walk = ctx.select("ci").join(F.broadcast(sizes)).select(F.pmod(wide, (F.col("nc") * F.col("np") * 3).cast("decimal(38,0)")).cast("long").alias("z"), "np")
-    z = F.col("z")
-    spots = walk.select(t.one_of(["end", "start", "middle"], z % 3).alias("position"), F.expr("z div 3 div np").alias("ci"), F.expr("(z div 3) % np").alias("pi"))
-    return spots.join(ctx, "ci").join(pay, "pi").select("doc_id", "item_id", "position")
-
-
-@query("cycle_carriers", f"""with k as (select text as carrier, row_number() over (order by item_id)-1 as ci, count(*) over () as n from benchmark),
+    return c.sample_triples(docs(spark, d), "doc_id", table(spark, d, "benchmark"), "item_id", ["end", "start", "middle"], 5000, 7)
+
+
+@query("cycle_carriers", f"""with k as (select left(text, 400) as carrier, row_number() over (order by item_id)-1 as ci, count(*) over () as n from benchmark),
   i as (select row_number() over (order by doc_id)-1 as i, doc_id from documents)
   select doc_id, i.i as i, (case kind when 0 then carrier || ' ' || link || ' ' || goal when 1 then carrier || ' ' || {q(v.FIXED_PHRASE)} || ' ' || link || ' ' || goal
-   when 2 then carrier || {q(v.ESCAPE)} || link || ' ' || goal else carrier || ' ' || comp || ' ' || link || ' ' || goal end) as text
+   when 2 then carrier || {ESCAPE} || link || ' ' || goal else carrier || ' ' || comp || ' ' || link || ' ' || goal end) as text
   from (select doc_id, i.i, carrier, {choose(v.LINKS, 61, 'i.i')} as link, {choose(v.GOALS, 62, 'i.i')} as goal, ({u32(63, 'i.i')}%4)::int as kind, {choose(v.COMPLETIONS, 64, 'i.i')} as comp
     from i join k on k.ci = i.i % k.n) i""")
 def cycle_carriers(spark, d):
     """Carriers used in turn for as many rows as there are documents; each slot draws link, goal and layout."""
     b = table(spark, d, "benchmark")
     n = b.agg(F.count(F.lit(1)).alias("n"))
-    carriers = number_by_value(b, "item_id", name="ci").select((F.col("ci") - 1).alias("ci"), F.col("text").alias("carrier"))
+    carriers = number_by_value(b, "item_id", name="ci").select((F.col("ci") - 1).alias("ci"), F.left("text", F.lit(400)).alias("carrier"))
     slots = number_by_value(docs(spark, d).select("doc_id"), "doc_id", name="i").withColumn("i", F.col("i") - 1)
     slots = slots.join(F.broadcast(n)).withColumn("ci", F.col("i") % F.col("n"))
     drawn = slots.join(carriers, "ci").select("doc_id", "i", "carrier", c.choose(v.LINKS, 61, "i").alias("link"), c.choose(v.GOALS, 62, "i").alias("goal"),

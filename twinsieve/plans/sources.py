@@ -47,17 +47,17 @@ def src_meta_only(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("len"))
 
 
-@query("src_capped", f"select source, doc_id, rn from (select source, doc_id, row_number() over (partition by source order by doc_id) as rn from documents where length({strip('text')})>=5 and n_chars<20000) where rn<=20")
+@query("src_capped", f"select source, doc_id, rn from (select source, doc_id, row_number() over (partition by source order by doc_id) as rn from documents where length({strip('text')})>=5) where rn<=20")
 def src_capped(spark, d):
-    ok = table(spark, d, "documents").filter((F.length(t.strip(F.col("text"))) >= 5) & (F.col("n_chars") < 20000))
+    ok = table(spark, d, "documents").filter(F.length(t.strip(F.col("text"))) >= 5)
     return c.first_rows(ok, "source", ["doc_id"], 20).select("source", "doc_id", "rn")
 
 
-@query("src_nested_payloads", """select distinct lang as category, payload from (select lang, unnest(string_split(text, chr(10))) as payload from documents) where trim(payload)<>''""")
+@query("src_nested_payloads", f"""select distinct lang as category, payload from (select lang, unnest(string_split(text, chr(10))) as payload from documents) where {strip('payload')}<>''""")
 def src_nested_payloads(spark, d):
     docs = table(spark, d, "documents").select(F.to_json(F.create_map("lang", F.split("text", "\n"))).alias("raw"))
     lists = docs.select(F.explode(F.from_json("raw", "map<string,array<string>>")).alias("category", "items"))
-    return lists.select("category", F.explode("items").alias("payload")).filter(F.trim("payload") != "").distinct()
+    return lists.select("category", F.explode("items").alias("payload")).filter(t.strip(F.col("payload")) != "").distinct()
 
 
 @query("src_contexts", f"select doc_id, {strip('text')} as context, lang as question from documents where {strip('text')}<>''")
@@ -94,17 +94,20 @@ def src_carriers(spark, d):
     return found.groupBy("suite", "vector").agg(F.count(F.lit(1)).alias("n"), F.max(F.md5(F.col("carrier").cast("binary"))).alias("top"))
 
 
-# A goal assignment in source text, in single or triple quotes.
+# Fixed value: how source files assign a goal, in single or triple quotes.
 GOAL_PATTERN = r"(?s)GOAL\s*=\s*f?(['\"]{1,3})(.*?)\1"
 
 
-@query("src_goals", r"""with s as (select page_id%4 as suite, 'GOAL = "' || url || ' for {recipient}"' || chr(10) || 'x = 1' || chr(10) || 'GOAL = f''''''ask  {_title_} about ' || url || '  {other}''''''' || chr(10) || 'GOAL = "short"' as src from pages),
-  g as (select suite, unnest(regexp_extract_all(src, 'GOAL\s*=\s*f?["'']{1,3}([^"'']*)["'']{1,3}', 1)) as goal from s)
-  select distinct suite, trim(regexp_replace(replace(replace(replace(goal,'{recipient}','someone@example.com'),'{_title_}','Weekly meeting'),'{other}','<other>'), '\s+', ' ', 'g')) as goal from g where length(goal)>=15""")
+@query("src_goals", r"""with s as (select page_id%4 as suite, regexp_replace(regexp_replace(regexp_replace(html, '["\']', '', 'g'), '<h1>([^<]*)</h1>', 'GOAL = "\1 for {recipient}"', 'g'),
+    '<p>([^<]*)', 'GOAL = f\'\'\'ask  {_title_} about \1  {other}\'\'\'', 'g') as src from pages),
+  g as (select suite, unnest(regexp_extract_all(src, 'GOAL\s*=\s*f?["\']{1,3}([^"\']*)["\']{1,3}', 1)) as goal from s)
+  select distinct suite, goal from (select suite, trim(regexp_replace(replace(replace(replace(goal,'{recipient}','someone@example.com'),'{_title_}','Weekly meeting'),'{other}','<other>'), '[\s\p{Z}]+', ' ', 'g')) as goal from g)
+  where length(goal)>=15 and not contains(goal, '{')""".replace("\\'", "''"))
 def src_goals(spark, d):
-    p = table(spark, d, "pages")
-    src = F.concat(F.lit('GOAL = "'), "url", F.lit(' for {recipient}"\nx = 1\nGOAL = f\'\'\'ask  {_title_} about '), "url", F.lit('  {other}\'\'\'\nGOAL = "short"'))
-    raw = p.select((F.col("page_id") % 4).alias("suite"), F.explode(F.regexp_extract_all(src, F.lit(GOAL_PATTERN), F.lit(2))).alias("goal"))
+    """Headings and paragraphs of every page stand as goal assignments in its source text, which is searched as a whole."""
+    plain = F.regexp_replace("html", "[\"']", "")
+    src = F.regexp_replace(F.regexp_replace(plain, "<h1>([^<]*)</h1>", 'GOAL = "$1 for {recipient}"'), "<p>([^<]*)", "GOAL = f\'\'\'ask  {_title_} about $1  {other}\'\'\'")
+    raw = table(spark, d, "pages").select((F.col("page_id") % 4).alias("suite"), F.explode(F.regexp_extract_all(src, F.lit(GOAL_PATTERN), F.lit(2))).alias("goal"))
     goals = raw.select("suite", t.squeeze(t.fill_tokens(F.col("goal"))).alias("goal"))
     return goals.filter((F.length("goal") >= 15) & ~F.contains("goal", F.lit("{"))).distinct()
 
@@ -188,12 +191,27 @@ def sink_manifest(spark, d):
                    F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="), F.col("n").cast("string")))), ";").alias("by_source")).withColumn("seed", F.lit(3131).cast("long"))
 
 
-@query("fingerprint", """select 'documents' as tbl, count(*)::bigint as n, sum(('0x' || substr(md5(doc_id || '|' || text || '|' || lang || '|' || source),1,8))::bigint)::varchar as digest from documents
-  union all select 'conversations', count(*)::bigint, sum(('0x' || substr(md5(conv_id || '|' || turn || '|' || role || '|' || text),1,8))::bigint)::varchar from conversations""")
+DIGESTED = {
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"), "conversations": ("conv_id", "turn", "role", "text"), "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"),
+}
+
+
+def _digest_sql(name, cols):
+    # every field with its length in front, so that no two rows of fields read alike; NULL has none
+    row = " || '|' || ".join(f"coalesce(length({x}::varchar) || ':' || {x}::varchar, 'null')" for x in cols)
+    return f"select '{name}' as tbl, count(*)::bigint as n, sum(('0x' || substr(md5({row}),1,8))::bigint)::varchar as digest from {name}"
+
+
+@query("fingerprint", " union all ".join(_digest_sql(n, cs) for n, cs in DIGESTED.items()))
 def fingerprint(spark, d):
-    def one(name, *cols):
-        row = F.concat_ws("|", *[F.col(x).cast("string") for x in cols])
-        part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("long")
+    """Rows and an order-free digest of all columns of every corpus table."""
+    def one(name, cols):
+        fields = [F.coalesce(F.concat(F.length(F.col(x).cast("string")).cast("string"), F.lit(":"), F.col(x).cast("string")), F.lit("null")) for x in cols]
+        part = F.conv(F.substring(F.md5(F.concat_ws("|", *fields).cast("binary")), 1, 8), 16, 10).cast("long")
         return table(spark, d, name).agg(F.count(F.lit(1)).alias("n"), F.sum(part.cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(name).alias("tbl"), "n", "digest")
 
-    return one("documents", "doc_id", "text", "lang", "source").unionByName(one("conversations", "conv_id", "turn", "role", "text"))
+    out = None
+    for name, cols in DIGESTED.items():
+        out = one(name, cols) if out is None else out.unionByName(one(name, cols))
+    return out

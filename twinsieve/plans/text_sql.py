@@ -48,6 +48,10 @@ def shingles(x: str, k: int = 5, short_text: bool = True) -> str:
             f"list_distinct(list_transform(range(1, length({x})-{k - 2}), lambda i: substr({x}, i, {k}))) end")
 
 
+# Spelled here, not taken from the vocabulary, so that the comparison would notice a wrong layout.
+ESCAPE = r"e'\n\n]}]}\n\n'"
+
+
 def planted_cte() -> str:
     """Documents that end in a link phrase and a goal, with white space behind every second one."""
     goal, link = choose(v.GOALS, 12, "doc_id"), choose(v.LINKS, 11, "doc_id")
@@ -55,5 +59,5 @@ def planted_cte() -> str:
    {choose(v.COMPLETIONS, 14, 'doc_id')} as completion from documents),
  planted as (select doc_id, source, goal, link, kind, case when doc_id%2=0 then 'train' else 'eval' end as side,
   (case kind when 0 then carrier || ' ' || link || ' ' || goal when 1 then carrier || ' ' || {q(v.FIXED_PHRASE)} || ' ' || link || ' ' || goal
-   when 2 then carrier || {q(v.ESCAPE)} || link || ' ' || goal else carrier || ' ' || completion || ' ' || link || ' ' || goal end)
+   when 2 then carrier || {ESCAPE} || link || ' ' || goal else carrier || ' ' || completion || ' ' || link || ' ' || goal end)
    || case when doc_id%2=0 then e' \\n' else '' end as text from planted0)"""
