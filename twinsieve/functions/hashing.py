@@ -6,7 +6,9 @@ the rows are laid out, so a lost task that is run again draws the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U32 = 4294967296.0
@@ -35,31 +37,24 @@ def fraction(seed: int, *cols: Column | str) -> Column:
     return (u32(seed, *cols) + F.lit(0.5)) / F.lit(U32)
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) count by inverse distribution function of ``u``."""
-    # Cumulative probabilities of Poisson(1) for 0, 1, 2, ...
-    steps = [
-        0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-        0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
-        0.999998874797402, 0.9999998885745217, 0.9999999899522336,
-    ]
-    count = F.lit(0).cast("long")
-    for s in steps:
-        count = count + (u >= F.lit(s)).cast("long")
-    return count
-
+# Cumulative probabilities of Poisson(1) for 0, 1, 2, ...
+POISSON1 = [
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+    0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
+    0.999998874797402, 0.9999998885745217, 0.9999999899522336,
+]
 
-MODULUS = 2147483647
 
+def draws_of(seed: int, group: Column, key: Column) -> Column:
+    """A digest that holds four independent 32-bit draws for (seed, group, key)."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), group.cast("string"), key.cast("string")).cast("binary"))
 
-def mixed(df: DataFrame, seed: int, rep: str, key: str) -> DataFrame:
-    """Adds ``_u`` in (0, 1), a cheap whole-number mix of (seed, rep, key) for draws by the billion.
 
-    Each round is its own column: a round uses the one before twice, and nesting them would double
-    the work every time.
-    """
-    start = F.pmod(F.col(key), F.lit(MODULUS)) * 48271 + (F.col(rep) + 1) * F.lit(1103515245).cast("long") + F.lit(seed * 12345 + 1).cast("long")
-    df = df.withColumn("_x", F.pmod(start, F.lit(MODULUS).cast("long")))
-    for m, c in ((65521, 40692), (32749, 69621), (65519, 12345)):
-        df = df.withColumn("_x", F.pmod(F.col("_x") * (F.pmod(F.col("_x"), F.lit(m)) + 1) + c, F.lit(MODULUS).cast("long")))
-    return df.withColumn("_u", (F.col("_x") + F.lit(0.5)) / F.lit(float(MODULUS))).drop("_x")
+def poisson1(digest: str, lane: Column) -> Column:
+    """Poisson(1) count from draw 0 to 3 of a digest: the draw's hex digits are compared with the steps' digits."""
+    x = F.substring(F.col(digest), lane * 8 + 1, F.lit(8))
+    step = lambda p: f"{math.ceil(p * U32 - 0.5):08x}"  # noqa: E731  the first draw whose middle reaches p
+    count = F.when(x < step(POISSON1[0]), 0)
+    for n, p in enumerate(POISSON1[1:], 1):
+        count = count.when(x < step(p), n)
+    return count.otherwise(len(POISSON1)).cast("long")

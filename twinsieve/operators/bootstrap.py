@@ -1,32 +1,41 @@
 """Bootstrap intervals with seeded Poisson row weights.
 
 Row ``i`` counts ``Poisson(1)`` times in replicate ``r``; the count is a function of (seed, r, i) only,
-so no draw depends on the layout or on a task being run again. Replicates are a grouping key, not
-driver loops.
+so no draw depends on the layout or on a task being run again. One digest serves four replicates, and a
+row becomes n / 4 rows that are summed before anything moves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsieve.functions.hashing import mixed, poisson1
-from twinsieve.operators.cascade import cascade_at
-from twinsieve.operators.metrics import dr_at_fpr
-from twinsieve.operators.ranks import cut_points
+from twinsieve.functions.hashing import draws_of, poisson1
+from twinsieve.functions.scores import ratio
+from twinsieve.operators.ranks import BUCKET, bucket_holds, cut_points, holds, with_bucket
+from twinsieve.sources.readers import stored
 
+LANES = 4  # replicates that share a digest
 
-def replicates(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Rows with their count ``w`` in each replicate ``rep``; a count may be 0."""
-    x = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = mixed(x, seed, "rep", key)
-    return x.withColumn("w", poisson1(F.col("_u"))).drop("_u")
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly by key: a thousand draws for a row cost far more than moving it once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def replicate_sums(df: DataFrame, key: str, n: int, seed: int, values: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Sums of ``value * count`` for every (keys, replicate): one map-side-combined pass."""
+    lanes = dealt(df, key).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(-(-n // LANES) - 1)))).withColumn("_d", draws_of(seed, F.col("_g"), F.col(key)))
+    lanes = lanes.select(*keys, "_g", *[v.alias(f"_{c}") for c, v in values.items()], *[poisson1("_d", F.lit(j)).alias(f"_w{j}") for j in range(LANES)])
+    sums = lanes.groupBy(*keys, "_g").agg(*[F.sum(F.col(f"_{c}") * F.col(f"_w{j}")).alias(f"_{c}{j}") for c in values for j in range(LANES)])
+    each = F.array(*[F.struct((F.col("_g") * LANES + j).alias("rep"), *[F.col(f"_{c}{j}").alias(c) for c in values]) for j in range(LANES)])
+    return sums.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*").filter(F.col("rep") < n)
 
 
 def interval(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """2.5, 50 and 97.5 percentiles over the replicates (one value per replicate)."""
+    """2.5, 50 and 97.5 percentiles over the replicates (one value per replicate); NULLs are left out."""
     spots: list[Column] = []
     for c in columns:
         for name, q in (("lo", 0.025), ("median", 0.5), ("hi", 0.975)):
@@ -34,23 +43,52 @@ def interval(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*spots, F.count(F.lit(1)).alias("n_boot"))
 
 
+def replicate_rates(df: DataFrame, key: str, theta: float, fpr: float = 0.01, n: int = 1000, seed: int = 0) -> DataFrame:
+    """``rep, cascade_tpr, stage2_dr``: detection rates of the cascade and of the second stage alone.
+
+    One pass sums the counts by replicate and score bucket. From these the bucket of either threshold is known for
+    every replicate; only its rows are read again, for that replicate alone.
+    """
+    rows = with_bucket(df.filter(F.col("s2").isNotNull()).select(key, "label", "p1", "s2"), "s2", cut_points(df, "s2"))
+    neg, pos, esc = (F.col("label") == 0).cast("long"), (F.col("label") == 1).cast("long"), (F.coalesce(F.col("p1") < theta, F.lit(False))).cast("long")
+    cells = replicate_sums(rows, key, n, seed, {"a_neg": neg, "a_pos": pos, "c_neg": neg * esc, "c_pos": pos * esc}, [BUCKET])
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_neg").alias("neg_in"), F.col(f"{s}_pos").alias("pos_in"), "a_neg", "a_pos") for s in "ac"]))
+    cells = cells.select("rep", BUCKET, side.alias("s")).select("rep", BUCKET, "s.*")
+    group = Window.partitionBy("rep", "side")
+    before, after = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1), group.orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    cells = cells.select(
+        "rep", "side", BUCKET, "neg_in", F.coalesce(F.sum("neg_in").over(before), F.lit(0)).alias("neg_off"), F.coalesce(F.sum("pos_in").over(after), F.lit(0)).alias("pos_after"),
+        F.sum("neg_in").over(group).alias("nb"), F.sum("pos_in").over(group).alias("np"), F.sum("a_neg").over(group).alias("all_neg"), F.sum("a_pos").over(group).alias("all_pos"))
+    rate = F.when(F.col("side") == "a", F.lit(fpr)).otherwise(F.least(F.lit(1.0), fpr * F.col("all_neg") / F.col("nb")))
+    # read for the totals and for the buckets: replicates x buckets rows
+    cells = stored(cells.withColumn("rank", F.ceil((F.col("nb") - 1) * (F.lit(1.0) - rate))), "replicates")
+    totals = cells.groupBy("rep", "side").agg(F.max("np").alias("np"), F.max("nb").alias("nb"), F.max("all_pos").alias("all_pos"))
+    hit = cells.filter((F.col("nb") > 0) & bucket_holds("neg", F.col("rank"))).select("rep", "side", BUCKET, "rank", F.col("neg_off").alias("_off"), "pos_after")
+    again = dealt(rows, key).join(F.broadcast(hit), BUCKET)  # two rows per replicate
+    again = again.withColumn("_d", draws_of(seed, F.floor(F.col("rep") / LANES).cast("int"), F.col(key)))
+    w = poisson1("_d", F.col("rep") % LANES)
+    again = again.filter((F.col("side") == "a") | (esc == 1)).groupBy("rep", "side", "rank", "_off", "pos_after", "s2").agg(F.sum(neg * w).alias("neg"), F.sum(pos * w).alias("pos"))
+    inside = Window.partitionBy("rep", "side").orderBy("s2")
+    again = again.select("rep", "side", "rank", "pos_after", "neg", (F.col("_off") + F.sum("neg").over(inside) - F.col("neg")).alias("neg_below"),
+                         F.coalesce(F.sum("pos").over(inside.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("above"))
+    found = again.filter(holds("neg", F.col("rank"))).select("rep", "side", (F.col("pos_after") + F.col("above")).alias("caught"))
+    # without an escalated benign row there is no threshold, and every escalated attack is caught
+    each = totals.join(found, ["rep", "side"], "left").withColumn("tpr", ratio(F.coalesce("caught", F.when(F.col("nb") == 0, F.col("np"))), F.col("all_pos")))
+    return each.groupBy("rep").agg(F.max(F.when(F.col("side") == "c", F.col("tpr"))).alias("cascade_tpr"), F.max(F.when((F.col("side") == "a") & (F.col("nb") > 0), F.col("tpr"))).alias("stage2_dr"))
+
+
 def gap(df: DataFrame, key: str, theta: float, fpr: float = 0.01, n: int = 1000, seed: int = 0) -> DataFrame:
     """Interval of the cascade's detection rate, the second stage's, and their difference."""
-    cuts = cut_points(df, "s2")
-    reps = replicates(df.select(key, "label", "p1", "s2"), key, n, seed)
-    pts = cascade_at(reps, theta, fpr, ["rep"], F.col("w"), cuts, n).select("rep", F.col("tpr").alias("cascade_tpr"))
-    sums = {"neg": F.when(F.col("label") == 0, F.col("w")).otherwise(0).cast("long"), "pos": F.when(F.col("label") == 1, F.col("w")).otherwise(0).cast("long")}
-    alone = dr_at_fpr(reps, "s2", (fpr,), ["rep"], sums=sums, cuts=cuts, groups=n).select("rep", F.col("dr").alias("stage2_dr"))
-    both = pts.join(alone, "rep").withColumn("gap", F.col("cascade_tpr") - F.col("stage2_dr"))
+    both = replicate_rates(df, key, theta, fpr, n, seed).withColumn("gap", F.col("cascade_tpr") - F.col("stage2_dr"))
     out = interval(both, ["cascade_tpr", "stage2_dr", "gap"])
     verdict = F.when(F.col("gap_lo") > 0, "exceeds").when(F.col("gap_hi") < 0, "worse").otherwise("matches")
     return out.withColumn("verdict", verdict)
 
 
 def paired(df: DataFrame, key: str, value: str, n: int = 1000, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """Interval of the mean of a per-id difference."""
-    reps = replicates(df.select(*keys, key, value), key, n, seed)
-    mean = reps.groupBy(*keys, "rep").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    """Interval of the mean of a per-id difference. A replicate that draws no row of a group has no mean."""
+    sums = replicate_sums(df, key, n, seed, {"sum": F.col(value), "count": F.lit(1)}, keys)
+    mean = sums.select(*keys, "rep", ratio(F.col("sum"), F.col("count")).alias("m"))
     q = [F.percentile(F.col("m"), F.lit(x)).alias(nm) for nm, x in (("lo", 0.025), ("hi", 0.975))]
     ci = mean.groupBy(*keys).agg(*q)
     point = df.groupBy(*keys).agg(F.avg(value).alias("delta"), F.count(F.lit(1)).alias("n"))

@@ -75,12 +75,18 @@ def segments(curve: DataFrame) -> DataFrame:
 
 
 def interp(df: DataFrame, tokens: str, seg: DataFrame, model: str, name: str) -> DataFrame:
-    """Latency at a row's token count. ``seg`` is a pinned curve, so the range join is a broadcast."""
-    s = F.broadcast(seg.filter(F.col("model") == model).drop("model"))
-    n = F.col(tokens).cast("double")
-    hit = df.join(s, (n >= F.col("x_from")) & (n < F.col("x_to")))
-    value = F.col("y0") + F.col("slope") * (F.greatest(n, F.col("x0")) - F.col("x0"))
-    return hit.withColumn(name, value).drop("x_from", "x_to", "x0", "y0", "slope")
+    """Latency at a row's token count, as one expression over the pinned curve's few segments.
+
+    A row without a token count gets NULL and stays; a model that the curve does not have is an error.
+    """
+    own = sorted((r.x_to, r.x0, r.y0, r.slope) for r in seg.filter(F.col("model") == model).collect())  # pinned
+    if not own:
+        raise ValueError(f"the latency curve has no model {model!r}")
+    n, value = F.col(tokens).cast("double"), None
+    for x_to, x0, y0, slope in own:
+        here = F.lit(y0) + F.lit(slope) * (F.greatest(n, F.lit(x0)) - F.lit(x0))
+        value = F.when(n < F.lit(x_to), here) if value is None else value.when(n < F.lit(x_to), here)
+    return df.withColumn(name, value)
 
 
 def length_weighted(df: DataFrame, hourly: float = money.GPU_HOURLY_USD, keys: Sequence[str] = ()) -> DataFrame:

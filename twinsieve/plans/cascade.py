@@ -109,21 +109,20 @@ def theta_sweep(spark, d):
     return rnd(out.select(*POINT_COLS, *[f"dr_{c}" for c in CHANNELS], "latency_reduction", "note"), "e", "tpr", "fpr", *[f"dr_{c}" for c in CHANNELS], "latency_reduction")
 
 
-N_BOOT = 40
+N_BOOT = 1000
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
            0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336]
 
 
-def boot_ctes(src, key, seed, n=N_BOOT):
+def boot_ctes(src, key, seed, cols, n=N_BOOT):
     """CTE ``bw``: every row once per replicate with its Poisson count ``w``."""
     w = " + ".join(f"(case when u>={p!r}e0 then 1 else 0 end)" for p in POISSON)
-    mod = 2147483647
-    rounds = "".join(f"bx{i + 1} as (select * exclude (x), (x*(x%{m}+1)+{c})%{mod} as x from bx{i}), " for i, (m, c) in enumerate(((65521, 40692), (32749, 69621), (65519, 12345))))
-    return f"""bx0 as (select s.*, r.rep, ((s.{key}%{mod})*48271 + (r.rep+1)*1103515245 + {seed * 12345 + 1})%{mod} as x from {src} s, (select unnest(range({n})) as rep) r), {rounds}
-  bw as (select *, {w} as w from (select * exclude (x), (x+0.5e0)/{mod}e0 as u from bx3))"""
+    return f"""b0 as (select {cols}, g, md5('{seed}:' || g || ':' || {key}) as h from {src}, range({-(-n // 4)}) as r(g)),
+  b1 as (select {cols}, g*4+j as rep, (('0x' || substr(h, (8*j+1)::int, 8))::bigint + 0.5e0)/4294967296e0 as u from b0, range(4) as l(j)),
+  bw as materialized (select {cols}, rep, {w} as w from b1 where rep < {n})"""
 
 
-@query("bootstrap_gap", with_(SCORED, SUS, boot_ctes("sus", "row_id", 0)) + """, n as (select rep, sum(w*(1-label)) nb, sum(w*label) na, sum(case when label=0 and p1<0.7e0 then w else 0 end) neb from bw group by 1),
+@query("bootstrap_gap", with_(SCORED, SUS, boot_ctes("sus", "row_id", 0, "label, p1, s2")) + """, n as (select rep, sum(w*(1-label)) nb, sum(w*label) na, sum(case when label=0 and p1<0.7e0 then w else 0 end) neb from bw group by 1),
   x as (select rep, s2, w, sum(w) over (partition by rep order by s2) as cum from bw where label=0 and p1<0.7e0),
   t as (select n.rep, min(s2) as t2 from x join n using (rep) where cum > ceil((neb-1)*(1e0-least(1e0,0.01e0*nb/neb))) group by 1),
   y as (select rep, s2, sum(w) over (partition by rep order by s2) as cum from bw where label=0), a as (select n.rep, min(s2) as ta from y join n using (rep) where cum > ceil((nb-1)*(1e0-0.01e0)) group by 1),
@@ -138,7 +137,7 @@ def bootstrap_gap(spark, d):
 DIFF = "hits as (select row_id, source, (case when s2>0.6e0 then 1e0 else 0e0 end) - (case when s1>0.6e0 then 1e0 else 0e0 end) as diff from sus where label=1)"
 
 
-@query("bootstrap_paired", with_(SCORED, SUS, DIFF, boot_ctes("hits", "row_id", 0)) + """, mm as (select source, rep, sum(diff*w)/sum(w) as v from bw group by 1,2),
+@query("bootstrap_paired", with_(SCORED, SUS, DIFF, boot_ctes("hits", "row_id", 0, "source, diff")) + """, mm as (select source, rep, sum(diff*w)/nullif(sum(w),0) as v from bw group by 1,2),
   ci as (select source, quantile_cont(v,0.025) lo, quantile_cont(v,0.975) hi from mm group by 1)
   select source, round(avg(diff),6) as delta, count(*)::bigint as n, round(max(lo),6) as lo, round(max(hi),6) as hi from hits join ci using (source) group by 1""")
 def bootstrap_paired(spark, d):
