@@ -185,15 +185,16 @@ def average_precision(df: DataFrame, score: str) -> DataFrame:
     return precision_recall(df, score).agg(F.sum("step").alias("average_precision"), F.count(F.lit(1)).alias("n_thresholds"))
 
 
-def slice_breakdown(df: DataFrame, score: str, key: str) -> DataFrame:
+def slice_breakdown(df: DataFrame, score: str, key: str, keys: Sequence[str] = ()) -> DataFrame:
     """AUROC, accuracy at 0.5 and class counts per slice; a NULL slice is kept as 'None'."""
-    rows = df.select(F.coalesce(F.col(key), F.lit("None")).alias("slice"), "label", score)
+    by = [*keys, "slice"]
+    rows = df.select(*keys, F.coalesce(F.col(key), F.lit("None")).alias("slice"), "label", score)
     hit = _int((F.col(score) > 0.5) == (F.col("label") == 1))
-    base = rows.groupBy("slice").agg(
+    base = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"),
         F.avg(hit).alias("accuracy"),
     )
-    return base.join(auroc(rows, score, ["slice"]), "slice", "left").withColumn("slice_by", F.lit(key))
+    return base.join(auroc(rows, score, by), by, "left").withColumn("slice_by", F.lit(key))
 
 
 def by_channel_and_overall(df: DataFrame, channel: str = "channel") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinsieve.functions.scores import ratio, sigmoid, suspicion
+from twinsieve.functions.scores import injection_nll, ratio, sigmoid, suspicion
 from twinsieve.operators import bootstrap as b
 from twinsieve.operators import calibrate as cal
 from twinsieve.operators import cascade as k
@@ -364,16 +364,18 @@ def nll_at_T(spark, d):
 
 
 def fit_ctes(src, tag):
-    """CTE ``{tag}_fit(T)``: two nested grid searches, fine enough for two decimals."""
+    """CTE ``{tag}_fit(T)``: three nested grid searches, fine enough for four decimals."""
     return f"""{tag}_g1 as (select exp(-4.7e0 + i*9.4e0/200) as t from range(201) r(i)), {tag}_l1 as (select arg_min(t, l) as t from (select t, avg({NLL.format(t='t')}) as l from {src}, {tag}_g1 group by 1)),
- {tag}_g2 as (select (select t from {tag}_l1)*exp(-0.05e0 + i*0.1e0/400) as t from range(401) r(i)), {tag}_fit as (select arg_min(t, l) as T, min(l) as nll from (select t, avg({NLL.format(t='t')}) as l from {src}, {tag}_g2 group by 1))"""
+ {tag}_g2 as (select (select t from {tag}_l1)*exp(-0.05e0 + i*0.1e0/400) as t from range(401) r(i)), {tag}_l2 as (select arg_min(t, l) as t from (select t, avg({NLL.format(t='t')}) as l from {src}, {tag}_g2 group by 1)),
+ {tag}_g3 as (select (select t from {tag}_l2)*exp(-0.0005e0 + i*0.001e0/400) as t from range(401) r(i)), {tag}_fit as (select arg_min(t, l) as T, min(l) as nll from (select t, avg({NLL.format(t='t')}) as l from {src}, {tag}_g3 group by 1))"""
 
 
-@query("fit_temperature", with_(SCORED, GAPS, "cg as (select * from gaps where split='cal')", fit_ctes("cg", "f")) + "select round(T,2) as T, round(nll,5) as nll, (select count(*) from cg)::bigint as n_fit from f_fit")
+@query("fit_temperature", with_(SCORED, GAPS, "cg as (select * from gaps where split='cal')", fit_ctes("cg", "f")) + """select round(T,4) as T, round(nll,6) as nll,
+  (select round(avg(z*z/(T*T*T*T)*(1e0/(1e0+exp(-z/T)))*(1e0/(1e0+exp(z/T)))),4) from cg) as curvature, (select count(*) from cg)::bigint as n_fit from f_fit""")
 def fit_temperature(spark, d):
     g = gaps(spark, d).filter("split = 'cal'").select("label", "z")
     t = cal.fit_temperature(g)
-    return cal.temperature_report(g, t).select(F.round("T", 2).alias("T"), F.round("nll", 5).alias("nll"), "n_fit")
+    return cal.temperature_report(g, t).select(F.round("T", 4).alias("T"), F.round("nll", 6).alias("nll"), F.round("curvature", 4).alias("curvature"), "n_fit")
 
 
 @query("apply_temperature", with_(SCORED, GAPS) + "select row_id, round(lb/2e0,6) as logp_benign, round(li/2e0,6) as logp_injection, round(1e0/(1e0+exp(-(lb-li)/2e0)),6) as p_safe from gaps")
@@ -393,13 +395,12 @@ def report_sql(src, split, variant, t):
                              report_sql("eg", "eval", "raw", "1e0"), report_sql("eg", "eval", "calfit", "(select T from f_fit)"), report_sql("eg", "eval", "own_fit", "(select T from o_fit)")]))
 def calibration_report(spark, d):
     g = gaps(spark, d).select("label", "split", "z")
-    t_cal = cal.fit_temperature(g.filter("split = 'cal'"))
-    t_own = cal.fit_temperature(g.filter("split = 'eval'"))
+    fits = cal.fit_temperatures(g.filter("split in ('cal', 'eval')"), ["split"])
+    t_cal, t_own = fits[("cal",)], fits[("eval",)]
     forms = [F.struct(F.lit("raw").alias("variant"), F.lit(1.0).alias("T")), F.struct(F.lit("calfit").alias("variant"), F.lit(t_cal).alias("T"))]
     own = F.struct(F.lit("own_fit").alias("variant"), F.lit(t_own).alias("T"))
     rows = g.select("*", F.explode(F.when(F.col("split") == "eval", F.array(*forms, own)).otherwise(F.array(*forms))).alias("f")).select("label", "split", "z", "f.*")
     rows = rows.withColumn("conf", 1.0 - sigmoid(F.col("z") / F.col("T")))
-    from twinsieve.functions.scores import injection_nll
     loss = rows.groupBy("split", "variant", "T").agg(F.avg(injection_nll(F.col("z"), F.col("label"), F.col("T"))).alias("nll"))
     e = m.ece(rows, "conf", ["split", "variant"])
     # The area does not depend on T, so it is taken once per split.

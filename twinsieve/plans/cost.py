@@ -8,6 +8,7 @@ from twinsieve.functions import money
 from twinsieve.operators import cascade as k
 from twinsieve.operators import cost as c
 from twinsieve.operators import metrics as m
+from twinsieve.operators import reports as rep
 from twinsieve.operators.ranks import quantiles
 from twinsieve.plans.cascade import point_ctes
 from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, with_
@@ -272,16 +273,15 @@ def indist_report(spark, d):
     return rnd(out, *[x for x in out.columns if x != "passed"])
 
 
-LAT = ("mean_ms", "median_ms", "p90_ms", "stdev_ms", "min_ms", "max_ms", "spread")
+LAT = ("mean_ms", "median_ms", "p90_ms", "p95_ms", "p99_ms", "stdev_ms", "min_ms", "max_ms", "total_sec", "spread_median", "spread_p95")
 
 
-@query("latency_summary", with_(SAMPLES) + """select regime, model, target_tokens, count(*)::bigint as reps, round(avg(ms),6) as mean_ms, round(quantile_cont(ms,0.5),6) as median_ms, round(quantile_cont(ms,0.9),6) as p90_ms, round(stddev_samp(ms),6) as stdev_ms,
-  round(min(ms),6) as min_ms, round(max(ms),6) as max_ms, round((max(ms)-min(ms))/quantile_cont(ms,0.5),6) as spread from samples group by 1,2,3""")
+@query("latency_summary", with_(SAMPLES, """each as (select regime, model, target_tokens, rep_group, count(*) as reps, quantile_cont(ms,0.5) as m, (max(ms)-min(ms))/quantile_cont(ms,0.5) as s, max(label) as y from samples group by 1,2,3,4)""",
+                                "kinds as (select *, 'all' as rows from each union all select *, case when y=1 then 'attack' else 'benign' end from each)") + """
+  select regime, model, target_tokens, rows, count(*)::bigint as n, sum(reps)::bigint as reps, round(avg(m),6) as mean_ms, round(quantile_cont(m,0.5),6) as median_ms, round(quantile_cont(m,0.9),6) as p90_ms, round(quantile_cont(m,0.95),6) as p95_ms,
+  round(quantile_cont(m,0.99),6) as p99_ms, round(stddev_samp(m),6) as stdev_ms, round(min(m),6) as min_ms, round(max(m),6) as max_ms, round(sum(m)/1000e0,6) as total_sec, round(quantile_cont(s,0.5),6) as spread_median, round(quantile_cont(s,0.95),6) as spread_p95 from kinds group by 1,2,3,4""")
 def latency_summary(spark, d):
-    s, keys = samples(spark, d), ["regime", "model", "target_tokens"]
-    a = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("reps"), F.avg("ms").alias("mean_ms"), F.stddev_samp("ms").alias("stdev_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
-    out = a.join(quantiles(s, "ms", {"median_ms": 0.5, "p90_ms": 0.9}, keys), keys)
-    return rnd(out.withColumn("spread", (F.col("max_ms") - F.col("min_ms")) / F.col("median_ms")), *LAT)
+    return rnd(rep.timing_summary(samples(spark, d), ["regime", "model", "target_tokens"], "rep_group"), *LAT)
 
 
 @query("precision_ablation", COST_BASE + """, a as (select model, target_tokens, max(case when regime='nf4' then 1-(k1+e*k2)/k2 end) as red_nf4, max(case when regime='bf16' then 1-(k1+e*k2)/k2 end) as red_bf16,

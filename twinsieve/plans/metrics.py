@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import ratio, suspicion
 from twinsieve.operators import metrics as m
+from twinsieve.operators import reports as rep
 from twinsieve.operators.ranks import quantiles, running
 from twinsieve.plans.fixture_sql import SCORED, auroc_sql, dr_ctes, with_
 from twinsieve.plans.registry import query
@@ -156,17 +157,21 @@ def per_channel(spark, d):
     return rnd(m.confusion(s, "pred", ["group"]), *m.CONFUSION)
 
 
-@query("evaluate_detector", with_(SCORED, SUS, conf_ctes("sus", "s2>0.5", "1"), dr_ctes("sus", "label", "s2", "0.01e0")) + f"""
-  select {CONF_SQL}, (tp+fp+tn+fn)::bigint as n, n_benign, n_injection, round(dr,6) as dr_at_fpr, round(threshold,6) as threshold,
-  round((select avg(case when s2>0.5 then 1 else 0 end) from sus where label=0),6) as fpr_benign_only,
-  round((select avg(ms) from sus),6) as mean_latency_ms, round((select avg(ms) from sus)/1e3*1e6/3600e0*1.2e0,6) as usd_per_1m from cc, d_res""")
+DETECTOR = "llama3.2-1b"
+RATES = [f"{c}_{rep.at_name(t)}" for c in ("dr", "thr") for t in m.FPR_TARGETS]
+COST_COLS = ("n", "n_benign", "n_injection", "fpr_benign_only", "mean_latency_ms", "gpu_s_per_1k", "usd_per_1m", "param_count", "load_dtype", "vram_gb", "flops", "note")
+
+
+@query("evaluate_detector", with_(SCORED, SUS, GROUPED, conf_ctes("grouped", "s2>0.5", "grp"), *[dr_ctes("sus", "label", "s2", f"{t!r}e0", None, f"d{i}") for i, t in enumerate(m.FPR_TARGETS)]) + f"""
+  , o as (select count(*)::bigint as n, sum(1-label)::bigint as n_benign, sum(label)::bigint as n_injection, avg(case when label=0 then case when s2>0.5 then 1 else 0 end end) as f, avg(ms) as ms from sus)
+  select k as "group", '{DETECTOR}' as detector, {CONF_SQL}, n, n_benign, n_injection, round(f,6) as fpr_benign_only, round(ms,6) as mean_latency_ms, round(ms,6) as gpu_s_per_1k, round(ms/1e3*1e6/3600e0*1.2e0,6) as usd_per_1m,
+  case when o.n is not null then 1240000000 end::bigint as param_count, case when o.n is not null then 'bf16' end as load_dtype, case when o.n is not null then round(1240000000*2e0*1.2e0/1e9,6) end as vram_gb, case when o.n is not null then 2e0*1240000000*512 end as flops, null::varchar as note,
+  {', '.join(f'round(dr{i},6) as dr_{rep.at_name(t)}, round(thr{i},6) as thr_{rep.at_name(t)}' for i, t in enumerate(m.FPR_TARGETS))}
+  from cc left join o on k='overall' left join (select {', '.join(f'd{i}_res.dr as dr{i}, d{i}_res.threshold as thr{i}' for i in range(3))} from d0_res, d1_res, d2_res) r on k='overall'""")
 def evaluate_detector(spark, d):
     s = suspicious(spark, d).withColumn("pred", (F.col("s2") > 0.5).cast("int"))
-    dr = m.dr_at_fpr(s, "s2", (0.01,)).select(F.col("dr").alias("dr_at_fpr"), "threshold", "n_benign", "n_injection")
-    lat = s.agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_latency_ms"),
-                F.avg(F.when(F.col("label") == 0, F.col("pred"))).alias("fpr_benign_only"))
-    lat = lat.withColumn("usd_per_1m", F.col("mean_latency_ms") / 1e3 * 1e6 / 3600.0 * 1.2)
-    return rnd(m.one_row(m.confusion(s, "pred"), dr, lat), *m.CONFUSION, "dr_at_fpr", "threshold", "mean_latency_ms", "fpr_benign_only", "usd_per_1m")
+    out = rep.evaluate_detector(s, DETECTOR, "pred", "s2", "ms").select("group", "detector", "tp", "fp", "tn", "fn", *m.CONFUSION, *COST_COLS, *RATES)
+    return rnd(out, *m.CONFUSION, *RATES, "fpr_benign_only", "mean_latency_ms", "gpu_s_per_1k", "usd_per_1m", "vram_gb")
 
 
 def selection_frame(s, score):
@@ -192,9 +197,30 @@ def selection_ctes(score, tag):
 SEL_COLS = ("f1", "precision", "recall", "fpr", "accuracy", "auroc", "ece", "dr")
 
 
-@query("selection_metrics", with_(SCORED, SUS, *selection_ctes("s1", "x")) + "select split, n, " + ", ".join(f"round({c},6) as {c}" for c in SEL_COLS) + " from xm")
+ALL_DR = [f"dr_{rep.at_name(t)}" for t in m.FPR_TARGETS]
+SLICE_NULLS = ", ".join(f"null::double as {c}" for c in ("f1", "precision", "recall", "fpr", "ece", *ALL_DR))
+
+
+def split_slices_sql(by, tag):
+    return f"""select b.split, '{by}' as slice_by, b.slice, b.n, b.neg as n_benign, b.pos as n_injection, round(b.accuracy,6) as accuracy, round({tag}_res.auroc,6) as auroc, {SLICE_NULLS}
+ from (select split, coalesce({by},'None') as slice, count(*)::bigint n, sum(label)::bigint pos, sum(1-label)::bigint neg, avg(case when (s1>0.5)=(label=1) then 1 else 0 end) accuracy from sus group by 1,2) b
+ left join {tag}_res on {tag}_res.k = b.split || '/' || b.slice"""
+
+
+@query("selection_metrics", with_(SCORED, SUS, *selection_ctes("s1", "x"), *[dr_ctes("sus", "label", "s1", f"{t!r}e0", "split", f"z{i}") for i, t in enumerate(m.FPR_TARGETS)],
+                                  auroc_sql("sus", "label", "s1", "split || '/' || coalesce(source,'None')", "us"), auroc_sql("sus", "label", "s1", "split || '/' || coalesce(channel,'None')", "uc"))
+       + """select split, 'all' as slice_by, 'all' as slice, n, z0_res.n_benign, z0_res.n_injection, round(accuracy,6) as accuracy, round(auroc,6) as auroc, round(f1,6) as f1, round(precision,6) as precision, round(recall,6) as recall, round(fpr,6) as fpr, round(ece,6) as ece, """
+       + ", ".join(f"round(z{i}_res.dr,6) as {c}" for i, c in enumerate(ALL_DR)) + " from xm " + " ".join(f"join z{i}_res on z{i}_res.k=split" for i in range(3))
+       + " union all by name " + split_slices_sql("source", "us") + " union all by name " + split_slices_sql("channel", "uc"))
 def selection_metrics(spark, d):
-    return rnd(selection_frame(suspicious(spark, d), "s1"), *SEL_COLS)
+    s = suspicious(spark, d)
+    sizes = s.groupBy("split").agg(F.sum(1 - F.col("label")).alias("n_benign"), F.sum("label").alias("n_injection"))
+    whole = selection_frame(s, "s1").drop("dr").join(sizes, "split").join(rep.rates_at(s, "s1", m.FPR_TARGETS, ["split"]).select("split", *ALL_DR), "split")
+    whole = whole.withColumns({"slice_by": F.lit("all"), "slice": F.lit("all")})
+    for by in ("source", "channel"):
+        part = m.slice_breakdown(s, "s1", by, ["split"]).withColumnsRenamed({"pos": "n_injection", "neg": "n_benign"})
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return rnd(whole, *SEL_COLS, *ALL_DR)
 
 
 @query("rank_candidates", with_(SCORED, SUS, *selection_ctes("s1", "x"), *selection_ctes("s2", "y")) + """, u as (
