@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinsieve.functions import text as t
 from twinsieve.functions import vocab as v
 from twinsieve.functions.hashing import order_key, pick
-from twinsieve.functions.sketches import gram_set
+from twinsieve.functions.sketches import gram_set, permutations
 from twinsieve.operators import corpus as c
 from twinsieve.operators import metrics as m
 from twinsieve.operators import neardup as nd
@@ -77,10 +77,36 @@ def jaccard_verify(spark, d):
     return rnd(nd.verify(near.select("id", "match_id"), sets(cands), sets(refs)), "jac")
 
 
-SCREEN = "with " + KNN + "," + GRAMS + "," + JAC + """, bj as (select id, arg_max(match_id, (jac, -match_id)) as jm, max(jac) as jac from jj where jac>=0.5e0 group by 1),
+def _step(h, code):
+    return f"(({h}::uhugeint * 11400714819323198485::uhugeint + ({code})::uhugeint) % 18446744073709551616::uhugeint)"
+
+
+def _mix_sql(x, shift, factor=None):
+    y = f"xor({x}, {x} >> {shift})"
+    return y if factor is None else f"(({y}::uhugeint * {factor}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+def minhash_ctes(grams, key, tag):
+    """CTE ``{tag}_bands(id, band, b)``: the bands that the sketch of ``functions.sketches`` gives, in SQL."""
+    mult, add = permutations(3131)
+    h = "least(length(g), 5)"
+    for j in range(1, 6):
+        h = f"(case when length(g) >= {j} then {_step(h, f'unicode(substr(g,{j},1))')} else {h}::uhugeint end)"
+    return f"""{tag}_h0 as (select g, ({h})::ubigint as h from (select distinct g from {grams})),
+  {tag}_h1 as (select g, {_mix_sql('h', 30, 13787848793156543929)} as h from {tag}_h0), {tag}_h2 as (select g, {_mix_sql('h', 27, 10723151780598845931)} as h from {tag}_h1),
+  {tag}_x as materialized (select distinct s.{key} as id, ({_mix_sql('h', 31)} >> 32)::ubigint as x from {grams} s join {tag}_h2 using (g)),
+  {tag}_p as (select unnest(range(256)) as i, unnest({[int(v) for v in mult]}::ubigint[]) as a, unnest({[int(v) for v in add]}::ubigint[]) as c),
+  {tag}_m as (select id, i, min((a*x+c) % 4294967296) as v from {tag}_x, {tag}_p group by 1,2),
+  {tag}_bands as materialized (select id, i//4 as band, list(v order by i) as b from {tag}_m group by 1,2)"""
+
+
+VERDICT_SQL = """coalesce(cos,-1)>=0.95e0 or jac>=0.5e0 as remove, round(cos,4) as cos, round(jac,4) as jac, nullif(concat_ws('+', case when cos>=0.95e0 then 'cosine' end, case when jac>=0.5e0 then 'char5gram_jaccard' end),'') as reason,
+  case when coalesce(cos,-1)>=jac then cm else jm end as match_id"""
+SCREEN = "with " + KNN + "," + GRAMS + "," + JAC + "," + minhash_ctes("gs", "doc_id", "mh") + f""",
+  cand as (select distinct a.id, b.id as match_id from mh_bands a join mh_bands b using (band, b) where a.id%2=1 and b.id%2=0 union select id, match_id from nn),
+  bj as (select id, arg_max(match_id, (coalesce(jac,0e0), -match_id)) as jm, max(coalesce(jac,0e0)) as jac from cand left join jj using (id, match_id) group by 1),
   sv as (select d.doc_id as id, n.cos, n.match_id as cm, coalesce(bj.jac,0e0) as jac, bj.jm from documents d left join (select * from nn where place=1) n on n.id=d.doc_id left join bj on bj.id=d.doc_id where d.doc_id%2=1)
-  select id, coalesce(cos,-1)>=0.95e0 or jac>=0.5e0 as remove, round(cos,4) as cos, round(jac,4) as jac, nullif(concat_ws('+', case when cos>=0.95e0 then 'cosine' end, case when jac>=0.5e0 then 'char5gram_jaccard' end),'') as reason,
-  case when coalesce(cos,-1)>=jac then cm else jm end as match_id from sv"""
+  select id, {VERDICT_SQL} from sv"""
 
 
 @query("neardup_screen", SCREEN)
@@ -89,17 +115,29 @@ def neardup_screen(spark, d):
     return nd.screen(cands, refs, vec.knn(*vec_sides(spark, d), 10))
 
 
-@query("screen_candidates", f"""with d as (select doc_id, {norm_neardup('text')} as x from documents), b as (select item_id, {norm_neardup('text')} as x from benchmark),
-  gd as (select doc_id, unnest({shingles('x')}) as g from d), gb as (select item_id, unnest({shingles('x')}) as g from b),
-  nd as (select doc_id, count(*) n from gd group by 1), nb as (select item_id, count(*) n from gb group by 1),
-  p as (select doc_id, item_id, count(*) c from gd join gb using (g) group by 1,2)
-  select doc_id as id, source from documents where doc_id not in (select doc_id from p join nd using (doc_id) join nb using (item_id) where c*1e0/(nd.n+nb.n-c) >= 0.5e0)""")
+# New rows against the benchmark: roles swapped. Vector 2i + 1 stands for benchmark item i, even vectors for the documents.
+ITEM_KNN = """dots as (select a.vec_id as id, (b.vec_id-1)//2 as match_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]),9) as cos from embeddings a join embeddings b on a.vec_id%2=0 and b.vec_id%2=1 and (b.vec_id-1)//2 in (select item_id from benchmark)),
+  nn as (select * from (select *, row_number() over (partition by id order by cos desc, match_id) as place from dots) where place<=10)"""
+
+
+@query("screen_candidates", "with " + ITEM_KNN + f""", gs as (select doc_id, unnest({shingles('x')}) as g from (select doc_id, {norm_neardup('text')} as x from documents)),
+  gb as (select item_id, unnest({shingles('x')}) as g from (select item_id, {norm_neardup('text')} as x from benchmark)),
+  {minhash_ctes('gs', 'doc_id', 'ma')}, {minhash_ctes('gb', 'item_id', 'mb')},
+  cand as (select distinct a.id, b.id as match_id from ma_bands a join mb_bands b using (band, b) union select id, match_id from nn where id in (select doc_id from documents)),
+  sa as (select doc_id, count(*) as n from gs group by 1), sb as (select item_id, count(*) as n from gb group by 1),
+  pj as (select doc_id as id, item_id as match_id, count(*) as c from gs join gb using (g) group by 1,2),
+  jj as (select cand.id, cand.match_id, coalesce(c*1e0/(sa.n+sb.n-c), 0e0) as jac from cand left join pj using (id, match_id) left join sa on sa.doc_id=cand.id left join sb on sb.item_id=cand.match_id),
+  bj as (select id, arg_max(match_id, (jac, -match_id)) as jm, max(jac) as jac from jj group by 1),
+  sv as (select d.doc_id as id, d.source, n.cos, n.match_id as cm, coalesce(bj.jac,0e0) as jac, bj.jm from documents d left join (select * from nn where place=1) n on n.id=d.doc_id left join bj on bj.id=d.doc_id)
+  select id, source, {VERDICT_SQL} from sv""")
 def screen_candidates(spark, d):
-    """Roles swapped: new rows against the benchmark, lexical only."""
     new = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    ref = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    hit = nd.screen(new, ref, None).filter("remove").select("id")
-    return docs(spark, d).select(F.col("doc_id").alias("id"), "source").join(hit, "id", "left_anti")
+    items = table(spark, d, "benchmark")
+    ref = items.select(F.col("item_id").alias("id"), "text")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    item_vectors = vectors.filter("id % 2 = 1").select(F.floor((F.col("id") - 1) / 2).cast("long").alias("id"), "vec").join(items.select(F.col("item_id").alias("id")), "id", "left_semi")
+    verdict = nd.screen(new, ref, vec.knn(vectors.filter("id % 2 = 0"), item_vectors, 10))
+    return verdict.join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
 
 
 FORMS_SQL = " union all ".join(f"select {n % v.GOAL_GROUPS} as grp, '{family}' as goal_family, {q(w.replace('{goal}', g))} as payload" for n, g in enumerate(v.GOALS) for family, w in v.WRAPPERS.items())
