@@ -409,8 +409,14 @@ def calibration_report(spark, d):
     return out.select("split", "variant", F.round("T", 2).alias("T"), F.round("ece", 2).alias("ece"), F.round("nll", 3).alias("nll"), F.round("auroc", 4).alias("auroc"))
 
 
-@query("isotonic")
+@query("isotonic", with_(SCORED) + """, c as (select p1, sum(1-label)::double as s, count(*)::double as w from scored where split='cal' group by 1),
+  n as (select p1, row_number() over (order by p1) as i, s, w, sum(s) over (order by p1) as cs, sum(w) over (order by p1) as cw from c),
+  j as (select a.i as j, b.i as i, min((b.cs-a.cs+a.s)/(b.cw-a.cw+a.w)) over (partition by a.i order by b.i desc) as m from n a join n b on b.i>=a.i),
+  f as (select n.i, n.p1 as x, v from n join (select i, max(m) as v from j group by 1) using (i)),
+  g as (select x, v, lead(x) over (order by x) as x1, lead(v) over (order by x) as v1, row_number() over (order by x) as k from f)
+  select row_id, scored.p1, label, split, round(case when scored.p1 < x then v when x1 is null then v else v + (v1-v)*(scored.p1-x)/(x1-x) end,6) as p_iso
+  from scored asof left join (select case when k=1 then '-infinity'::double else x end as from_x, * from g) g on scored.p1 >= g.from_x""")
 def isotonic(spark, d):
     s = scored(spark, d)
-    model = cal.isotonic(s.filter("split = 'cal'"))
-    return rnd(cal.apply_isotonic(s.select("row_id", "p1", "label", "split"), model), "p_iso")
+    blocks = cal.isotonic(s.filter("split = 'cal'"))
+    return rnd(cal.apply_isotonic(s.select("row_id", "p1", "label", "split"), blocks), "p_iso")
