@@ -168,6 +168,29 @@ def violations(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
+MAX_FACET = 10_000
+
+
+def manifest(df: DataFrame, length: str, facets: Mapping[str, str], parameters: Mapping[str, object], long: int = 1000) -> DataFrame:
+    """One row on a corpus: sizes, ``value=count`` lists of some columns, and the build's parameters.
+
+    The counts come from one pass over grouping sets. A column with more than ``MAX_FACET`` values is no facet and
+    stops the job; nothing is cut.
+    """
+    cols = list(facets.values())
+    n = F.col(length)
+    g = df.groupingSets([[F.col(c)] for c in cols] + [[]], *cols).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(n >= long).alias("n_long"), F.max(n).alias("len_max"), F.sum(n).alias("chars"), F.grouping_id(*cols).alias("_g"))
+    whole, full = F.col("_g") == (1 << len(cols)) - 1, (1 << len(cols)) - 1
+    lists = []
+    for i, (name, c) in enumerate(facets.items()):
+        own = F.when(F.col("_g") == full - (1 << (len(cols) - 1 - i)), F.concat(F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit("="), F.col("n").cast("string")))
+        too_many = F.count(own) > MAX_FACET
+        lists.append(F.when(too_many, F.raise_error(F.lit(f"too many values for {name}")).cast("string")).otherwise(F.array_join(F.array_sort(F.collect_list(own)), ";")).alias(name))
+    sizes = [F.max(F.when(whole, F.col(x))).alias(y) for x, y in (("n", "n_total"), ("n_long", "n_long"), ("len_max", "len_max"), ("chars", "chars"))]
+    return g.agg(*sizes, *lists).withColumn("parameters", F.lit(";".join(f"{k}={v}" for k, v in parameters.items())))
+
+
 def shared_phrases(spark: SparkSession, sets: Mapping[str, Sequence[str]]) -> DataFrame:
     """Phrases that stand in more than one of the named sets, which must not overlap."""
     rows = spark.createDataFrame([(name, p) for name, ps in sets.items() for p in ps], "name string, phrase string")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsieve.functions import money
+from twinsieve.operators import bootstrap as b
 from twinsieve.operators import cascade as k
 from twinsieve.operators import cost as c
 from twinsieve.operators import metrics as m
 from twinsieve.operators import reports as rep
 from twinsieve.operators.ranks import quantiles
-from twinsieve.plans.cascade import point_ctes
+from twinsieve.plans.cascade import BOOT_GAP, MED512, N_BOOT, k1_k2, point_ctes
 from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, with_
 from twinsieve.plans.metrics import SUS, rnd, suspicious
 from twinsieve.plans.registry import query
@@ -254,23 +255,29 @@ def measured_cost_report(spark, d):
     return rnd(cost.join(side, ["mix", "basis"]), *WC, "max_score_gap")
 
 
-@query("indist_report", PRICE_BASE + ", " + ", ".join([SUS, point_ctes("sus", "[0.7e0]"), dr_ctes("sus", "label", "s2", "0.01e0", None, "d1"), dr_ctes("sus", "label", "s2", "0.001e0", None, "d01"), auroc_sql("sus", "label", "s2", None, "a"), WEIGHTS.format(src="priced")]) + f""",
+@query("indist_report", PRICE_BASE + ", " + ", ".join([SUS, point_ctes("sus", "[0.7e0]"), "calr as (select * from sus where split='cal')", point_ctes("calr", "[0.7e0]", tag="k"), BOOT_GAP, MED512, dr_ctes("sus", "label", "s2", "0.01e0", None, "d1"), dr_ctes("sus", "label", "s2", "0.001e0", None, "d01"), auroc_sql("sus", "label", "s2", None, "a"), WEIGHTS.format(src="priced")]) + f""",
   sk as (select avg(case when label=0 then case when p1>=0.7e0 then 1e0 else 0 end end) sb, avg(case when label=1 then case when p1>=0.7e0 then 1e0 else 0 end end) sa from sus),
   w as (select max(case when mix='as_is' then r end) as reduction_as_is, max(case when mix='ood' then r end) as reduction_ood from (select mix, 1-sum(weight*(k1+esc*k2))/sum(weight*k2) as r from wt group by 1))
-  select round(e,6) as e, round(sb,6) as benign_skipped, round(sa,6) as attacks_passed, passed, round({OOD_SHARE!r}e0*(1-sb)+(1-{OOD_SHARE!r}e0)*(1-sa),6) as e_ood, round(d1_res.dr,6) as dr_1pct, round(d01_res.dr,6) as dr_01pct, round(auroc,6) as auroc,
-  (select round(max(s2),6) from sus where label=0) as max_benign, (select round(min(s2),6) from sus where label=1) as min_attack, round(reduction_as_is,6) as reduction_as_is, round(reduction_ood,6) as reduction_ood from c_pt, sk, d1_res, d01_res, a_res, w""")
+  select round(c_pt.e,6) as e, round(sb,6) as benign_skipped, round(sa,6) as attacks_passed, c_pt.passed, (na-c_pt.caught)::bigint as missed_total, round(c_pt.tpr,6) as tpr, round(c_pt.fpr,6) as fpr, round(k_pt.e,6) as cal_e, round(k_pt.tpr,6) as cal_tpr, round(k_pt.fpr,6) as cal_fpr,
+  round(1e0-(k12.k1+c_pt.e*k12.k2)/k12.k2,6) as reduction_512, round(1e0-(k12.k1+({OOD_SHARE!r}e0*(1-sb)+(1-{OOD_SHARE!r}e0)*(1-sa))*k12.k2)/k12.k2,6) as reduction_512_ood, (select quantile_cont(n_tokens,0.5)::double from scored) as tokens_median, (select round(avg(n_tokens),6) from scored) as tokens_mean, f.*, round({OOD_SHARE!r}e0*(1-sb)+(1-{OOD_SHARE!r}e0)*(1-sa),6) as e_ood, round(d1_res.dr,6) as dr_1pct, round(d01_res.dr,6) as dr_01pct, round(auroc,6) as auroc,
+  (select round(max(s2),6) from sus where label=0) as max_benign, (select round(min(s2),6) from sus where label=1) as min_attack, round(reduction_as_is,6) as reduction_as_is, round(reduction_ood,6) as reduction_ood from c_pt, c_n, k_pt, k12, f, sk, d1_res, d01_res, a_res, w""")
 def indist_report(spark, d):
     s = suspicious(spark, d)
     skip = (F.col("p1") >= 0.7).cast("int")
     sk = s.agg(F.avg(F.when(F.col("label") == 0, skip)).alias("benign_skipped"), F.avg(F.when(F.col("label") == 1, skip)).alias("attacks_passed"),
                F.max(F.when(F.col("label") == 0, F.col("s2"))).alias("max_benign"), F.min(F.when(F.col("label") == 1, F.col("s2"))).alias("min_attack"))
     sk = sk.withColumn("e_ood", F.lit(OOD_SHARE) * (1 - F.col("benign_skipped")) + F.lit(1 - OOD_SHARE) * (1 - F.col("attacks_passed")))
-    pt = k.cascade_at(s, 0.7).select("e", "passed")
+    pt = k.cascade_at(s, 0.7).select("e", "passed", "caught", "tpr", "fpr")
+    cal_pt = k.cascade_at(s.filter("split = 'cal'"), 0.7).select(*[F.col(x).alias(f"cal_{x}") for x in ("e", "tpr", "fpr")])
+    boot = b.gap(s, "row_id", 0.7, n=N_BOOT).drop("verdict")
+    tokens = quantiles(s, "n_tokens", {"tokens_median": 0.5}).join(F.broadcast(s.agg(F.avg("n_tokens").alias("tokens_mean"), F.sum("label").alias("_na"))))
     dr = m.dr_at_fpr(s, "s2", (0.01, 0.001)).agg(*[F.max(F.when(F.col("fpr_target") == f, F.col("dr"))).alias(n) for f, n in ((0.01, "dr_1pct"), (0.001, "dr_01pct"))])
     w = c.weighted_cost(c.prevalence_weights(priced(spark, d), MIXES), "k1", "k2", ["mix"]).agg(
         *[F.max(F.when(F.col("mix") == x, F.col("reduction"))).alias(f"reduction_{x}") for x in MIXES])
-    out = m.one_row(pt, sk, dr, m.auroc(s, "s2"), w)
-    return rnd(out, *[x for x in out.columns if x != "passed"])
+    out = m.one_row(pt, sk, dr, m.auroc(s, "s2"), w, cal_pt, boot, tokens, k1_k2(spark, d))
+    flat = lambda e: F.lit(1.0) - (F.col("k1") + e * F.col("k2")) / F.col("k2")
+    out = out.withColumns({"missed_total": F.col("_na") - F.col("caught"), "reduction_512": flat(F.col("e")), "reduction_512_ood": flat(F.col("e_ood"))}).drop("_na", "caught", "k1", "k2")
+    return rnd(out, *[x for x in out.columns if x not in ("passed", "missed_total", "n_boot", "tokens_median")])
 
 
 LAT = ("mean_ms", "median_ms", "p90_ms", "p95_ms", "p99_ms", "stdev_ms", "min_ms", "max_ms", "total_sec", "spread_median", "spread_p95")

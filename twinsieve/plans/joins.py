@@ -18,6 +18,7 @@ from twinsieve.plans.fixture_sql import CORPUS, hashed, with_
 from twinsieve.plans.metrics import rnd
 from twinsieve.plans.registry import query
 from twinsieve.plans.text_sql import norm_neardup, planted_cte, q, shingles, squeeze, strip
+from twinsieve.sources import readers as r
 from twinsieve.sources.tables import corpus, table
 
 
@@ -115,6 +116,19 @@ def neardup_screen(spark, d):
     return nd.screen(cands, refs, vec.knn(*vec_sides(spark, d), 10))
 
 
+@query("sink_split_removed", "with v as (" + SCREEN + """) select doc_id, lang, source, n_chars, md5(text) as text_md5, not remove as kept, reason, case when remove then jac end as jac, case when remove then cos end as cos,
+  case when remove then 'train:' || match_id end as match_train_id from v join documents on doc_id=id""")
+def sink_split_removed(spark, d):
+    """The screen's kept and removed rows, written whole; removed ones carry what they matched and how closely."""
+    cands, refs = doc_sides(spark, d)
+    verdict = nd.screen(cands, refs, vec.knn(*vec_sides(spark, d), 10)).withColumnRenamed("id", "doc_id")
+    path = r.write_verdicts(docs(spark, d).join(verdict, "doc_id"), r.scratch(spark, "verdicts"), "train:")
+    kept, removed = r.read_verdicts(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cols = ["doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5")]
+    dedup = [F.col(f"_dedup.{x}").alias(x) for x in ("reason", "jac", "cos", "match_train_id")]
+    return kept.select(*cols, F.lit(True).alias("kept"), *dedup).unionByName(removed.select(*cols, F.lit(False).alias("kept"), *dedup))
+
+
 # New rows against the benchmark: roles swapped. Vector 2i + 1 stands for benchmark item i, even vectors for the documents.
 ITEM_KNN = """dots as (select a.vec_id as id, (b.vec_id-1)//2 as match_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]),9) as cos from embeddings a join embeddings b on a.vec_id%2=0 and b.vec_id%2=1 and (b.vec_id-1)//2 in (select item_id from benchmark)),
   nn as (select * from (select *, row_number() over (partition by id order by cos desc, match_id) as place from dots) where place<=10)"""

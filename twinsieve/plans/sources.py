@@ -160,35 +160,24 @@ def src_resume(spark, d):
     return earlier.withColumn("run", F.lit("earlier")).unionByName(todo)
 
 
-@query("sink_split_removed", f"""with k as (select doc_id, source, min(doc_id) over (partition by {norm_exact('text')}) as m from documents)
-  select doc_id, source, m=doc_id as kept, case when m<>doc_id then 'exact' end as reason, case when m<>doc_id then 1e0 end as jac,
-  case when m<>doc_id then 'train:' || m end as match_train_id from k""")
-def sink_split_removed(spark, d):
-    docs = table(spark, d, "documents")
-    matched = c.first_match(docs, "text", "doc_id")
-    # The verdicts are written once; kept and removed rows are two filters of that one table.
-    path = r.scratch(spark, "verdicts")
-    dup = F.col("match_id") != F.col("doc_id")
-    note = F.when(dup, F.struct(F.lit(1.0).alias("jac"), F.lit("exact").alias("reason"), F.concat(F.lit("train:"), F.col("match_id").cast("string")).alias("match_train_id")))
-    matched.select("doc_id", "source", (~dup).alias("kept"), note.alias("_dedup")).write.partitionBy("kept").parquet(path)
-    back = spark.read.schema("doc_id bigint, source string, _dedup struct<jac:double,reason:string,match_train_id:string>, kept boolean").parquet(path)
-    kept = back.filter("kept").drop("_dedup")
-    removed = back.filter("not kept")
-    return kept.select("doc_id", "source", "kept", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("jac"),
-                       F.lit(None).cast("string").alias("match_train_id")).unionByName(removed.select("doc_id", "source", "kept", "_dedup.reason", "_dedup.jac", "_dedup.match_train_id"))
-
-
-@query("sink_manifest", """with s as (select source, count(*) n from documents group by 1)
-  select count(*)::bigint as n_total, count(*) filter (lang='en')::bigint as n_en, count(*) filter (length(text)>=1000)::bigint as n_long, max(length(text))::bigint as len_max,
-  sum(length(text))::bigint as chars, (select string_agg(source || '=' || n, ';' order by source || '=' || n) from s) as by_source, 3131::bigint as seed from documents""")
+def _shares_sql(col, tag):
+    return f"(select string_agg(k || '=' || n, ';' order by k || '=' || n) from (select coalesce({col}::varchar, 'null') as k, count(*) as n from m group by 1)) as {tag}"
+
+
+SPLIT_SQL = "case when doc_id%10<8 then 'train' when doc_id%10=8 then 'val' else 'cal' end"
+MANIFEST_FACETS = {"by_source": "source", "by_lang": "lang", "by_split": "split", "by_label": "label"}
+
+
+@query("sink_manifest", f"""with m as (select d.*, {SPLIT_SQL} as split, case when toxic=1 then 'unsafe' when toxic=0 then 'safe' end as label from documents d left join labels using (doc_id))
+  select count(*)::bigint as n_total, count(*) filter (length(text)>=1000)::bigint as n_long, max(length(text))::bigint as len_max, sum(length(text))::bigint as chars,
+  {', '.join(_shares_sql(col, tag) for tag, col in MANIFEST_FACETS.items())}, 'seed=3131;train=0.8;val=0.1;cal=0.1;long=1000' as parameters from m""")
 def sink_manifest(spark, d):
-    n = F.length("text").cast("long")
-    per = table(spark, d, "documents").groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("lang") == "en", 1)).alias("n_en"), F.count(F.when(n >= 1000, 1)).alias("n_long"),
-        F.max(n).alias("len_max"), F.sum(n).alias("chars"))
-    # One row per source reaches the final step, which turns them into one document.
-    return per.agg(F.sum("n").alias("n_total"), F.sum("n_en").alias("n_en"), F.sum("n_long").alias("n_long"), F.max("len_max").alias("len_max"), F.sum("chars").alias("chars"),
-                   F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="), F.col("n").cast("string")))), ";").alias("by_source")).withColumn("seed", F.lit(3131).cast("long"))
+    """One document on the corpus: sizes, distributions, rows per split and the build's parameters."""
+    i = F.col("doc_id") % 10
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left").select(
+        F.length("text").cast("long").alias("len"), "source", "lang", F.when(i < 8, "train").when(i == 8, "val").otherwise("cal").alias("split"),
+        F.when(F.col("toxic") == 1, "unsafe").when(F.col("toxic") == 0, "safe").alias("label"))
+    return c.manifest(rows, "len", MANIFEST_FACETS, {"seed": 3131, "train": 0.8, "val": 0.1, "cal": 0.1, "long": 1000})
 
 
 DIGESTED = {

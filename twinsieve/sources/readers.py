@@ -51,6 +51,23 @@ def union_splits(spark: SparkSession, parts: dict[str, tuple[str, str, str]]) ->
     return out.filter(F.length("text") > 0)
 
 
+DEDUP = "struct<reason:string,jac:double,cos:double,match_train_id:string>"
+
+
+def write_verdicts(df: DataFrame, path: str, prefix: str) -> str:
+    """Screened rows, whole, in two folders ``kept=true`` and ``kept=false``; removed ones with their provenance."""
+    match = F.concat(F.lit(prefix), F.col("match_id").cast("string")).alias("match_train_id")
+    note = F.when(F.col("remove"), F.struct("reason", "jac", "cos", match))
+    df.withColumn("_dedup", note).withColumn("kept", ~F.col("remove")).drop("remove", "reason", "jac", "cos", "match_id").write.partitionBy("kept").parquet(path)
+    return path
+
+
+def read_verdicts(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Kept and removed rows of ``write_verdicts``."""
+    back = spark.read.schema(f"{schema}, _dedup {DEDUP}, kept boolean").parquet(path)
+    return back.filter("kept"), back.filter("not kept")
+
+
 _POINT = "struct<median_ms:double,actual_prompt_tokens:bigint>"
 CURVE = f"struct<per_model:map<string,struct<role:string,by_length:map<string,{_POINT}>>>>"
 FLAT = "struct<cascade_k1k2:map<string,struct<k1_ms:double,k2_ms:double>>>"
