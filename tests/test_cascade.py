@@ -9,6 +9,7 @@ from twinsieve.operators import bootstrap as b
 from twinsieve.operators import calibrate as cal
 from twinsieve.operators import cascade as k
 from twinsieve.operators import cost as c
+from twinsieve.operators import reports as rep
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +124,56 @@ def test_bootstrap_is_repeatable_and_covers_the_point(rows):
     assert one == two and one.cascade_tpr_lo <= point <= one.cascade_tpr_hi
 
 
+def test_bootstrap_of_small_groups_and_distinct_draws(spark):
+    one = spark.createDataFrame([(i, f"g{i}", 1.0) for i in range(6)] + [(i + 2**31 - 1, "far", float(i)) for i in range(6)], "id bigint, g string, v double")
+    got = {r.g: r for r in b.paired(one, "id", "v", 200, 0, ["g"]).collect()}
+    assert len(got) == 7 and all((got[f"g{i}"].lo, got[f"g{i}"].hi) == (1.0, 1.0) for i in range(6))
+    # ids a modulus apart draw differently
+    sums = {k: [r["s"] for r in b.replicate_sums(one.filter(F.col("id") == k), "id", 40, 0, {"s": F.lit(1)}).orderBy("rep").collect()] for k in (1, 2**31)}
+    assert len(sums[1]) == 40 and sums[1] != sums[2**31]
+
+
+def test_bootstrap_rates_equal_plain_replicates(rows):
+    df, y, p1, s2 = rows
+    w = {}
+    for r in b.dealt(df, "row_id").withColumn("_g", F.lit(0)).withColumn("_d", b.draws_of(0, F.col("_g"), F.col("row_id"))).select("row_id", *[b.poisson1("_d", F.lit(j)).alias(f"w{j}") for j in range(4)]).collect():
+        w[r.row_id] = r
+    for r in b.replicate_rates(df, "row_id", 0.6, n=4).collect():
+        c = np.array([w[i][f"w{r.rep}"] for i in range(len(y))])
+        yy, pp, ss = np.repeat(y, c), np.repeat(p1, c), np.repeat(s2, c)
+        _, caught, _, _ = naive_point(yy, pp, ss, 0.6)
+        benign = np.sort(ss[yy == 0])
+        alone = (ss[yy == 1] > benign[int(np.ceil((len(benign) - 1) * 0.99))]).mean()
+        assert r.cascade_tpr == pytest.approx(caught / (yy == 1).sum()) and r.stage2_dr == pytest.approx(alone)
+
+
+def test_isotonic_between_and_outside_blocks(spark):
+    fit = spark.createDataFrame([(0.2, 1), (0.4, 1), (0.6, 0), (0.8, 0)], "p1 double, label bigint")
+    at = spark.createDataFrame([(0.0,), (0.3,), (0.5,), (0.7,), (1.0,), (None,)], "p1 double")
+    got = {r.p1: r.p_iso for r in cal.apply_isotonic(at, cal.isotonic(fit)).collect()}
+    assert got == {0.0: 0.0, 0.3: 0.0, 0.5: pytest.approx(0.5), 0.7: 1.0, 1.0: 1.0, None: None}
+
+
+def test_detector_document(spark):
+    rows = [(0, None, 0, None, None), (1, "tool", 1, None, None), (1, "direct", 0, None, None), (0, None, 1, None, None)]
+    df = spark.createDataFrame(rows, "label bigint, channel string, pred bigint, score double, ms double")
+    got = {r.group: r for r in rep.evaluate_detector(df, "no such detector").collect()}
+    assert set(got) == {"overall", "tool", "direct"} and got["overall"].note.startswith("binary") and got["overall"].dr_01 is None
+    assert (got["overall"].n, got["overall"].n_benign, got["overall"].fpr_benign_only, got["overall"].usd_per_1m) == (4, 2, 0.5, None)
+    scored = rep.evaluate_detector(df.withColumn("score", F.col("pred").cast("double")), "llama3.2-1b").filter("group = 'overall'").first()
+    assert scored.note is None and scored.dr_01 == 0.0 and scored.vram_gb > 0
+    with pytest.raises(PySparkException, match="no prediction rows"):
+        rep.evaluate_detector(df.limit(0), "x").collect()
+
+
+def test_rows_without_a_token_count_stay(spark):
+    seg = c.pinned(c.segments(spark.createDataFrame([("a", 64, 1.0), ("a", 128, 2.0)], "model string, actual_tokens bigint, median_ms double")))
+    df = spark.createDataFrame([(1, 96), (2, None)], "i bigint, n bigint")
+    assert {r.i: r.k for r in c.interp(df, "n", seg, "a", "k").collect()} == {1: 1.5, 2: None}
+    with pytest.raises(ValueError, match="no model"):
+        c.interp(df, "n", seg, "b", "k")
+
+
 def test_cost_known_answers(spark):
     one = spark.createDataFrame([(2.0, 100.0, 0.2)], "k1_ms double, k2_ms double, e double")
     r = c.cascade_cost(one).first()

@@ -39,15 +39,13 @@ def first_by(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
 
 
 def dedup_exact(df: DataFrame, text: str, order: str, *extra: str) -> DataFrame:
-    """First row per normalised text (and per any extra key). Only the digest of the text is a key."""
-    return first_by(df, [*[F.col(c) for c in extra], F.md5(t.norm_exact(F.col(text)).cast("binary"))], order)
+    """First row per normalised text (and per any extra key), by an id without repeats.
 
-
-def first_match(df: DataFrame, text: str, ident: str) -> DataFrame:
-    """For every row the smallest id with the same normalised text."""
-    keyed = df.withColumn("_key", F.md5(t.norm_exact(F.col(text)).cast("binary")))
-    owner = keyed.groupBy("_key").agg(F.min(ident).alias("match_id"))
-    return keyed.join(owner, "_key").drop("_key")
+    The first ids are found on digests, with map-side combine, so a group of copies of any size is one row per task;
+    the texts move once, to meet those ids.
+    """
+    keyed = df.select(order, *extra, F.md5(t.norm_exact(F.col(text)).cast("binary")).alias("_key"))
+    return df.join(keyed.groupBy(*extra, "_key").agg(F.min(order).alias(order)).select(order), order, "left_semi")
 
 
 def with_variants(df: DataFrame, text: str, chosen: Column) -> DataFrame:

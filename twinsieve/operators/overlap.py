@@ -9,18 +9,32 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions.scores import ratio
-from twinsieve.operators.ranks import holds, bucket_holds, running
+from twinsieve.operators.ranks import bucket_holds, holds, running
+from twinsieve.sources.readers import stored
+
+
+HOT_SHARE = 1000  # a gram with more than this part of all gram rows is hot: there are fewer than this many
 
 
 def coverage(df: DataFrame, ref: DataFrame, ident: str, text: str, keep: Sequence[str] = (), tail: int = 80, k: int = 5) -> DataFrame:
-    """Share of each row's tail grams that occur in the reference tails; 0 for a row without grams."""
-    grams = lambda x, *c: x.select(*c, F.explode(t.tail_shingles(F.col(text), tail, k)).alias("g"))
-    vocab = grams(ref).distinct().withColumn("_seen", F.lit(1))
-    own = grams(df, ident)
-    # A gram that most rows share is a skewed key on the left and one row on the right; the adaptive
-    # skew join splits it, and a small vocabulary is broadcast at run time.
-    share = own.join(vocab, "g", "left").groupBy(ident).agg((F.count("_seen") / F.count(F.lit(1))).alias("_c"))
-    return df.select(ident, *keep).join(share, ident, "left").select(ident, *keep, F.coalesce("_c", F.lit(0.0)).alias("coverage"))
+    """Share of each row's tail grams that occur in the reference tails; 0 for a row without grams.
+
+    Rows with one tail are one entry, and grams are 64-bit hashes. Which grams are known is settled on distinct grams.
+    A gram that most tails share would meet in one task, so hot grams go to the rows by broadcast (fewer than
+    ``HOT_SHARE`` by their definition) and only the others are joined by shuffle.
+    """
+    end = lambda x: t.squeeze(F.right(F.col(text), F.lit(tail)))
+    grams = lambda x: F.transform(t.shingle_set(x, k, short_text=False), lambda g: F.xxhash64(g))
+    rows = stored(df.select(ident, *keep, F.md5(end(df).cast("binary")).alias("_tail"), end(df).alias("_end")), "tails")
+    own = stored(rows.groupBy("_tail").agg(F.first("_end").alias("_end")).select("_tail", F.explode(grams(F.col("_end"))).alias("g")), "tail-grams")
+    known = ref.select(end(ref).alias("_end")).distinct().select(F.explode(grams(F.col("_end"))).alias("g")).distinct()
+    total = own.count()
+    seen = stored(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(known, "g", "left_semi"), "seen-grams")
+    hot = F.col("n") * HOT_SHARE > total
+    hits = own.join(F.broadcast(seen.filter(hot)), "g", "left_semi").unionByName(own.join(seen.filter(~hot), "g", "left_semi"))
+    share = own.groupBy("_tail").agg(F.count(F.lit(1)).alias("_n")).join(hits.groupBy("_tail").agg(F.count(F.lit(1)).alias("_hits")), "_tail", "left")
+    share = share.select("_tail", (F.coalesce("_hits", F.lit(0)) / F.col("_n")).alias("_c"))
+    return stored(rows.join(share, "_tail", "left").select(ident, *keep, F.coalesce("_c", F.lit(0.0)).alias("coverage")), "coverage")
 
 
 def coverage_summary(cov: DataFrame, key: str) -> DataFrame:

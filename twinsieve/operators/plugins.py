@@ -15,7 +15,8 @@ Scorer = Callable[[list[str]], list[tuple[float, float]]]
 def score_texts(df: DataFrame, ident: str, text: str, make_scorer: Callable[[], Scorer]) -> DataFrame:
     """Score texts with a user model: ``(ident, logp_benign, logp_injection, p_safe)``.
 
-    ``make_scorer`` runs once per task (load the model there); the scorer sees one Arrow batch at a time.
+    ``make_scorer`` runs once per task (load the model there); the scorer sees one Arrow batch at a time. A NULL or
+    empty text is an error, as a score for it would look like any other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,7 +27,8 @@ def score_texts(df: DataFrame, ident: str, text: str, make_scorer: Callable[[],
                 gap = pair[:, 1] - pair[:, 0]
                 yield pd.DataFrame({ident: b[ident], "logp_benign": pair[:, 0], "logp_injection": pair[:, 1], "p_safe": 1.0 / (1.0 + np.exp(gap))})
 
-    return df.select(ident, text).mapInPandas(run, f"{ident} bigint, logp_benign double, logp_injection double, p_safe double")
+    body = F.when(F.length(text) > 0, F.col(text)).otherwise(F.raise_error(F.lit("there is a row without a text to score")).cast("string"))
+    return df.select(ident, body.alias(text)).mapInPandas(run, f"{ident} bigint, logp_benign double, logp_injection double, p_safe double")
 
 
 def metric_by(df: DataFrame, key: str, partial: Callable[[pd.DataFrame], dict[str, float]], parts: Sequence[str], finish: dict[str, Column]) -> DataFrame:
