@@ -81,8 +81,8 @@ def group_split(df: DataFrame, group: str, seed: int, shares: Mapping[str, float
 
 
 def sample_cap(df: DataFrame, key: str, seed: int, cap: int) -> DataFrame:
-    """Seeded shuffle, then the first ``cap`` rows (a top-k, never a full sort)."""
-    return df.withColumn("_h", order_key(seed, key)).orderBy("_h", key).limit(cap).drop("_h")
+    """Seeded shuffle, then the first ``cap`` rows; digests beyond the cap's bucket are dropped before anything moves."""
+    return number_by_hash(df.withColumn("_h", order_key(seed, key)), "_h", [key], name="_place", limit=cap).drop("_h", "_place")
 
 
 def sample_bernoulli(df: DataFrame, key: str, seed: int, share: float) -> DataFrame:

@@ -214,10 +214,10 @@ def number_by_hash(
 
 
 def number_by_value(
-    df: DataFrame, value: str, ties: Sequence[str] = (), keys: Sequence[str] = (), name: str = "rn"
+    df: DataFrame, value: str, ties: Sequence[str] = (), keys: Sequence[str] = (), name: str = "rn", limit: int | None = None
 ) -> DataFrame:
     """Row numbers under a numeric column, cut into buckets by a sketch of that column."""
     cuts = cut_points(df, value)
     rows = with_bucket(df, value, cuts).withColumnRenamed(BUCKET, "_vb")
-    out = number_rows(rows, [F.col(value), *[F.col(t) for t in ties]], F.col("_vb"), keys, name)
+    out = number_rows(rows, [F.col(value), *[F.col(t) for t in ties]], F.col("_vb"), keys, name, limit)
     return out.drop("_vb")

@@ -171,9 +171,9 @@ def length_balance(spark, d):
     return c.length_balance(x, donors, "row_id", 3131, 0.1903).select("row_id", "label", "donor_id", "text")
 
 
-@query("head_n", "select doc_id, lang, source from documents where doc_id < 500")
+@query("head_n", "select doc_id, lang, source from documents order by doc_id limit 500")
 def head_n(spark, d):
-    return docs(spark, d).filter("doc_id < 500").select("doc_id", "lang", "source")
+    return number_by_value(docs(spark, d).select("doc_id", "lang", "source"), "doc_id", limit=500).drop("rn")
 
 
 @query("pick_examples", with_(SCORED, "sus as (select *, 1e0-p1 as s1, 1e0-p2 as s2 from scored)") + f""",
