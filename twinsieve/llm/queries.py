@@ -69,7 +69,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_pairs(neighbours(table(spark, sf_dir, "conversations")))
+    pairs = preference_pairs(neighbours(table(spark, sf_dir, "conversations")))
+    flat = lambda m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return pairs.withColumns({c: flat(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 @_query

@@ -79,3 +79,98 @@ with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t fro
       string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base from y group by 1)
 select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(c, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
   coalesce(spans, '') as spans, coalesce(w, 0)::bigint as n_weak from d left join z on z.r = d.r"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected polynomial 0xEDB88320."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+ORACLES["op2_sharding"] = f"""
+with d as (select doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::bigint as size, string_split(hex(encode(coalesce(text, ''))), '') as x from documents),
+  b as (select doc_id, size, list_transform(range(0, size - 1), lambda i: (instr('0123456789ABCDEF', x[2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', x[2*i+2]) - 1) as bs from d),
+  c as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, bs::bigint[]), lambda c, v: xor(c >> 8, ({_crc_table()}::bigint[])[(xor(c, v) & 255) + 1])), 4294967295::bigint) as text_crc32 from b),
+  p as (select *, sum(size) over (order by doc_id) - size as before, sum(size) over () as total from c),
+  s as (select *, least(15, (2 * before + size) * 16 // (2 * total))::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id) - 1)::bigint as slot, null::int as grown_shard from s"""
+
+_TURN = "('<|' || coalesce({x}.role, 'unknown') || '|>' || chr(10))"
+_BODY = "(coalesce({x}.text, '') || '<|end|>' || chr(10))"
+
+
+def _rendered(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda x: {_TURN.format(x='x')} || {_BODY.format(x='x')}), ''), '')"
+
+
+def _mask(turns: str) -> str:
+    size = f"length({_TURN.format(x='y')} || {_BODY.format(x='y')})"
+    at = f"coalesce(list_sum(list_transform({turns}[:i-1], lambda y: {size})), 0)::bigint + length({_TURN.format(x='x')})"
+    span = f"({at}) || ':' || ({at} + length({_BODY.format(x='x')}))"
+    return f"coalesce(array_to_string(list_filter(list_transform({turns}, lambda x, i: case when x.role = 'assistant' then {span} end), lambda s: s is not null), ','), '')"
+
+
+ORACLES["op9_chat_formatting"] = f"""
+with t as (select conv_id // 2 as pair_id, conv_id % 2 = 1 as rejected, {{'role': role, 'text': text}} as said, turn as place from conversations where conv_id is not null),
+  p as (select pair_id, coalesce(list(said order by place, said) filter (not rejected), list(said)[:0]) as a, coalesce(list(said order by place, said) filter (rejected), list(said)[:0]) as b from t group by 1),
+  l as (select *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b)))::bigint as n from p),
+  r as (select pair_id, n, a[:n] as common, a[n+1:] as kept, b[n+1:] as lost, a = b as identical from l)
+select pair_id, n as n_prompt_turns, {_rendered('common')} as prompt, {_rendered('kept')} as chosen, {_mask('kept')} as chosen_mask, {_rendered('lost')} as rejected, {_mask('lost')} as rejected_mask, identical from r"""
+
+
+def _urls_sql(depth: int = 4) -> str:
+    """Rules and templates of op1, level by level."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rest = "substr(url, instr(url, '://') + 3)"
+    ts = [f"t{d}" for d in range(1, depth + 1)]
+    fits = lambda h: f"(host = '{h}' or ends_with(host, '.{h}'))"
+    rules = (("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow"))
+    pick = lambda f: "case " + " ".join(f"when {fits(h)} and starts_with(path, '{p}') then '{f(h, p, v)}'" for h, p, v in rules) + " end"
+    parts = [
+        f"h as (select page_id, row_number() over () as r, case when instr(url, '://') > 0 then translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') else '' end as host, "
+        f"case when instr(url, '://') > 0 then regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) else '' end as path from pages)",
+        f"s as (select *, {pick(lambda h, p, v: h + p)} as rule, {pick(lambda h, p, v: v)} as fixed, string_split(regexp_replace(path, '^/', ''), '/') as raw from h)",
+        f"g as (select *, list_transform(raw[:{depth}], lambda x: case when regexp_full_match(x, '[0-9a-fA-F-]{{16,}}') then '<hex>' else regexp_replace(x, '[0-9]+', '<num>', 'g') end) as general from s)",
+        f"r0 as (select page_id, r, host, path, rule, fixed, case when len(raw) > {depth} then list_concat(general[:{depth - 1}], ['**']) else general end as segs, '' as p from g)",
+    ]
+    for d in range(1, depth + 1):
+        parts += [
+            f"c{d} as (select host, p, coalesce(segs[{d}], '') as seg, count(*) as n from r{d - 1} group by all)",
+            f"l{d} as (select host, p, seg from (select *, sum(n) over (partition by host, p) as total from c{d}) where n >= 10 and n >= 0.01e0 * total)",
+            f"x{d} as (select r{d - 1}.*, case when l{d}.seg is not null or coalesce(segs[{d}], '') = '' or regexp_full_match(segs[{d}], '<[a-z]+>(\\.[a-z]+)?') then coalesce(segs[{d}], '') else '*' end as t{d} "
+            f"from r{d - 1} left join l{d} on l{d}.host = r{d - 1}.host and l{d}.p = r{d - 1}.p and l{d}.seg = coalesce(segs[{d}], ''))",
+            f"r{d} as materialized (select * replace (p || '/' || t{d} as p) from x{d})",
+        ]
+    keys = ", ".join(ts)
+    parts.append(f"m{depth} as (select host, {', '.join(f'{t} as o{t[1:]}' for t in ts)}, {keys}, count(*) as n, count(*) filter (fixed = 'allow') as good, count(*) filter (fixed = 'block') as bad from r{depth} group by host, {keys})")
+    critical = lambda dof: f"(case when {dof} > 0 then {dof} * pow(1e0 - 2e0 / (9e0 * {dof}) + 2.326e0 * sqrt(2e0 / (9e0 * {dof})), 3) else 0e0 end)"
+    term = lambda n, m: f"(case when {n} > 0 then {n} * ln({n} * (goods + bads)::double / ((good + bad) * {m})) else 0e0 end)"
+    for d in range(depth, 0, -1):
+        up = ", ".join(["host", *ts[: d - 1]])
+        below = "concat_ws('/', '', " + ", ".join(ts[d:]) + ")" if ts[d:] else "''"
+        g, gl = "(gg + own * ln(owns::double / own))", f"({term('good', 'goods')} + {term('bad', 'bads')})"
+        parts += [
+            f"k{d} as (select *, sum(n) over (partition by {up}, below) as m from (select {up}, t{d}, {below} as below, sum(n) as n, sum(good) as good, sum(bad) as bad from m{d} group by all))",
+            f"b{d} as (select {up}, t{d}, sum(n) as own, sum(good) as good, sum(bad) as bad, sum(n * ln(n / m::double)) as gg from k{d} group by all)",
+            f"f{d} as (select {up}, count(distinct below) - 1 as dof from k{d} group by all)",
+            f"w{d} as (select b{d}.*, dof, sum(own) over q as owns, sum(good) over q as goods, sum(bad) over q as bads, count(*) over q as kids from b{d} join f{d} using ({up}) window q as (partition by {up}))",
+            f"a{d} as (select {up}, t{d} from w{d} where kids > 1 and t{d} <> '' and (2 * {g} <= {critical('dof')} + 1e-9 or {g} <= 0.02e0 * own) "
+            f"and (good + bad = 0 or 2 * {gl} <= {critical('1e0')} + 1e-9 or {gl} <= 0.02e0 * (good + bad)))",
+            f"m{d - 1} as (select m{d}.* replace (case when a{d}.t{d} is not null then '*' else m{d}.t{d} end as t{d}) from m{d} left join a{d} using ({up}, t{d}))",
+        ]
+    join = ", ".join(["host", *ts])
+    parts += [
+        "al as (select coalesce(sum(bad)::double / nullif(sum(good) + sum(bad), 0), 0e0) as p from m0)",
+        "ho as (select host, (sum(bad) + 5e0 * max(p)) / (sum(bad) + sum(good) + 5e0) as ph from m0, al group by 1)",
+        f"te as (select {join}, round((sum(bad) + 5e0 * max(ph)) / (sum(bad) + sum(good) + 5e0), 9) as purity from m0 join ho using (host) group by all)",
+        f"sc as (select m0.host, {', '.join(f'o{d}' for d in range(1, depth + 1))}, rtrim(concat_ws('/', '', {keys}), '/') as template, purity from m0 join te using ({join}))",
+    ]
+    on = " and ".join(f"sc.o{d} = r{depth}.t{d}" for d in range(1, depth + 1))
+    return "with " + ",\n ".join(parts) + f"\nselect page_id, r{depth}.host, path, rule, coalesce(fixed, case when purity > 0.8e0 then 'block' else 'allow' end) as verdict, template, purity from r{depth} join sc on sc.host = r{depth}.host and {on}"
+
+
+ORACLES["op1_url_filters"] = _urls_sql()
