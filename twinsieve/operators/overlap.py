@@ -29,7 +29,7 @@ def coverage(df: DataFrame, ref: DataFrame, ident: str, text: str, keep: Sequenc
     own = stored(rows.groupBy("_tail").agg(F.first("_end").alias("_end")).select("_tail", F.explode(grams(F.col("_end"))).alias("g")), "tail-grams")
     known = ref.select(end(ref).alias("_end")).distinct().select(F.explode(grams(F.col("_end"))).alias("g")).distinct()
     total = own.count()
-    seen = stored(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(known, "g", "left_semi"), "seen-grams")
+    seen = stored(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(known.hint("merge"), "g", "left_semi"), "seen-grams")
     hot = F.col("n") * HOT_SHARE > total
     hits = own.join(F.broadcast(seen.filter(hot)), "g", "left_semi").unionByName(own.join(seen.filter(~hot), "g", "left_semi"))
     share = own.groupBy("_tail").agg(F.count(F.lit(1)).alias("_n")).join(hits.groupBy("_tail").agg(F.count(F.lit(1)).alias("_hits")), "_tail", "left")
