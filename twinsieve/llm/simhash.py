@@ -97,7 +97,8 @@ def near_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     balls = _half_balls(nodes)
     sizes = balls.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = stored(balls.join(sizes, "key"), "simhash-met")
+    # Never broadcast: Spark takes the exploded side to be as small as the table it comes from.
+    met = stored(balls.join(sizes.hint("merge"), "key"), "simhash-met")
     buckets = met.filter(F.col("size") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("members"))
     few = buckets.select("members").mapInArrow(_forest, "a long, b long")
     many = _full_balls(met.filter(F.col("size") > crowd).select("fp").distinct())
