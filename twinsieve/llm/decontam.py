@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ TOKEN = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?\n]+\s*")
 SHINGLE = 5
 OVERLAP = 0.8
-SHARE = 0.5  # of an item's own BM25 score that a passage must reach
+EPS = 1e-9
+SLACK = 1e-4  # of bounds summed in single precision
 K1, B = 1.2, 0.75
 BLOCK = 16  # items under one bound
-INDEX_BYTES = 16 << 20  # of item texts in one broadcast index
+SECTIONS = 64  # coarser blocks, bounded for all passages of a text at once
+INDEX_BYTES = 4 << 20  # of item texts in one broadcast index
 
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 
@@ -38,7 +41,10 @@ def answer_start(text: str) -> int:
 
 @dataclass
 class LengthClass:
-    """The items of up to ``reach`` tokens, as postings by term with a bound per term and per (term, block)."""
+    """The items of up to ``reach`` tokens, as postings by term with a bound per (term, section) and per (term, block).
+
+    Weights are shares of what an item must score, so that its threshold is 1.
+    """
 
     reach: int
     items: np.ndarray
@@ -48,22 +54,41 @@ class LengthClass:
     block_starts: np.ndarray
     block_no: np.ndarray
     block_weight: np.ndarray
-    term_weight: np.ndarray = field(repr=False)
+    section_weight: np.ndarray = field(repr=False)  # by term and section
+    least: np.ndarray  # what each item must score, as a share of its own score
+
+
+def _slices(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Places of all postings of some terms."""
+    lo, n = starts[terms], starts[terms + 1] - starts[terms]
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Codes(dict):
+    """Numbers of terms; -1 for one that no item has."""
+
+    def __missing__(self, term: str) -> int:
+        return -1
 
 
 class Index:
-    """BM25 weights of a bounded set of items, as shares of an item's own score."""
+    """BM25 weights of a bounded set of items.
+
+    A passage that holds OVERLAP of an item's S shingles misses at most (1 - OVERLAP) S of its words, whatever they
+    are. So its score is at least the item's own less that many of its largest weights: the threshold of the
+    item. Retrieval above it misses no pair that the overlap test would report.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], df: dict[str, int], n_items: int, mean_length: float):
         self.ids = [i for i, _ in items]
         found = [tokens(t) for _, t in items]
-        self.terms: dict[str, int] = {}
+        self.terms = Codes()
         for ts in found:
             for t in ts:
                 self.terms.setdefault(t, len(self.terms))
         self.coded = [np.array([self.terms[t] for t in ts], np.int64) for ts in found]
         self.split = [answer_start(t or "") for _, t in items]
-        idf = np.zeros(len(self.terms) + 1)
+        idf = np.zeros(len(self.terms))
         for t, k in self.terms.items():
             idf[k] = np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5))
         by_reach = defaultdict(list)
@@ -73,35 +98,37 @@ class Index:
         self.classes = [self._class(reach, np.array(own), idf, mean_length) for reach, own in sorted(by_reach.items())]
 
     def _class(self, reach: int, own: np.ndarray, idf: np.ndarray, mean_length: float) -> LengthClass:
-        rows = []
+        rows, least = [], np.ones(len(own))
         for n, i in enumerate(own):
             tf = Counter(self.coded[i].tolist())
             w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.coded[i]) / mean_length)) for t, f in tf.items()}
-            total = sum(w.values())
-            rows += [(t, n, x / total) for t, x in w.items()]
+            total, size = sum(w.values()), len(self.coded[i])
+            shingles = max(1, size - SHINGLE + 1)
+            missed = shingles - math.ceil(OVERLAP * shingles - EPS)
+            least[n] = max(0.05, 1 - sum(sorted(w.values(), reverse=True)[:missed]) / total)
+            rows += [(t, n, x / total / least[n]) for t, x in w.items()]
         rows.sort()
         term, item, weight = (np.array(c) for c in zip(*rows))
-        n_terms = len(idf)
+        n_terms = len(self.terms)
         blocks: dict[tuple[int, int], float] = {}
         for t, n, x in rows:
             blocks[t, n // BLOCK] = max(x, blocks.get((t, n // BLOCK), 0.0))
         b_term, b_no = (np.array(c) for c in zip(*blocks))
-        term_weight = np.zeros(n_terms)
-        np.maximum.at(term_weight, term, weight)
+        section_weight = np.zeros((n_terms, min(SECTIONS, -(-len(own) // BLOCK))), np.float32)
+        np.maximum.at(section_weight, (term, item * section_weight.shape[1] // len(own)), weight.astype(np.float32))
         edge = np.arange(n_terms + 1)
-        return LengthClass(reach, own, np.searchsorted(term, edge), item, weight, np.searchsorted(b_term, edge), b_no, np.array(list(blocks.values())), term_weight)
+        return LengthClass(reach, own, np.searchsorted(term, edge), item, weight, np.searchsorted(b_term, edge), b_no, np.array(list(blocks.values())), section_weight, least)
 
     def _above(self, c: LengthClass, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that score at least SHARE for a set of terms. Blocks whose bound is lower are skipped."""
-        take = lambda starts: np.concatenate([np.arange(starts[t], starts[t + 1]) for t in terms])
-        at = take(c.block_starts)
+        """Items that reach their threshold for a set of terms. Blocks whose bound is lower are skipped."""
+        at = _slices(c.block_starts, terms)
         bound = np.bincount(c.block_no[at], c.block_weight[at])
-        if not (bound >= SHARE).any():
+        if not (bound >= 1 - EPS).any():
             return []
-        at = take(c.starts)
-        at = at[bound[c.posting_item[at] // BLOCK] >= SHARE]
+        at = _slices(c.starts, terms)
+        at = at[bound[c.posting_item[at] // BLOCK] >= 1 - EPS]
         score = np.bincount(c.posting_item[at], c.posting_weight[at])
-        return [(int(c.items[i]), float(score[i])) for i in np.flatnonzero(score >= SHARE)]
+        return [(int(c.items[i]), float(score[i] * c.least[i])) for i in np.flatnonzero(score >= 1 - EPS)]
 
     def _overlaps(self, i: int, passage: np.ndarray) -> tuple[float, float, float]:
         """Shares of an item's shingles in a passage: those before the answer, those that end in it, all."""
@@ -118,21 +145,28 @@ class Index:
         """Leaked items of a text: score and overlaps of the best passage.
 
         Passages are twice as long as the longest item of a length class and start half a passage apart, so
-        every occurrence of an item lies in one. The sum of the terms' bounds rules out most of them at once.
+        every occurrence of an item lies in one. The bounds of the terms of its two halves, summed per section of the
+        index for all passages at once, rule out nearly all.
         """
-        get = self.terms.get
-        code = np.array([get(t, -1) for t in tokens(text)], np.int64)
+        code = np.array(list(map(self.terms.__getitem__, tokens(text))), np.int64)
         out: dict[int, tuple[float, float, float, float]] = {}
         if not len(code) or (code < 0).all():
             return out
+        place = np.flatnonzero(code >= 0)
         for c in self.classes:
-            run = np.concatenate([[0.0], np.cumsum(c.term_weight[code])])  # -1 is the extra last term, of no weight
-            start = np.arange(0, max(1, len(code) - c.reach), c.reach)
-            end = np.minimum(start + 2 * c.reach, len(code))
-            for a, b in zip(start[run[end] - run[start] >= SHARE - 1e-9], end[run[end] - run[start] >= SHARE - 1e-9]):
-                passage = code[a:b]
-                terms = np.unique(passage)
-                for i, score in self._above(c, terms[terms >= 0]):
+            # distinct known terms of every half passage
+            pair = np.unique(place // c.reach * len(self.terms) + code[place])
+            half, term = np.divmod(pair, len(self.terms))
+            n = -(-len(code) // c.reach)
+            edge = np.searchsorted(half, np.arange(n + 2))
+            full = np.flatnonzero(edge[1:] > edge[:-1])
+            bound = np.zeros((n + 1, c.section_weight.shape[1]), np.float32)
+            bound[full] = np.add.reduceat(c.section_weight[term], edge[full])
+            for k in np.flatnonzero((bound[: max(1, n - 1)] + bound[1: max(1, n - 1) + 1] >= 1 - SLACK).any(1)).tolist():
+                passage, terms = code[k * c.reach: (k + 2) * c.reach], np.unique(term[edge[k]: edge[min(k + 2, n)]])
+                if (c.section_weight[terms].sum(0) < 1 - SLACK).all():
+                    continue  # a term of both halves counts once
+                for i, score in self._above(c, terms):
                     question, answer, both = self._overlaps(i, passage)
                     if both >= OVERLAP and question > 0 and answer > 0 and both > out.get(i, (0, 0, 0, 0))[3]:
                         out[i] = (round(score, 6), question, answer, both)  # sums may differ in the last digits
@@ -171,8 +205,8 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
-    Every passage of every text is a query to the index of items. It retrieves the items for which its BM25 score
-    is at least half of the item's own; bounds per term and per block of items rule out the rest unseen. A pair is
+    Every passage of every text is a query to the index of items. It retrieves the items whose threshold its BM25
+    score reaches (see ``Index``); bounds per section and per block of items rule out the rest unseen. A pair is
     reported if the passage holds 0.8 or more of the item's 5-word shingles, with some from the question and some
     that end in the answer (the last sentence). Words are runs of letters and digits, case ignored.
 
