@@ -88,3 +88,15 @@ def test_preference_pairs(spark, source):
         for turns, text, mask in ((a[n:], chosen, r.chosen_mask), (b[n:], rejected, r.rejected_mask)):
             assert [text[m.start:m.end] for m in mask] == [(t or "") + "<|end|>\n" for role, t in turns if role == "assistant"]
     assert preference_pairs(neighbours(df.limit(0))).count() == 0 and PAIRS.startswith("pair_id")
+
+
+@pytest.mark.parametrize("gap", [10, 30, 500])
+def test_insertion_at_every_offset(gap):
+    """A copy of 32 words with words put in, wherever it stands in the text."""
+    item = " ".join(f"q{i}" for i in range(31)) + ". a31"
+    index = decontam.Index([(1, item)], {t: 1 for t in tokens(item)}, 1, 32.0)
+    words = item.split()
+    copy = [*words[:16], *(f"put{i}" for i in range(gap)), *words[16:]]
+    for offset in range(70):
+        text = " ".join([*(f"x{i}" for i in range(offset)), *copy, "end"])
+        assert shares(text, item) == 24 / 28 and index.matches(text)[0][3] == 24 / 28

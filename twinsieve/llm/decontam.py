@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,8 @@ SENTENCE_END = re.compile(r"[.!?\n]+\s*")
 SHINGLE = 5
 OVERLAP = 0.8
 EPS = 1e-9
-SLACK = 1e-4  # of bounds summed in single precision
 K1, B = 1.2, 0.75
 BLOCK = 16  # items under one bound
-SECTIONS = 64  # coarser blocks, bounded for all passages of a text at once
 INDEX_BYTES = 4 << 20  # of item texts in one broadcast index
 
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
@@ -39,25 +36,6 @@ def answer_start(text: str) -> int:
     return len(tokens(text[: ends[-1]])) if ends else 0
 
 
-@dataclass
-class LengthClass:
-    """The items of up to ``reach`` tokens, as postings by term with a bound per (term, section) and per (term, block).
-
-    Weights are shares of what an item must score, so that its threshold is 1.
-    """
-
-    reach: int
-    items: np.ndarray
-    starts: np.ndarray  # postings of term t: starts[t] .. starts[t + 1]
-    posting_item: np.ndarray
-    posting_weight: np.ndarray
-    block_starts: np.ndarray
-    block_no: np.ndarray
-    block_weight: np.ndarray
-    section_weight: np.ndarray = field(repr=False)  # by term and section
-    least: np.ndarray  # what each item must score, as a share of its own score
-
-
 def _slices(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Places of all postings of some terms."""
     lo, n = starts[terms], starts[terms + 1] - starts[terms]
@@ -72,14 +50,16 @@ class Codes(dict):
 
 
 class Index:
-    """BM25 weights of a bounded set of items.
+    """BM25 weights and shingles of a bounded set of items.
 
-    A passage that holds OVERLAP of an item's S shingles misses at most (1 - OVERLAP) S of its words, whatever they
-    are. So its score is at least the item's own less that many of its largest weights: the threshold of the
-    item. Retrieval above it misses no pair that the overlap test would report.
+    A text that holds OVERLAP of an item's S shingles, wherever they stand, misses at most (1 - OVERLAP) S of its words,
+    whatever they are. So its score is at least the item's own less that many of its largest weights: the threshold
+    of the item. Retrieval above it misses no pair that the overlap test would report. Weights are kept as shares of
+    what an item must score, so that its threshold is 1, with a bound per (term, block of items).
     """
 
     def __init__(self, items: list[tuple[int | None, str | None]], df: dict[str, int], n_items: int, mean_length: float):
+        items = [(i, t) for i, t in items if tokens(t)]
         self.ids = [i for i, _ in items]
         found = [tokens(t) for _, t in items]
         self.terms = Codes()
@@ -91,85 +71,116 @@ class Index:
         idf = np.zeros(len(self.terms))
         for t, k in self.terms.items():
             idf[k] = np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5))
-        by_reach = defaultdict(list)
-        for i, c in enumerate(self.coded):
-            if len(c):
-                by_reach[1 << int(len(c) - 1).bit_length()].append(i)
-        self.classes = [self._class(reach, np.array(own), idf, mean_length) for reach, own in sorted(by_reach.items())]
-
-    def _class(self, reach: int, own: np.ndarray, idf: np.ndarray, mean_length: float) -> LengthClass:
-        rows, least = [], np.ones(len(own))
-        for n, i in enumerate(own):
-            tf = Counter(self.coded[i].tolist())
-            w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.coded[i]) / mean_length)) for t, f in tf.items()}
-            total, size = sum(w.values()), len(self.coded[i])
-            shingles = max(1, size - SHINGLE + 1)
+        if self.ids:
+            self._weigh(idf, mean_length)
+            self._file()
+
+    def _weigh(self, idf: np.ndarray, mean_length: float) -> None:
+        """Postings of term t: starts[t] .. starts[t + 1]; least is what each item must score, as a share of its own score."""
+        rows, self.least = [], np.ones(len(self.ids))
+        for n, code in enumerate(self.coded):
+            tf = Counter(code.tolist())
+            w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(code) / mean_length)) for t, f in tf.items()}
+            total = sum(w.values())
+            shingles = max(1, len(code) - SHINGLE + 1)
             missed = shingles - math.ceil(OVERLAP * shingles - EPS)
-            least[n] = max(0.05, 1 - sum(sorted(w.values(), reverse=True)[:missed]) / total)
-            rows += [(t, n, x / total / least[n]) for t, x in w.items()]
+            self.least[n] = max(0.05, 1 - sum(sorted(w.values(), reverse=True)[:missed]) / total)
+            rows += [(t, n, x / total / self.least[n]) for t, x in w.items()]
         rows.sort()
-        term, item, weight = (np.array(c) for c in zip(*rows))
-        n_terms = len(self.terms)
+        term, self.posting_item, self.posting_weight = (np.array(c) for c in zip(*rows))
         blocks: dict[tuple[int, int], float] = {}
         for t, n, x in rows:
             blocks[t, n // BLOCK] = max(x, blocks.get((t, n // BLOCK), 0.0))
-        b_term, b_no = (np.array(c) for c in zip(*blocks))
-        section_weight = np.zeros((n_terms, min(SECTIONS, -(-len(own) // BLOCK))), np.float32)
-        np.maximum.at(section_weight, (term, item * section_weight.shape[1] // len(own)), weight.astype(np.float32))
-        edge = np.arange(n_terms + 1)
-        return LengthClass(reach, own, np.searchsorted(term, edge), item, weight, np.searchsorted(b_term, edge), b_no, np.array(list(blocks.values())), section_weight, least)
+        b_term, self.block_no = (np.array(c) for c in zip(*blocks))
+        self.block_weight = np.array(list(blocks.values()))
+        edge = np.arange(len(self.terms) + 1)
+        self.starts, self.block_starts = np.searchsorted(term, edge), np.searchsorted(b_term, edge)
+
+    def _file(self) -> None:
+        """Numbers for all runs of 1 to SHINGLE words in the items, and the items that have a run as a shingle.
 
-    def _above(self, c: LengthClass, terms: np.ndarray) -> list[tuple[int, float]]:
+        A run is the number of the run without its last word, and that word; so equal numbers are equal words.
+        """
+        size = np.array([len(c) for c in self.coded])
+        code, owner = np.concatenate(self.coded), np.repeat(np.arange(len(size)), size)
+        rest = np.repeat(np.cumsum(size), size) - np.arange(len(code))
+        self.length = np.minimum(size, SHINGLE)  # words of an item's shingles
+        self.n_shingles = size - self.length + 1
+        self.grams: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)  # shingles of each item, in order
+        self.runs, self.filed = [], []
+        number = code.copy()
+        for k in range(1, SHINGLE + 1):
+            at = np.flatnonzero(rest >= k)
+            if k > 1:
+                run, inverse = np.unique(number[at] * len(self.terms) + code[at + k - 1], return_inverse=True)
+                self.runs.append(run)
+                number[at] = inverse
+            own = at[self.length[owner[at]] == k]
+            for i, g in zip(np.unique(owner[own]).tolist(), np.split(number[own], np.flatnonzero(np.diff(owner[own])) + 1)):
+                self.grams[i] = g
+            pair, n = np.unique(np.stack([number[own], owner[own]], 1), axis=0, return_counts=True)
+            n_runs = len(self.terms) if k == 1 else len(self.runs[-1])
+            self.filed.append((np.searchsorted(pair[:, 0], np.arange(n_runs + 1)), pair[:, 1], n))
+
+    def _above(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Items that reach their threshold for a set of terms. Blocks whose bound is lower are skipped."""
-        at = _slices(c.block_starts, terms)
-        bound = np.bincount(c.block_no[at], c.block_weight[at])
+        at = _slices(self.block_starts, terms)
+        bound = np.bincount(self.block_no[at], self.block_weight[at])
         if not (bound >= 1 - EPS).any():
             return []
-        at = _slices(c.starts, terms)
-        at = at[bound[c.posting_item[at] // BLOCK] >= 1 - EPS]
-        score = np.bincount(c.posting_item[at], c.posting_weight[at])
-        return [(int(c.items[i]), float(score[i] * c.least[i])) for i in np.flatnonzero(score >= 1 - EPS)]
-
-    def _overlaps(self, i: int, passage: np.ndarray) -> tuple[float, float, float]:
-        """Shares of an item's shingles in a passage: those before the answer, those that end in it, all."""
-        code = self.coded[i]
-        k = min(SHINGLE, len(code))
-        grams = lambda x: [tuple(g) for g in np.lib.stride_tricks.sliding_window_view(x, k).tolist()] if len(x) >= k else []
-        there = set(grams(passage))
-        hits = np.array([g in there for g in grams(code)])
-        in_answer = np.arange(len(hits)) + k > self.split[i]
+        at = _slices(self.starts, terms)
+        at = at[bound[self.posting_item[at] // BLOCK] >= 1 - EPS]
+        score = np.bincount(self.posting_item[at], self.posting_weight[at])
+        return [(int(i), float(score[i] * self.least[i])) for i in np.flatnonzero(score >= 1 - EPS)]
+
+    def _present(self, code: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the items' runs of 1 to SHINGLE words that a text holds."""
+        number, out = code[place], []
+        for k in range(1, SHINGLE + 1):
+            if k > 1:
+                fits = place + k - 1 < len(code)
+                place, number = place[fits], number[fits]
+                key, run = number * len(self.terms) + code[place + k - 1], self.runs[k - 2]
+                if not len(run):
+                    place, number = place[:0], number[:0]
+                else:
+                    number = np.minimum(np.searchsorted(run, key), len(run) - 1)
+                    known = (code[place + k - 1] >= 0) & (run[number] == key)
+                    place, number = place[known], number[known]
+            out.append(np.unique(number))
+        return out
+
+    def _overlaps(self, i: int, present: np.ndarray) -> tuple[float, float, float]:
+        """Shares of an item's shingles in a text: those before the answer, those that end in it, all."""
+        hits = np.isin(self.grams[i], present)
+        in_answer = np.arange(len(hits)) + self.length[i] > self.split[i]
         share = lambda h: float(h.mean()) if len(h) else 1.0
         return share(hits[~in_answer]), share(hits[in_answer]), share(hits)
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
-        """Leaked items of a text: score and overlaps of the best passage.
+        """Leaked items of a text: score and overlaps.
 
-        Passages are twice as long as the longest item of a length class and start half a passage apart, so
-        every occurrence of an item lies in one. The bounds of the terms of its two halves, summed per section of the
-        index for all passages at once, rule out nearly all.
+        The query is the set of words of the whole text, so no copy is lost at the edge of a passage, however many
+        words stand between its parts. What it retrieves is verified by looking up the text's runs of words, whose
+        cost does not depend on the number of items retrieved.
         """
         code = np.array(list(map(self.terms.__getitem__, tokens(text))), np.int64)
         out: dict[int, tuple[float, float, float, float]] = {}
-        if not len(code) or (code < 0).all():
-            return out
         place = np.flatnonzero(code >= 0)
-        for c in self.classes:
-            # distinct known terms of every half passage
-            pair = np.unique(place // c.reach * len(self.terms) + code[place])
-            half, term = np.divmod(pair, len(self.terms))
-            n = -(-len(code) // c.reach)
-            edge = np.searchsorted(half, np.arange(n + 2))
-            full = np.flatnonzero(edge[1:] > edge[:-1])
-            bound = np.zeros((n + 1, c.section_weight.shape[1]), np.float32)
-            bound[full] = np.add.reduceat(c.section_weight[term], edge[full])
-            for k in np.flatnonzero((bound[: max(1, n - 1)] + bound[1: max(1, n - 1) + 1] >= 1 - SLACK).any(1)).tolist():
-                passage, terms = code[k * c.reach: (k + 2) * c.reach], np.unique(term[edge[k]: edge[min(k + 2, n)]])
-                if (c.section_weight[terms].sum(0) < 1 - SLACK).all():
-                    continue  # a term of both halves counts once
-                for i, score in self._above(c, terms):
-                    question, answer, both = self._overlaps(i, passage)
-                    if both >= OVERLAP and question > 0 and answer > 0 and both > out.get(i, (0, 0, 0, 0))[3]:
-                        out[i] = (round(score, 6), question, answer, both)  # sums may differ in the last digits
+        if not len(place):
+            return out
+        above = self._above(np.unique(code[place]))
+        if not above:
+            return out
+        present, count = self._present(code, place), np.zeros(len(self.ids))
+        for there, (starts, item, n) in zip(present, self.filed):
+            at = _slices(starts, there)
+            count += np.bincount(item[at], n[at], len(count))
+        for i, score in above:
+            if count[i] / self.n_shingles[i] >= OVERLAP:
+                question, answer, both = self._overlaps(i, present[self.length[i] - 1])
+                if question > 0 and answer > 0:
+                    out[i] = (round(score, 6), question, answer, both)  # sums may differ in the last digits
         return out
 
 
@@ -205,13 +216,13 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
-    Every passage of every text is a query to the index of items. It retrieves the items whose threshold its BM25
-    score reaches (see ``Index``); bounds per section and per block of items rule out the rest unseen. A pair is
-    reported if the passage holds 0.8 or more of the item's 5-word shingles, with some from the question and some
+    The words of every text are a query to the index of items. It retrieves the items whose threshold its BM25
+    score reaches (see ``Index``); bounds per block of items rule out the rest unseen. A pair is reported if the
+    text holds 0.8 or more of the item's 5-word shingles, wherever they stand, with some from the question and some
     that end in the answer (the last sentence). Words are runs of letters and digits, case ignored.
 
-    Returns ``doc_id, item_id, score, question_overlap, answer_overlap, overlap`` with the best passage, one row
-    per document row and item. The texts do not move: each task reads its documents against the broadcast index,
+    Returns ``doc_id, item_id, score, question_overlap, answer_overlap, overlap``, the score being that of the whole
+    text, one row per document row and item. The texts do not move: each task reads its documents against the broadcast index,
     whose size is bounded; a larger benchmark gives several indexes and as many scans. Null texts and items
     without words match nothing; an item shorter than 5 words is one shingle; a null id stays null; repeated items
     count once, repeated documents as often as they come; an empty table gives an empty result; other columns are
