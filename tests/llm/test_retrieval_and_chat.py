@@ -100,3 +100,18 @@ def test_insertion_at_every_offset(gap):
     for offset in range(70):
         text = " ".join([*(f"x{i}" for i in range(offset)), *copy, "end"])
         assert shares(text, item) == 24 / 28 and index.matches(text)[0][3] == 24 / 28
+
+
+@pytest.mark.parametrize("answer", [1, 3, 5])
+def test_edit_in_the_last_sentence(spark, answer):
+    """A short last sentence that is edited or cut off hides no copy."""
+    item = " ".join(f"q{i}" for i in range(60)) + ". " + " ".join(f"a{i}" for i in range(answer))
+    words = item.split()
+    texts = [" ".join([*words[:k], "edited", *words[k + 1:]]) for k in range(len(words) - 6, len(words))] + [" ".join(words[:-answer])]
+    assert all(0.8 <= shares(t, item) < 1 for t in texts)
+    docs = spark.createDataFrame([(n, t, 1, "x") for n, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, item, 0)], ITEMS)
+    got = {r.doc_id: r for r in contaminated(docs, bench).collect()}
+    assert {n: r.overlap for n, r in got.items()} == {n: shares(t, item) for n, t in enumerate(texts)}
+    assert got[len(texts) - 1].answer_overlap == 0
+    assert clean_documents(docs, bench).count() == 0

@@ -31,7 +31,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def answer_start(text: str) -> int:
-    """Number of tokens before the last sentence, which is taken for the answer."""
+    """Number of tokens before the last sentence, which is taken for the answer when overlaps are told apart."""
     ends = [m.end() for m in SENTENCE_END.finditer(text) if tokens(text[m.end():])]
     return len(tokens(text[: ends[-1]])) if ends else 0
 
@@ -178,9 +178,8 @@ class Index:
             count += np.bincount(item[at], n[at], len(count))
         for i, score in above:
             if count[i] / self.n_shingles[i] >= OVERLAP:
-                question, answer, both = self._overlaps(i, present[self.length[i] - 1])
-                if question > 0 and answer > 0:
-                    out[i] = (round(score, 6), question, answer, both)  # sums may differ in the last digits
+                # sums of scores may differ in the last digits
+                out[i] = (round(score, 6), *self._overlaps(i, present[self.length[i] - 1]))
         return out
 
 
@@ -218,8 +217,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The words of every text are a query to the index of items. It retrieves the items whose threshold its BM25
     score reaches (see ``Index``); bounds per block of items rule out the rest unseen. A pair is reported if the
-    text holds 0.8 or more of the item's 5-word shingles, wherever they stand, with some from the question and some
-    that end in the answer (the last sentence). Words are runs of letters and digits, case ignored.
+    text holds 0.8 or more of the item's 5-word shingles, wherever they stand. The shares of the question and of the
+    answer (the shingles that end in the last sentence) are told, but decide nothing. Words are runs of letters and
+    digits, case ignored.
 
     Returns ``doc_id, item_id, score, question_overlap, answer_overlap, overlap``, the score being that of the whole
     text, one row per document row and item. The texts do not move: each task reads its documents against the broadcast index,
