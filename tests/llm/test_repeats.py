@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from tests.llm import brute
 from twinsieve.llm import windows
@@ -99,3 +100,21 @@ def test_documents(spark, words):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert run(spark, rows, words, 5) == expect(rows, words)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_short_hash_collision(spark, words):
+    """Two texts of one id whose 64-bit hashes agree in the lower half are two texts."""
+    seen, pair = {}, None
+    for i in range(400_000):
+        t = " ".join(f"{i}x{j}" for j in range(24))
+        other = seen.setdefault(xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFFFF, i)
+        if other != i:
+            pair = [" ".join(f"{n}x{j}" for j in range(24)) for n in (other, i)]
+            break
+    for key in (None, 4):
+        rows = [(key, t) for t in pair] + [(key, pair[0]), (9, pair[1])]
+        got = run(spark, rows, words, parts=1)
+        assert sorted(r[1] == r[2] for r in got if r[0] == key) == [False, False, True]
+        assert sorted(r[2] for r in got if r[0] == key)[:2] == [0, 0]
+        assert [r[1] == r[2] for r in got if r[0] == 9] == [True]  # the second text is offered to later ones

@@ -26,36 +26,37 @@ from pyspark.sql import functions as F
 from twinsieve.llm import windows as w
 from twinsieve.llm.common import stored, text_of
 
-TUPLES = "x long, y long, did long, tid long, pos long, n long, done boolean"
+TUPLES = "x long, y long, did long, tid long, size long, pos long, n long, done boolean"
+TEXT = ["did", "tid", "size"]  # id, 64-bit hash and bytes of a text; rows that agree in all three are repeated rows
 NULL_ID = -(2**63)
 CROWD = 4096  # kinds of runs up to which a bucket is sorted in one task
 
 
-def _rows(x, y, did, tid, pos, n, done) -> pa.RecordBatch:
-    cols = [pa.array(np.ascontiguousarray(c)) for c in (x, y, did, tid, pos.astype(np.int64), n.astype(np.int64), done)]
-    return pa.RecordBatch.from_arrays(cols, names=["x", "y", "did", "tid", "pos", "n", "done"])
+def _rows(x, y, did, tid, size, pos, n, done) -> pa.RecordBatch:
+    cols = [pa.array(np.ascontiguousarray(c)) for c in (x, y, did, tid, size, pos.astype(np.int64), n.astype(np.int64), done)]
+    return pa.RecordBatch.from_arrays(cols, names=["x", "y", *TEXT, "pos", "n", "done"])
 
 
-def _settled(did, tid, text, pos, n) -> pa.RecordBatch:
+def _settled(did, tid, size, text, pos, n) -> pa.RecordBatch:
     """Windows already known to be repeats; dealt by document, never compared again."""
     text, pos, n = w.spans(text, pos, n)
-    d, t = did[text], tid[text]
+    d, t, s = did[text], tid[text], size[text]
     x = w.mixed(d.view(np.uint64) * np.uint64(3) + t.view(np.uint64)).view(np.int64)
-    return _rows(x, x, d, t, pos, n, np.ones(len(x), bool))
+    return _rows(x, x, d, t, s, pos, n, np.ones(len(x), bool))
 
 
 def _run_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, did, tid, data, offsets = w.texts_of(batch)
+            _, did, tid, size, data, offsets = w.texts_of(batch)
             symbols, offsets = scheme.symbols(data, offsets)
             for piece in w.pieces(offsets, scheme.k):
                 text, pos, n, key, full = w.runs(scheme, symbols, piece)
                 pos = pos - offsets[text]
                 again = w.later_copies(full, key)
                 t = text[~again]
-                yield _rows(key[~again], full[~again], did[t], tid[t], pos[~again], n[~again], np.zeros(len(t), bool))
-                yield _settled(did, tid, text[again], pos[again], n[again])
+                yield _rows(key[~again], full[~again], did[t], tid[t], size[t], pos[~again], n[~again], np.zeros(len(t), bool))
+                yield _settled(did, tid, size, text[again], pos[again], n[again])
 
     return run
 
@@ -63,7 +64,7 @@ def _run_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def _packed(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, did, tid, data, offsets = w.texts_of(batch)
+            rows, did, tid, size, data, offsets = w.texts_of(batch)
             offsets, pack = scheme.packer(data, offsets)
             asked = batch.column("asked").take(pa.array(rows))
             parts, owner = asked.flatten(), np.repeat(np.arange(len(rows)), asked.value_lengths().to_numpy(zero_copy_only=False))
@@ -72,8 +73,8 @@ def _packed(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for lo in range(0, len(pos), 1 << 15):
                 cut = slice(lo, lo + (1 << 15))
                 packed = [pack(a, b) for a, b in zip(start[cut].tolist(), (start[cut] + n[cut] - 1 + scheme.k).tolist())]
-                cols = [pa.array(x[cut]), pa.array(did[owner[cut]]), pa.array(tid[owner[cut]]), pa.array(pos[cut]), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["x", "did", "tid", "pos", "packed"])
+                cols = [pa.array(x[cut]), pa.array(did[owner[cut]]), pa.array(tid[owner[cut]]), pa.array(size[owner[cut]]), pa.array(pos[cut]), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", *TEXT, "pos", "packed"])
 
     return run
 
@@ -84,12 +85,12 @@ def _sorted_windows(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             members = batch.column("members")
             parts, bucket = members.flatten(), np.repeat(np.arange(len(members)), members.value_lengths().to_numpy(zero_copy_only=False))
-            did, tid, pos = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("did", "tid", "pos"))
-            order = np.lexsort((pos, tid, did, bucket))
-            bucket, did, tid, pos = bucket[order], did[order], tid[order], pos[order]
+            did, tid, size, pos = (parts.field(c).to_numpy(zero_copy_only=False) for c in (*TEXT, "pos"))
+            order = np.lexsort((pos, size, tid, did, bucket))
+            bucket, did, tid, size, pos = bucket[order], did[order], tid[order], size[order], pos[order]
             new = np.ones(len(order), bool)  # a repeated row is there once
-            new[1:] = (bucket[1:] != bucket[:-1]) | (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
-            order, bucket, did, tid, pos = order[new], bucket[new], did[new], tid[new], pos[new]
+            new[1:] = np.any([c[1:] != c[:-1] for c in (bucket, did, tid, size, pos)], 0)
+            order, bucket, did, tid, size, pos = order[new], bucket[new], did[new], tid[new], size[new], pos[new]
             symbols, offsets = scheme.symbols(*w.bytes_of(parts.field("packed").take(pa.array(order))))
             m = np.diff(offsets) - scheme.k + 1
             # whole buckets, about CHUNK windows at a time
@@ -103,7 +104,7 @@ def _sorted_windows(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], It
                 x = w.mixed(x.view(np.uint64) + bucket[owner].astype(np.uint64) * np.uint64(w.BASE))
                 again = w.later_copies(x, y)
                 o, at, n = w.spans(owner[again], (pos[owner] + inside)[again], np.ones(int(again.sum()), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (did[o], tid[o], at.astype(np.int64), n.astype(np.int64))], names=["did", "tid", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (did[o], tid[o], size[o], at.astype(np.int64), n.astype(np.int64))], names=[*TEXT, "pos", "n"])
                 lo = hi
 
     return run
@@ -112,7 +113,7 @@ def _sorted_windows(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], It
 def _window_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, did, tid, data, offsets = w.texts_of(batch)
+            rows, did, tid, size, data, offsets = w.texts_of(batch)
             symbols, offsets = scheme.symbols(data, offsets)
             asked = batch.column("asked").take(pa.array(rows))
             parts, owner = asked.flatten(), np.repeat(np.arange(len(rows)), asked.value_lengths().to_numpy(zero_copy_only=False))
@@ -126,8 +127,8 @@ def _window_tuples(scheme: w.Scheme) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 place = at - offsets[text]
                 again = w.later_copies(x, y)
                 t = text[~again]
-                yield _rows(x[~again], y[~again], did[t], tid[t], place[~again], np.ones(len(t), np.int64), np.zeros(len(t), bool))
-                yield _settled(did, tid, text[again], place[again], np.ones(int(again.sum()), np.int64))
+                yield _rows(x[~again], y[~again], did[t], tid[t], size[t], place[~again], np.ones(len(t), np.int64), np.zeros(len(t), bool))
+                yield _settled(did, tid, size, text[again], place[again], np.ones(int(again.sum()), np.int64))
 
     return run
 
@@ -163,7 +164,7 @@ def _cut(scheme: w.Scheme, cut: Callable[[bytes, list[tuple[int, int]], bool], t
 
 def _first_kept(x: DataFrame) -> DataFrame:
     """Marks each tuple: ``nth`` 1 for the earliest of its kind; places are ranked, so a repeated row never marks itself."""
-    return x.withColumn("nth", F.rank().over(Window.partitionBy("x", "y").orderBy("did", "tid", "pos")))
+    return x.withColumn("nth", F.rank().over(Window.partitionBy("x", "y").orderBy(*TEXT, "pos")))
 
 
 def without_repeats(docs: DataFrame, scheme: w.Scheme, cut, crowd: int = CROWD) -> DataFrame:
@@ -171,25 +172,25 @@ def without_repeats(docs: DataFrame, scheme: w.Scheme, cut, crowd: int = CROWD)
     t = text_of()
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.col("doc_id").isNull().alias("is_null"),
-        F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tid"), F.encode(t, "UTF-8").alias("text"),
+        F.xxhash64(t).alias("tid"), F.octet_length(t).cast("long").alias("size"), F.encode(t, "UTF-8").alias("text"),
     )
-    tuples = base.select("did", "tid", "text").mapInArrow(_run_tuples(scheme), TUPLES).repartition("x")
+    tuples = base.select(*TEXT, "text").mapInArrow(_run_tuples(scheme), TUPLES).repartition("x")
     kinds = F.count_if(F.col("nth") == 1).over(Window.partitionBy("x"))
     judged = _first_kept(tuples).withColumn("kinds", kinds).withColumn("repeat", F.col("done") | (F.col("nth") > 1)).filter("repeat or kinds > 1")
-    found = stored(judged.select("did", "tid", "pos", "n", "repeat", F.when(~F.col("repeat"), F.col("x")).alias("x"), (F.col("kinds") > crowd).alias("crowded")), "repeats")
+    found = stored(judged.select(*TEXT, "pos", "n", "repeat", F.when(~F.col("repeat"), F.col("x")).alias("x"), (F.col("kinds") > crowd).alias("crowded")), "repeats")
 
-    dealt = base.repartition("did", "tid")
+    dealt = base.repartition(*TEXT)
     asked = lambda which, *cols: dealt.join(
-        found.filter("not repeat").filter(which).groupBy("did", "tid").agg(F.collect_list(F.struct(*cols)).alias("asked")), ["did", "tid"]).select("did", "tid", "text", "asked")
-    packed = asked("not crowded", "pos", "n", "x").mapInArrow(_packed(scheme), "x long, did long, tid long, pos long, packed binary")
-    buckets = packed.groupBy("x").agg(F.collect_list(F.struct("did", "tid", "pos", "packed")).alias("members"))  # crowd members at most
-    edges = buckets.select("members").mapInArrow(_sorted_windows(scheme), "did long, tid long, pos long, n long")
+        found.filter("not repeat").filter(which).groupBy(*TEXT).agg(F.collect_list(F.struct(*cols)).alias("asked")), TEXT).select(*TEXT, "text", "asked")
+    packed = asked("not crowded", "pos", "n", "x").mapInArrow(_packed(scheme), "x long, did long, tid long, size long, pos long, packed binary")
+    buckets = packed.groupBy("x").agg(F.collect_list(F.struct(*TEXT, "pos", "packed")).alias("members"))  # crowd members at most
+    edges = buckets.select("members").mapInArrow(_sorted_windows(scheme), "did long, tid long, size long, pos long, n long")
     single = asked("crowded", "pos", "n").mapInArrow(_window_tuples(scheme), TUPLES)
-    single = _first_kept(single.repartition("x", "y")).filter(F.col("done") | (F.col("nth") > 1)).select("did", "tid", "pos", "n")
-    marks = found.filter("repeat").select("did", "tid", "pos", "n").unionByName(edges).unionByName(single)
-    marks = marks.groupBy("did", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    copy = F.row_number().over(Window.partitionBy("did", "tid").orderBy("is_null"))
-    whole = dealt.join(marks, ["did", "tid"], "left").withColumn("copy", copy).select("did", "is_null", "copy", "text", "marks")
+    single = _first_kept(single.repartition("x", "y")).filter(F.col("done") | (F.col("nth") > 1)).select(*TEXT, "pos", "n")
+    marks = found.filter("repeat").select(*TEXT, "pos", "n").unionByName(edges).unionByName(single)
+    marks = marks.groupBy(*TEXT).agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
+    copy = F.row_number().over(Window.partitionBy(*TEXT, "text").orderBy("is_null"))  # equal texts, not equal hashes
+    whole = dealt.join(marks, TEXT, "left").withColumn("copy", copy).select("did", "is_null", "copy", "text", "marks")
     out = whole.mapInArrow(_cut(scheme, cut), "did long, is_null boolean, n_symbols long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("did", F.when(~F.col("is_null"), F.col("did"))).withColumnRenamed("did", "doc_id").drop("is_null")
 

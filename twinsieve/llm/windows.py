@@ -232,17 +232,17 @@ def bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in (did, tid) order without repeats of a pair: their places in the batch, ids, bytes and offsets."""
-    did, tid = batch.column("did").to_numpy(), batch.column("tid").to_numpy()
-    order = np.lexsort((tid, did))
+def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in (did, tid, size) order without repeats of the three: their places in the batch, the three, bytes and offsets."""
+    did, tid, size = (batch.column(c).to_numpy() for c in ("did", "tid", "size"))
+    order = np.lexsort((size, tid, did))
     keep = np.ones(len(order), bool)
-    keep[1:] = (did[order][1:] != did[order][:-1]) | (tid[order][1:] != tid[order][:-1])
+    keep[1:] = np.any([c[order][1:] != c[order][:-1] for c in (did, tid, size)], 0)
     order = order[keep]
     column = batch.column("text")
     if len(order) != len(column) or (np.diff(order) != 1).any():
         column = column.take(pa.array(order))
-    return order, did[order], tid[order], *bytes_of(column)
+    return order, did[order], tid[order], size[order], *bytes_of(column)
 
 
 def spans(text: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
