@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.llm.common import stored
@@ -16,7 +16,7 @@ from twinsieve.llm.decontam import clean_documents
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.shards import contiguous_shards
-from twinsieve.llm.simhash import near_duplicates
+from twinsieve.llm.simhash import first_rows
 from twinsieve.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,15 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows without an id stay.
+    """One row of each near-duplicate group: the one with the smallest id, null ids last, then the first by text.
 
-    Several rows with the id that stays are ordered by text, and the first is taken.
+    Rows go by a number that is written beside them, so an id that is missing or comes twice decides nothing else.
     """
-    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = whole_rows(docs)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = rows.join(stay, "doc_id", "left_semi").withColumn("nth", first).filter("nth = 1")
-    return named.select("row.*").unionByName(rows.filter(F.col("doc_id").isNull()).select("row.*"))
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "pipeline-rows")
+    stay = first_rows(rows.select("row.doc_id", "row.text", "number"))
+    return rows.join(stay, "number", "left_semi").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

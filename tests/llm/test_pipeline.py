@@ -102,3 +102,13 @@ def test_the_rest_stands_alone(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text(code)
     run = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 150 and not [k for k in q if k.startswith('op') and k[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", run], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_one_row_of_each_group(spark):
+    """Null ids and shared ids do not decide which row stays."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    rows = [(3, "A", "x"), *[(7, t, "y") for t in "ABCDEFGH"], (None, "A", "z"), (None, "I", "p"), (None, "I", "q"), (None, "J", "r"), (9, "J", "s"), (9, "K", "t"), (9, "K", "t")]
+    docs = spark.createDataFrame([(i, text(k), k, s) for i, k, s in rows], "doc_id long, text string, lang string, source string").repartition(4)
+    got = [(r.doc_id, r.lang) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(3, "A"), *[(7, t) for t in "BCDEFGH"], (None, "I"), (9, "J"), (9, "K")], key=str)
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), SF).count() == 0

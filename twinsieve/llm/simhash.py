@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``; the texts do not leave the task that reads them."""
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp`` and the columns of longs to carry; the texts do not leave the task that reads them."""
+    kept = ["doc_id", *carry]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp, pa.int64())], names=[*kept, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in kept), F.encode(text_of(), "UTF-8").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def _half(fp: Column, part: int) -> Column:
@@ -107,6 +109,12 @@ def near_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return few.unionByName(stars)
 
 
+def _rooted(nodes: DataFrame, crowd: int) -> DataFrame:
+    """``nodes`` with the root of each fingerprint's component."""
+    roots = components(near_links(nodes.select("fp"), crowd))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -122,8 +130,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(near_links(nodes.select("fp"), crowd))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes, crowd)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.join(names, "root").select("fp", "n", "component_id"), "simhash-named")
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -133,3 +140,16 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .unionByName(rows.join(named.filter(~hot), "fp"))
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def first_rows(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The ``number`` of one row of each group of ``near_duplicates``: the first by id (null last), text, number.
+
+    ``docs`` has ``doc_id, text`` and ``number``, distinct longs that are written down. Rows are told apart by it
+    alone, so several may share an id or have none; texts are ordered by a hash. The first row of each fingerprint is
+    found before components are joined, so a group of copies of any size is one row from there on.
+    """
+    rows = fingerprints(docs.select("doc_id", "text", "number", F.xxhash64(text_of()).alias("hash")), ["number", "hash"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "number")).alias("first")
+    nodes = stored(rows.groupBy("fp").agg(first), "simhash-firsts")
+    return _rooted(nodes, crowd).groupBy("root").agg(F.min("first").alias("first")).select("first.number")
