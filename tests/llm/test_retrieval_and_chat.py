@@ -115,3 +115,14 @@ def test_edit_in_the_last_sentence(spark, answer):
     assert {n: r.overlap for n, r in got.items()} == {n: shares(t, item) for n, t in enumerate(texts)}
     assert got[len(texts) - 1].answer_overlap == 0
     assert clean_documents(docs, bench).count() == 0
+
+
+def test_nearly_all_weight_in_words_that_may_miss():
+    """Items of long common text and a few rare words are found without those words."""
+    common = [f"c{i}" for i in range(80)]
+    items = [(n, " ".join([f"rare{n}", *common, *(f"rare{n}x{j}" for j in range(12))])) for n in range(400)]
+    df = {t: 400 if t in common else 1 for _, x in items for t in tokens(x)}
+    index = decontam.Index(items, df, 400, 93.0)
+    text = " ".join(common)
+    assert all(shares(text, x) >= 0.8 for _, x in items)
+    assert {index.ids[i]: m[3] for i, m in index.matches(text).items()} == {n: shares(text, x) for n, x in items}

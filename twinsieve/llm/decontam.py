@@ -21,6 +21,7 @@ OVERLAP = 0.8
 EPS = 1e-9
 K1, B = 1.2, 0.75
 BLOCK = 16  # items under one bound
+FLOOR = 0.05  # items whose threshold is a lower share of their own score are not left to BM25
 INDEX_BYTES = 4 << 20  # of item texts in one broadcast index
 
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
@@ -55,7 +56,8 @@ class Index:
     A text that holds OVERLAP of an item's S shingles, wherever they stand, misses at most (1 - OVERLAP) S of its words,
     whatever they are. So its score is at least the item's own less that many of its largest weights: the threshold
     of the item. Retrieval above it misses no pair that the overlap test would report. Weights are kept as shares of
-    what an item must score, so that its threshold is 1, with a bound per (term, block of items).
+    what an item must score, so that its threshold is 1, with a bound per (term, block of items). An item whose
+    threshold is below FLOOR is verified for every text that has one of its words.
     """
 
     def __init__(self, items: list[tuple[int | None, str | None]], df: dict[str, int], n_items: int, mean_length: float):
@@ -77,14 +79,15 @@ class Index:
 
     def _weigh(self, idf: np.ndarray, mean_length: float) -> None:
         """Postings of term t: starts[t] .. starts[t + 1]; least is what each item must score, as a share of its own score."""
-        rows, self.least = [], np.ones(len(self.ids))
+        rows, self.least, self.always = [], np.ones(len(self.ids)), np.zeros(len(self.ids), bool)
         for n, code in enumerate(self.coded):
             tf = Counter(code.tolist())
             w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(code) / mean_length)) for t, f in tf.items()}
             total = sum(w.values())
             shingles = max(1, len(code) - SHINGLE + 1)
             missed = shingles - math.ceil(OVERLAP * shingles - EPS)
-            self.least[n] = max(0.05, 1 - sum(sorted(w.values(), reverse=True)[:missed]) / total)
+            least = 1 - sum(sorted(w.values(), reverse=True)[:missed]) / total
+            self.always[n], self.least[n] = least < FLOOR, max(FLOOR, least)
             rows += [(t, n, x / total / self.least[n]) for t, x in w.items()]
         rows.sort()
         term, self.posting_item, self.posting_weight = (np.array(c) for c in zip(*rows))
@@ -93,6 +96,7 @@ class Index:
             blocks[t, n // BLOCK] = max(x, blocks.get((t, n // BLOCK), 0.0))
         b_term, self.block_no = (np.array(c) for c in zip(*blocks))
         self.block_weight = np.array(list(blocks.values()))
+        self.always_blocks = np.unique(np.flatnonzero(self.always) // BLOCK)
         edge = np.arange(len(self.terms) + 1)
         self.starts, self.block_starts = np.searchsorted(term, edge), np.searchsorted(b_term, edge)
 
@@ -126,12 +130,15 @@ class Index:
         """Items that reach their threshold for a set of terms. Blocks whose bound is lower are skipped."""
         at = _slices(self.block_starts, terms)
         bound = np.bincount(self.block_no[at], self.block_weight[at])
+        own = self.always_blocks[self.always_blocks < len(bound)]
+        bound[own] = np.where(bound[own] > 0, np.maximum(1, bound[own]), 0)
         if not (bound >= 1 - EPS).any():
             return []
         at = _slices(self.starts, terms)
         at = at[bound[self.posting_item[at] // BLOCK] >= 1 - EPS]
         score = np.bincount(self.posting_item[at], self.posting_weight[at])
-        return [(int(i), float(score[i] * self.least[i])) for i in np.flatnonzero(score >= 1 - EPS)]
+        ask = (score >= 1 - EPS) | (self.always[: len(score)] & (score > 0))
+        return [(int(i), float(score[i] * self.least[i])) for i in np.flatnonzero(ask)]
 
     def _present(self, code: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """Numbers of the items' runs of 1 to SHINGLE words that a text holds."""
