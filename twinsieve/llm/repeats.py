@@ -223,12 +223,11 @@ def _cut_words(text: bytes, covered, copy: bool) -> tuple[int, int, int, bytes]:
 def repeated_bytes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Remove bytes covered by a string of 100 bytes that also starts earlier in the corpus.
 
-    The anchors of step 1 are S* suffixes, the ones that induced sorting samples: a byte smaller than the one
-    before and followed by a rise. Of the S* suffixes in a window's first 64 bytes the one with the smallest name
-    stands for the window, the recursion that thins them out. Sorting a bucket orders the suffixes as far as
-    100 bytes can tell; the places before an anchor take their order from it, and the two hashes of a tuple say
-    whether the common prefix reaches through the whole run. Spark's sort-based shuffle, which spills to disk, is
-    the priority queue.
+    The anchors of step 1 are S* places, the ones that induced sorting samples: a byte smaller than the one
+    before and followed by a rise. Of those in a window's first 64 bytes the one with the smallest name stands for the
+    window. Nothing else is taken from induced sorting: no suffix is sorted, buckets hold hashes, which have no suffix
+    order, and a tuple's second hash says whether its whole run stands earlier. ``repeated_words`` has the same scheme
+    with another anchor.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. Earlier means a smaller document id, then an
     earlier start; null ids come first. A null text is empty. Rows that share an id are ordered by a hash of the
