@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.chat import neighbours, preference_pairs
 from twinsieve.llm.decontam import contaminated
+from twinsieve.llm.dialogue import damaged, repair_report
 from twinsieve.llm.mixing import mix
 from twinsieve.llm.quality import quality_rules
 from twinsieve.llm.repeats import repeated_bytes, repeated_words
@@ -77,3 +78,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))

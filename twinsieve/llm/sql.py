@@ -174,3 +174,43 @@ def _urls_sql(depth: int = 4) -> str:
 
 
 ORACLES["op1_url_filters"] = _urls_sql()
+
+
+_INS = "case when {b} is not null then {{'c': {b}.c + 2, 'a': {b}.a || 'I', 'o': list_append({b}.o, '{r}:')}} end"
+_DEL = "case when {b} is not null then {{'c': {b}.c + 3, 'a': {b}.a || 'D', 'o': {b}.o}} end"
+_ROLE = "case when {b} is not null and r.fault < 2 then {{'c': {b}.c + 2 + r.fault, 'a': {b}.a || 'R', 'o': list_append({b}.o, '{r}:' || r.text)}} end"
+_KEEP = "case when {b} is not null and r.fault < 2 and r.role[1] = '{i}' then {{'c': {b}.c + r.fault, 'a': {b}.a || 'K', 'o': list_append({b}.o, r.role || ':' || r.text)}} end"
+
+
+def _to(state: int, sources: list[int], role: str) -> str:
+    """The best way into a state by one turn: it is deleted there, kept or given a role."""
+    ways = [_DEL.format(b=f"w.b{state}")] + [x.format(b=f"w.b{s}", r=role, i=role[0]) for s in sources for x in (_ROLE, _KEEP)]
+    return f"list_min([{', '.join(ways)}])"
+
+
+_INTO_2 = "list_min([b[3], " + ", ".join(_INS.format(b=f"b[{k}]", r="user") for k in (1, 2, 4)) + "])"
+
+ORACLES["op11_conversation_repair"] = rf"""
+with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+  f as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda x: ord(x)::bigint)),
+    lambda c, v: xor(c >> 8, ({_crc_table()}::bigint[])[(xor(c, v) & 255) + 1])), 4294967295::bigint) % 20 as fate from k),
+  d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when fate = 3 then [1, 2] else [1] end) as twice from f where fate <> 0),
+  i as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+  p as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from i),
+  r as (select *, case when not regexp_matches(text, '[^ 	-]') then 3 when again then 2 when not regexp_matches(text, '[.!?][ 	-]*$') then 1 else 0 end as fault from p),
+  s as (select *, role[1] || lead(role[1]) over (partition by conv_id order by i) as two from r),
+  t as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 3) as blank, count(*) filter (fault = 2) as duplicate,
+    count(*) filter (fault = 1) as truncated, count(*) filter (two not in ('su', 'ua', 'au')) as illegal, max(i) as n from s group by 1),
+  v as (
+    select conv_id, 0::bigint as i, [{{'c': 0::bigint, 'a': '', 'o': []::varchar[]}}, null, null, null] as b from t
+    union all
+    select w.conv_id, w.i + 1, [{_DEL.format(b="w.b0")}, list_min([{_DEL.format(b="w.b1")}, {_KEEP.format(b="w.b0", i="s")}]), {_to(2, [0, 1, 3], "user")}, {_to(3, [2], "assistant")}]
+    from (select conv_id, i, b[1] as b0, b[2] as b1, {_INTO_2} as b2, list_min([b[4], {_INS.format(b=_INTO_2, r="assistant")}]) as b3 from v) w
+    join r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1),
+  e as (select v.conv_id, list_min([b[1], b[4], {_INS.format(b="b[3]", r="assistant")},
+    case when b[2] is not null then {{'c': b[2].c + 4, 'a': b[2].a || 'II', 'o': list_concat(b[2].o, ['user:', 'assistant:'])}} end]) as e
+    from v join t on t.conv_id is not distinct from v.conv_id and t.n = v.i)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(e.c, 0) as cost, coalesce(e.a, '') as audit, sha256(coalesce(array_to_string(e.o, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join t on t.conv_id is not distinct from o.conv_id left join e on e.conv_id is not distinct from o.conv_id"""
