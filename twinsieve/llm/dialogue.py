@@ -287,7 +287,7 @@ def repair_conversations(turns: DataFrame, bits: int = 10) -> tuple[DataFrame, D
     ``conv_id`` a conversation of its own. Repeated rows are duplicates. A very long text stays on the JVM and only its
     digest and its end are looked at. An empty table gives two empty frames; other columns are ignored.
     """
-    rows = stored(_numbered(turns), "turns-numbered")
+    rows = _numbered(turns)
     faults = stored(_faults(rows), "turns-faults")
     count = lambda kind: F.count(F.when(F.col("fault") == kind, 1)).alias(kind)
     wide = F.col("turn").cast("decimal(20,0)")

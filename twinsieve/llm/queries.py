@@ -16,6 +16,7 @@ from twinsieve.llm.repeats import repeated_bytes, repeated_words
 from twinsieve.llm.secrets import scan_secrets
 from twinsieve.llm.shards import contiguous_shards
 from twinsieve.llm.simhash import near_duplicates
+from twinsieve.llm.tokenlinks import align_tokens
 from twinsieve.llm.urls import judge_urls
 from twinsieve.sources.tables import table
 
@@ -84,3 +85,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_report(conversations, damaged(conversations))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))[0]
