@@ -17,6 +17,7 @@ from twinsieve.llm.secrets import scan_secrets
 from twinsieve.llm.shards import contiguous_shards
 from twinsieve.llm.simhash import near_duplicates
 from twinsieve.llm.tokenlinks import align_tokens
+from twinsieve.llm.toxicity import fit_toxicity, score_toxicity
 from twinsieve.llm.urls import judge_urls
 from twinsieve.sources.tables import table
 
@@ -87,6 +88,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(conversations, damaged(conversations))
 
 
+@_query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 @_query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"))[0]
