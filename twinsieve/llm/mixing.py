@@ -51,8 +51,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits:
     comes nearer to the target. Nothing is sorted, and thresholds are nested: a larger budget keeps every
     document that a smaller one takes.
 
-    Returns ``doc_id, source, size, source_size, target, taken, times, copy_hash``. A null text has no words. A
-    null source is a source of its own, after all others. Rows with one id and one text share a hash and are
+    Returns ``doc_id, source, size, source_size, target, taken, times, copy_hash``. A null text has no words; a row
+    without words comes as often as its source is taken whole. No row comes more than ``cap`` times. A null source is a
+    source of its own, after all others. Rows with one id and one text share a hash and are
     taken together. An empty table gives an empty result; other columns are ignored, but for one named in ``carry``.
     """
     total_bits = bits * levels
@@ -83,7 +84,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bits:
     below = F.col("cell") + F.when(F.col("words") < 2 * F.col("left"), 1).otherwise(0)
     limits = stored(state.select("source", "source_size", "target", "times", below.alias("_below")), "mix-state")
     out = lookup(_sized(docs, total_bits, carry) if carry else rows, limits, ["source"], F.col("copy_hash"))
-    taken = F.col("times") + F.when(F.col("copy_hash") < F.col("_below"), 1).otherwise(0)
+    # a row without words fills nothing, wherever its hash lies; and no row comes more often than its source's cap
+    taken = F.least(F.col("times") + F.when((F.col("copy_hash") < F.col("_below")) & (F.col("size") > 0), 1).otherwise(0), F.lit(cap))
     return out.withColumn("times", taken).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "copy_hash",
         *([F.col("_carry").alias(carry)] if carry else []))
