@@ -90,6 +90,12 @@ def test_preference_pairs(spark, source):
     assert preference_pairs(neighbours(df.limit(0))).count() == 0 and PAIRS.startswith("pair_id")
 
 
+def test_pairs_of_ids_beyond_exact_doubles(spark):
+    rows = [(2**60 + i, 0, "user", f"turn of {i}") for i in range(4)] + [(-3, 0, "user", "negative"), (-4, 0, "user", "too")]
+    got = preference_pairs(neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.pair_id: (r.chosen.count("turn of"), r.rejected.count("turn of")) for r in got} == {2**59: (1, 1), 2**59 + 1: (1, 1), -2: (0, 0)}
+
+
 @pytest.mark.parametrize("gap", [10, 30, 500])
 def test_insertion_at_every_offset(gap):
     """A copy of 32 words with words put in, wherever it stands in the text."""

@@ -64,4 +64,4 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k."""
     c = F.col("conv_id").cast("long")
-    return conversations.select(F.floor(c / 2).cast("long").alias("pair_id"), (F.pmod(c, F.lit(2)) == 1).alias("rejected"), "turn", "role", "text")
+    return conversations.select(F.shiftright(c, 1).alias("pair_id"), (F.pmod(c, F.lit(2)) == 1).alias("rejected"), "turn", "role", "text")
