@@ -118,3 +118,14 @@ def test_short_hash_collision(spark, words):
         assert sorted(r[1] == r[2] for r in got if r[0] == key) == [False, False, True]
         assert sorted(r[2] for r in got if r[0] == key)[:2] == [0, 0]
         assert [r[1] == r[2] for r in got if r[0] == 9] == [True]  # the second text is offered to later ones
+
+
+@pytest.mark.parametrize("words", [False, True])
+@pytest.mark.parametrize("large", ["true", "false"])
+def test_both_widths_of_arrow_offsets(spark, words, large):
+    rows = [(1, " ".join(f"word{i}" for i in range(60))), (2, " ".join(f"word{i}" for i in range(60))), (3, "alone")]
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", large)
+    try:
+        assert run(spark, rows, words) == expect(rows, words)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")

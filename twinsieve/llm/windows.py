@@ -225,10 +225,11 @@ def later_copies(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column and where each value begins."""
+    """All bytes of a column and where each value begins, whether its offsets have 32 or 64 bits."""
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
