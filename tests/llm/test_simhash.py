@@ -49,6 +49,23 @@ def test_components_of_a_long_chain(spark):
     assert {frozenset(n for n in got if got[n] == r) for r in got.values()} == {frozenset(n for n in want if want[n] == r) for r in want.values()}
 
 
+def test_rounds_on_ordered_chains(spark, monkeypatch):
+    """Ascending, descending and zigzag chains of 3,000 links side by side, whose numbers are as bad as can be."""
+    from twinsieve.llm import components as module
+
+    n, rounds = 3000, []
+    up = [(i, i + 1) for i in range(n)]
+    down = [(10**6 - i, 10**6 - i - 1) for i in range(n)]
+    ends = [2 * 10**6 + (i // 2 if i % 2 else n - i // 2) for i in range(n + 1)]
+    pairs = up + down + list(zip(ends, ends[1:])) + [(5 * 10**6, 5 * 10**6 + i) for i in range(1, 500)]
+    stored = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, tag: (rounds.append(tag), stored(df.coalesce(2), tag))[1])
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert rounds.count("links-to") <= 25
+    want = groups(pairs, {x for p in pairs for x in p})
+    assert len(set(got.values())) == 4 and {(want[x], r) for x, r in got.items()} == {(want[r], r) for r in set(got.values())}
+
+
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, fp string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
