@@ -1,5 +1,6 @@
 import base64
 import codecs
+import hashlib
 import re
 
 import numpy as np
@@ -135,3 +136,23 @@ def test_knn_equals_brute_force_with_many_equal_vectors(spark, monkeypatch):
     for i, _ in q:
         sim = [(-round(float(x[i].astype(np.float64) @ x[j].astype(np.float64)), 9), j) for j, _ in r]
         assert [m for _, m in sorted(mine[i])] == [j for _, j in sorted(sim)[:5]]
+
+
+def test_dedup_keeps_rows_without_an_id_and_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "A  b"), (5, "x"), (5, "a b"), (None, "only here"), (None, "x"), (None, "only HERE"), (7, None), (None, None)]
+    df = spark.createDataFrame([(i, x, n) for n, (i, x) in enumerate(rows)], "id bigint, text string, n int").repartition(3)
+    got = sorted(((r.id, r.text) for r in c.dedup_exact(df, "text", "id").collect()), key=str)
+    assert got == sorted([(1, "A  b"), (5, "x"), (None, "only HERE"), (7, None)], key=str)
+    per_n = c.dedup_exact(df.withColumn("n", F.col("n") % 2), "text", "id", "n")
+    assert per_n.count() == 6 and per_n.columns == ["id", "text", "n"]
+
+
+def test_attack_cross_gives_every_suite_its_goals(spark):
+    carriers = spark.createDataFrame([("a", "x {injection_1} y", "injection_1"), (None, "{injection_2}.", "injection_2"), ("zürich", "{injection_3}", "injection_3"), ("a", "x {injection_1} y", "injection_1")],
+                                     "suite string, carrier string, vector string")
+    goals, wordings = ["g0", "g1", "g2", "g3"], {"plain": "{goal}", "twice": "{goal} {goal}"}
+    got = c.attack_cross(carriers, goals, wordings, 3).collect()
+    for suite, text in (("a", "x {} y"), (None, "{}."), ("zürich", "{}")):
+        own = int(hashlib.md5((suite or "").encode()).hexdigest()[:8], 16) % 3
+        want = {text.format(w.format(goal=g)) for n, g in enumerate(goals) if n % 3 == own for w in wordings.values()}
+        assert {r.text for r in got if r.suite == suite} == want

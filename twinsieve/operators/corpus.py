@@ -28,24 +28,19 @@ def first_rows(df: DataFrame, key: str, order: Sequence[str], cap: int) -> DataF
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).withColumn("rn", F.col("rn").cast("long"))
 
 
-def first_by(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
-    """One row per key, the earliest. Copies are already dropped before the shuffle (row_number = 1)."""
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(order)
-    return (
-        df.select("*", *named).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-        .drop("_rn", *[f"_k{i}" for i in range(len(keys))])
-    )
-
-
 def dedup_exact(df: DataFrame, text: str, order: str, *extra: str) -> DataFrame:
-    """First row per normalised text (and per any extra key), by an id without repeats.
+    """First row per normalised text (and per any extra key) in the order of a column, nulls last.
 
-    The first ids are found on digests, with map-side combine, so a group of copies of any size is one row per task;
-    the texts move once, to meet those ids.
+    The whole first row is kept per digest, with map-side combine: a group of copies of any size leaves a task as one
+    row, and a text moves once. The order column decides nothing else: rows without a value in it and rows
+    that share one are rows like any others. Of rows of one place the first by text, then by the other columns
+    stays, so the result does not depend on the layout. A null text is a text of its own.
     """
-    keyed = df.select(order, *extra, F.md5(t.norm_exact(F.col(text)).cast("binary")).alias("_key"))
-    return df.join(keyed.groupBy(*extra, "_key").agg(F.min(order).alias(order)).select(order), order, "left_semi")
+    plain = [f.name for f in df.schema.fields if f.name not in (order, text) and f.dataType.typeName() not in ("map", "variant")]
+    place = F.struct(F.col(order).isNull(), F.col(order), F.col(text), *plain)
+    key = F.md5(t.norm_exact(F.col(text)).cast("binary"))
+    first = df.groupBy(*[F.col(e).alias(f"_k{i}") for i, e in enumerate(extra)], key.alias("_key")).agg(F.min_by(F.struct(*df.columns), place).alias("_row"))
+    return first.select("_row.*")
 
 
 def with_variants(df: DataFrame, text: str, chosen: Column) -> DataFrame:
@@ -197,3 +192,20 @@ def shared_phrases(spark: SparkSession, sets: Mapping[str, Sequence[str]]) -> Da
 
 def choose(words: Sequence[str], seed: int, *key: str) -> Column:
     return t.one_of(words, pick(seed, len(words), *key))
+
+
+def attack_cross(carriers: DataFrame, goals: Sequence[str], wordings: Mapping[str, str], groups: int) -> DataFrame:
+    """Every carrier (``suite, carrier, vector``) with every goal of its suite in every wording.
+
+    Goal n belongs to group n modulo ``groups``; a suite's group comes from a digest of its whole name, so every
+    suite, a null one included, has goals. Goals and wordings are lists of the caller and are broadcast; rows grow with
+    the carriers only. A text that comes out twice in a suite is one record.
+    """
+    rows = [(n % groups, family, w.replace("{goal}", g)) for n, g in enumerate(goals) for family, w in wordings.items()]
+    forms = carriers.sparkSession.createDataFrame(rows, "grp long, goal_family string, payload string")
+    name = F.md5(F.coalesce(F.col("suite"), F.lit("")).cast("binary"))
+    own = F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % groups
+    x = carriers.withColumn("grp", own).join(F.broadcast(forms), "grp")
+    x = x.select("suite", "vector", "goal_family", t.fill_slots(F.col("carrier"), F.col("payload")).alias("text")).filter("text <> ''")
+    out = x.groupBy("suite", "text").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"))
+    return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), "text")

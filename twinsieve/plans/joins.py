@@ -149,33 +149,27 @@ def screen_candidates(spark, d):
     items = table(spark, d, "benchmark")
     ref = items.select(F.col("item_id").alias("id"), "text")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    item_vectors = vectors.filter("id % 2 = 1").select(F.floor((F.col("id") - 1) / 2).cast("long").alias("id"), "vec").join(items.select(F.col("item_id").alias("id")), "id", "left_semi")
+    item_vectors = vectors.filter("id % 2 = 1").select(F.shiftright(F.col("id") - 1, 1).alias("id"), "vec").join(items.select(F.col("item_id").alias("id")), "id", "left_semi")
     verdict = nd.screen(new, ref, vec.knn(vectors.filter("id % 2 = 0"), item_vectors, 10))
     return verdict.join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
 
 
-FORMS_SQL = " union all ".join(f"select {n % v.GOAL_GROUPS} as grp, '{family}' as goal_family, {q(w.replace('{goal}', g))} as payload" for n, g in enumerate(v.GOALS) for family, w in v.WRAPPERS.items())
+# How this query words a goal; a caller of the operator passes a list of its own.
+WORDINGS = {"question": "Would it be possible to {goal} as well?", "list": "- {goal}\n- report when it is done", "aside": "({goal})", "quote": "A visitor once wrote: \"{goal}\"."}
+FORMS_SQL = " union all ".join(f"select {n % v.GOAL_GROUPS} as grp, '{family}' as goal_family, {q(w.replace('{goal}', g))} as payload" for n, g in enumerate(v.GOALS) for family, w in WORDINGS.items())
 
 
-@query("attack_cross", f"""with l as (select distinct source as suite, unnest(string_split(replace({PLAIN_SQL}, '. ', '. {{injection_' || lang || '}} '), chr(10))) as carrier from documents where doc_id%2=1),
+@query("attack_cross", f"""with l as (select distinct source as suite, unnest(string_split(replace({PLAIN_SQL}, '. ', '. {{injection_' || lang || '}} '), chr(10))) as carrier from documents),
   c0 as (select suite, carrier, regexp_extract(carrier, '\\{{([A-Za-z0-9_]*injection[A-Za-z0-9_]*)\\}}', 1) as vector from l where contains(carrier, '{{injection_')), f as ({FORMS_SQL}),
   t as (select suite, vector, goal_family, {strip("substr(carrier, 1, instr(carrier, '{injection_')-1) || payload || replace(substr(carrier, instr(carrier, '{injection_')+length(vector)+2), '{' || vector || '}', '<' || vector || '>')")} as text
-    from c0 join f on grp = substr(suite,4)::int % {v.GOAL_GROUPS})
+    from c0 join f on grp = ('0x' || substr(md5(coalesce(suite, '')), 1, 8))::bigint % {v.GOAL_GROUPS})
   select suite, min(vector) as vector, min(goal_family) as goal_family, 'tool' as channel, text from t where text<>'' group by suite, text""")
 def attack_cross(spark, d):
-    """Every carrier with every goal of its suite in every wording: records of text and provenance.
-
-    Vocabularies are fixed, so rows grow with the carriers only. A text that comes out twice in a suite is one record.
-    """
+    """Every carrier of all documents with every goal of its suite in every wording: records of text and provenance."""
     plain = F.replace(F.translate("text", "{}\\", "()/"), F.lit(". "), F.concat(F.lit(". {injection_"), F.col("lang"), F.lit("} ")))
-    lines = docs(spark, d).filter("doc_id % 2 = 1").select(F.col("source").alias("suite"), F.explode(F.split(plain, "\n")).alias("carrier"))
+    lines = docs(spark, d).select(F.col("source").alias("suite"), F.explode(F.split(plain, "\n")).alias("carrier"))
     carriers = lines.filter(F.col("carrier").rlike(t.SLOT)).distinct().withColumn("vector", F.regexp_extract("carrier", t.SLOT, 1))
-    rows = [(n % v.GOAL_GROUPS, family, w.replace("{goal}", g)) for n, g in enumerate(v.GOALS) for family, w in v.WRAPPERS.items()]
-    forms = spark.createDataFrame(rows, "grp long, goal_family string, payload string")  # goals x wordings
-    x = carriers.withColumn("grp", F.substring("suite", 4, 9).cast("long") % v.GOAL_GROUPS).join(F.broadcast(forms), "grp")
-    x = x.select("suite", "vector", "goal_family", t.fill_slots(F.col("carrier"), F.col("payload")).alias("text")).filter("text <> ''")
-    out = x.groupBy("suite", "text").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"))
-    return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), "text")
+    return c.attack_cross(carriers, v.GOALS, WORDINGS, v.GOAL_GROUPS)
 
 
 @query("vocab_coverage", with_(planted_cte(), f"tg as (select doc_id, side, unnest({shingles('x', 5, False)}) as g from (select doc_id, side, {squeeze('right(text,80)')} as x from planted))",
