@@ -1,9 +1,11 @@
-"""Text expressions. All are built-in column functions that stay inside the JVM."""
+"""Text expressions. All but ``homoglyph`` are built-in column functions that stay inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,11 +43,6 @@ def norm_lines(t: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(t, "\n"), squeeze), "\n"))
 
 
-def characters(t: Column) -> Column:
-    """Code points as an array; element access is then constant time."""
-    return F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it inside ``body``.
 
@@ -56,11 +53,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def grams(t: Column, k: int) -> Column:
-    """All k-grams of a text that has at least k characters."""
-    return let(characters(t), lambda chars: F.transform(
-        F.sequence(F.lit(1), F.size(chars) - F.lit(k - 1)),
-        lambda i: F.concat(*[F.element_at(chars, (i + F.lit(j)).cast("int")) for j in range(k)]),
-    ))
+    """All k-grams of a text that has at least k characters: one match at every code point looks k ahead."""
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def shingle_set(norm: Column, k: int = 5, short_text: bool = True) -> Column:
@@ -114,14 +108,30 @@ def text_seed(t: Column) -> Column:
 
 
 def homoglyph(t: Column, share: float = 0.3) -> Column:
-    """Swap a share of look-alike letters, chosen by position and by the digest of the text."""
+    """Swap a share of look-alike letters, chosen by position and by the digest of the text.
+
+    A built-in form looks at every character in an interpreted lambda; on Arrow batches a text is one array.
+    """
+    alike = np.zeros(128, np.uint32)
+    for plain, other in zip(v.LATIN, v.CYRILLIC):
+        alike[[ord(plain), ord(plain.upper())]] = ord(other)
+    below = np.uint64(int(share * U32))
+
+    def swapped(text: str | None, seed: float) -> str | None:
+        if text is None:
+            return None
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        at = np.flatnonzero((codes < 128) & (alike[np.minimum(codes, 127)] > 0))
+        drawn = (np.uint64(seed) + at.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+        at = at[drawn < below]
+        codes[at] = alike[codes[at]]
+        return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
-    def swap(c: Column, i: Column, seed: Column) -> Column:
-        low = F.lower(c)
-        drawn = F.pmod(seed + i.cast("long") * F.lit(2654435761), F.lit(int(U32))) < F.lit(int(share * U32))
-        return F.when(low.isin(*v.LATIN) & drawn, F.translate(low, v.LATIN, v.CYRILLIC)).otherwise(c)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([swapped(x, s) for x, s in zip(texts, seeds)], dtype=object)
 
-    return let(text_seed(t), lambda s: F.array_join(F.transform(characters(t), lambda c, i: swap(c, i, s)), ""))
+    return run(t, text_seed(t))
 
 
 def one_of(words: Sequence[str], index: Column) -> Column:
@@ -182,8 +192,20 @@ def fill_slots(carrier: Column, payload: Column) -> Column:
     filled = F.when(slot == "", carrier).otherwise(
         F.concat(F.substring(carrier, head, at - 1), payload, F.substring(carrier, at + F.length(slot), F.length(carrier)))
     )
-    text = F.replace(F.replace(fill_tokens(filled), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
-    return strip(text)
+    return strip(unescape(fill_tokens(filled)))
+
+
+def around_slot(carrier: Column) -> tuple[Column, Column]:
+    """What stands before and after the first injection slot, other tokens filled and escapes undone; all before if there is none."""
+    slot = F.regexp_extract(carrier, SLOT, 0)
+    at = F.instr(carrier, slot)
+    head = F.when(slot == "", carrier).otherwise(F.substring(carrier, F.lit(1), at - 1))
+    tail = F.when(slot == "", "").otherwise(F.substring(carrier, at + F.length(slot), F.length(carrier)))
+    return unescape(fill_tokens(head)), unescape(fill_tokens(tail))
+
+
+def unescape(t: Column) -> Column:
+    return F.replace(F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
 
 
 def find_suffix(t: Column, phrases: Sequence[str]) -> Column:

@@ -205,7 +205,10 @@ def attack_cross(carriers: DataFrame, goals: Sequence[str], wordings: Mapping[st
     forms = carriers.sparkSession.createDataFrame(rows, "grp long, goal_family string, payload string")
     name = F.md5(F.coalesce(F.col("suite"), F.lit("")).cast("binary"))
     own = F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % groups
-    x = carriers.withColumn("grp", own).join(F.broadcast(forms), "grp")
-    x = x.select("suite", "vector", "goal_family", t.fill_slots(F.col("carrier"), F.col("payload")).alias("text")).filter("text <> ''")
+    head, tail = t.around_slot(F.col("carrier"))
+    forms = forms.withColumn("payload", t.unescape(t.fill_tokens(F.col("payload"))))
+    # a carrier is filled once, not once a payload
+    parts = carriers.select("suite", "vector", own.alias("grp"), F.explode(F.array(F.struct(head.alias("head"), tail.alias("tail")))).alias("p"))
+    x = parts.join(F.broadcast(forms), "grp").select("suite", "vector", "goal_family", t.strip(F.concat("p.head", "payload", "p.tail")).alias("text")).filter("text <> ''")
     out = x.groupBy("suite", "text").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"))
     return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), "text")
