@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions import vocab as v
-from twinsieve.functions.sketches import gram_hashes, jaccard
+from twinsieve.functions.sketches import gram_hashes, jaccard, permutations, signature
 from twinsieve.operators import corpus as c
 from twinsieve.operators import neardup as nd
 from twinsieve.operators import vectors as vec
@@ -156,3 +156,51 @@ def test_attack_cross_gives_every_suite_its_goals(spark):
         own = int(hashlib.md5((suite or "").encode()).hexdigest()[:8], 16) % 3
         want = {text.format(w.format(goal=g)) for n, g in enumerate(goals) if n % 3 == own for w in wordings.values()}
         assert {r.text for r in got if r.suite == suite} == want
+
+
+def hot_band_texts(n):
+    """Texts of which a third shares one MinHash band and hardly anything else; every ninth has a near copy on the other side."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    a, b = permutations(3131)
+    tries = ["".join(x) for x in rng.choice(letters, (60_000, 5))]
+    hashes = np.array([gram_hashes(x)[0] for x in tries]).view(np.uint64) >> np.uint64(32)
+    least = [tries[int((a[i] * hashes.astype(np.uint32) + b[i]).argmin())] for i in range(4)]  # the four minima of band 0
+    word = lambda: "".join(rng.choice(letters, 7))
+    texts = []
+    for i in range(n):
+        words = [word() for _ in range(25)]
+        if i % 3 == 0:
+            words[3:3] = least
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_work_on_a_hot_band_grows_less_than_its_square(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    pairs, found = [], []
+    for n in (240, 960):
+        texts = hot_band_texts(n)
+        refs = [(2 * i, t) for i, t in enumerate(texts)]
+        others = hot_band_texts(2 * n)[n:]  # a hot third as well
+        cands = [(2 * i + 1, t.replace(" ", " x", 1) if i % 9 == 0 else others[i]) for i, t in enumerate(texts)]
+        frames = [nd.normalised(spark.createDataFrame(x, "id bigint, text string")) for x in (cands, refs)]
+        sign = signature()
+        both = [f.select(F.lit(s).alias("side"), "id", sign("norm").alias("s")).select("side", "id", "s.*", F.size("s.grams").alias("n")) for s, f in enumerate(frames)]
+        hottest = both[1].select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").count().agg(F.max("count")).first()[0]
+        assert hottest >= n / 4
+        cut = nd._cut(nd.lsh_places(both[0].unionByName(both[1])))
+        pairs.append(cut.agg(F.sum(F.col("t0") * F.col("t1"))).first()[0])
+        got = {r.id: r.match_id for r in nd.lsh_best(*frames).collect()}
+        found.append(sum(got.get(2 * i + 1) == 2 * i for i in range(0, n, 9)) / len(range(0, n, 9)))
+    assert found == [1.0, 1.0] and pairs[1] < 6 * pairs[0]  # four times the texts; the square would be sixteen
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_without_ids_and_under_one_id(spark, exact):
+    say = lambda n: " ".join(f"{n}w{j}" for j in range(40))
+    cands = [(None, say(1)), (None, say(2)), (7, say(3) + " edited"), (7, say(4)), (8, say(9)), (9, None)]
+    refs = [(None, say(1)), (2, say(2)), (3, say(2)), (5, say(3)), (5, say(4)), (None, say(4)), (6, None)]
+    schema = "id bigint, text string"
+    got = nd.near_duplicates(spark.createDataFrame(cands, schema), spark.createDataFrame(refs, schema), exact=exact).collect()
+    assert sorted(((r.id, r.match_id, round(r.jac, 1)) for r in got), key=str) == sorted([(None, None, 1.0), (None, 2, 1.0), (7, 5, 1.0), (7, 5, 1.0)], key=str)
