@@ -8,6 +8,7 @@ from twinsieve.functions.scores import int_label, route
 from twinsieve.operators import bootstrap as b
 from twinsieve.operators import calibrate as cal
 from twinsieve.operators import cascade as k
+from twinsieve.operators import cellboot
 from twinsieve.operators import cost as c
 from twinsieve.operators import reports as rep
 
@@ -196,3 +197,40 @@ def test_interpolation_is_flat_outside_and_averages_equal_anchors(spark):
 def test_pinned_never_cuts(spark):
     with pytest.raises(ValueError):
         c.pinned(spark.range(20), limit=10)
+
+
+@pytest.mark.parametrize(("cells", "values"), [(1024, 200_000), (16, 200_000), (4, 20)])
+def test_cell_draws_have_the_distribution_of_row_weights(rows, cells, values):
+    df, y, p1, s2 = rows
+    got = cellboot.replicate_rates(df, 0.7, n=1000, seed=5, cells=cells, values=values)
+    rng, want = np.random.default_rng(6), ([], [])
+    esc = p1 < 0.7
+    order = np.sort(np.unique(s2))
+    for _ in range(1000):
+        w = rng.poisson(1.0, len(y))
+        nb, neb, na = w[y == 0].sum(), w[(y == 0) & esc].sum(), w[y == 1].sum()
+        for out, rows_, rank in ((want[0], esc, np.ceil((neb - 1) * (1.0 - min(1.0, 0.01 * nb / neb)))), (want[1], np.ones(len(y), bool), np.ceil((nb - 1) * 0.99))):
+            below = np.bincount(np.searchsorted(order, s2), np.where((y == 0) & rows_, w, 0), len(order)).cumsum()
+            out.append(w[(y == 1) & rows_ & (s2 > order[(below <= rank).sum()])].sum() / na)
+    for mine, theirs in zip(got, map(np.array, want)):
+        se = theirs.std() / np.sqrt(1000)
+        assert abs(mine.mean() - theirs.mean()) < 6 * se and 0.85 < mine.std() / theirs.std() < 1.18
+        for q in (0.025, 0.25, 0.5, 0.75, 0.975):
+            share = (theirs <= np.quantile(mine, q)).mean()
+            assert abs(share - q) < 0.06, (cells, q, share)
+    assert abs(np.corrcoef(*got)[0, 1] - np.corrcoef(*want)[0, 1]) < 0.1  # both rates come from one draw
+
+
+def test_cell_draws_at_the_edges(spark):
+    schema = "label long, p1 double, s2 double"
+    assert all(np.isnan(x).all() for x in cellboot.replicate_rates(spark.createDataFrame([], schema), 0.7, n=20))
+    ties = spark.createDataFrame([(0, 0.1, 0.5)] * 300 + [(1, 0.1, 0.5)] * 50 + [(1, None, 0.9)] * 50 + [(1, 0.1, None)], schema)
+    cascade, alone = cellboot.replicate_rates(ties, 0.7, n=200, cells=4, values=1)
+    assert (cascade == 0).all() and 0.35 < alone.mean() < 0.65
+    no_benign = spark.createDataFrame([(1, 0.1, 0.5)] * 40 + [(1, 0.9, 0.6)] * 40, schema)
+    cascade, alone = cellboot.replicate_rates(no_benign, 0.7, n=200)
+    assert 0.35 < cascade.mean() < 0.65 and np.isnan(alone).all()
+    again = cellboot.replicate_rates(ties.repartition(5), 0.7, n=200, cells=4, values=1)
+    assert (again[0] == 0).all() and (again[1] == cellboot.replicate_rates(ties, 0.7, n=200, cells=4, values=1)[1]).all()
+    row = cellboot.gap(ties, 0.7, n=100).first()
+    assert row.n_boot == 100 and row.verdict == "worse"

@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -46,9 +47,10 @@ def byte_incidence(lengths: np.ndarray) -> Csr:
 
 def transposed(m: Csr) -> Csr:
     """Columns become rows; within a row the old rows stay in order."""
-    order = np.argsort(m.indices, kind="stable")
     row = np.repeat(np.arange(len(m.indptr) - 1), np.diff(m.indptr))
-    return Csr(rows_of(np.bincount(m.indices, minlength=m.n_columns)), row[order], len(m.indptr) - 1)
+    if (m.indices[1:] < m.indices[:-1]).any():
+        row = row[np.argsort(m.indices, kind="stable")]
+    return Csr(rows_of(np.bincount(m.indices, minlength=m.n_columns)), row, len(m.indptr) - 1)
 
 
 def row_products(a: Csr, b: Csr) -> tuple[Csr, np.ndarray]:
@@ -62,7 +64,7 @@ def row_products(a: Csr, b: Csr) -> tuple[Csr, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     values = np.diff(np.append(first, len(key)))
     row, column = np.divmod(key[first], max(1, b.n_columns))
-    return Csr(np.searchsorted(row, np.arange(len(a.indptr))), column, b.n_columns), values
+    return Csr(rows_of(np.bincount(row, minlength=len(a.indptr) - 1)), column, b.n_columns), values
 
 
 class Vocabulary(NamedTuple):
@@ -124,7 +126,7 @@ def tokens_of(vocabulary: Vocabulary, texts: list[str]) -> list[list[int]]:
     found = iter(vocabulary.encode([p for ps in parts for p in ps]))
     out = []
     for text, ps in zip(texts, parts):
-        ids = [i for _ in ps for i in next(found)]
+        ids = next(found) if len(ps) == 1 else [i for _ in ps for i in next(found)]
         out.append(ids if b"".join(map(vocabulary.token_bytes.__getitem__, ids)) == b" " + text.encode() else [])
     return out
 
@@ -143,7 +145,7 @@ class Alignment(NamedTuple):
 def aligned(a: Vocabulary, b: Vocabulary, ids_a: list[list[int]], ids_b: list[list[int]]) -> Alignment:
     sides = []
     for vocabulary, ids in ((a, ids_a), (b, ids_b)):
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
         starts = rows_of(np.array([len(x) for x in ids], np.int64))
         sides.append((flat, starts, byte_incidence(vocabulary.lengths[flat])))
     (flat_a, starts_a, bytes_a), (flat_b, starts_b, bytes_b) = sides

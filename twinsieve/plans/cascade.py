@@ -8,6 +8,7 @@ from twinsieve.functions.scores import injection_nll, ratio, sigmoid, suspicion
 from twinsieve.operators import bootstrap as b
 from twinsieve.operators import calibrate as cal
 from twinsieve.operators import cascade as k
+from twinsieve.operators import cellboot
 from twinsieve.operators import metrics as m
 from twinsieve.operators.ranks import quantiles
 from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, with_
@@ -137,6 +138,13 @@ def bootstrap_gap(spark, d):
     return rnd(g, *[c for c in g.columns if c not in ("n_boot", "verdict")])
 
 
+@query("bootstrap_gap_cells")
+def bootstrap_gap_cells(spark, d):
+    """The same interval from counts by cell, whose work does not grow with rows x replicates; its draws are not those of a row's digest."""
+    g = cellboot.gap(suspicious(spark, d), 0.7, n=N_BOOT)
+    return rnd(g, *[c for c in g.columns if c not in ("n_boot", "verdict")])
+
+
 DIFF = "hits as (select row_id, source, (case when s2>0.6e0 then 1e0 else 0e0 end) - (case when s1>0.6e0 then 1e0 else 0e0 end) as diff from sus where label=1)"
 
 
