@@ -204,3 +204,33 @@ def test_near_duplicates_without_ids_and_under_one_id(spark, exact):
     schema = "id bigint, text string"
     got = nd.near_duplicates(spark.createDataFrame(cands, schema), spark.createDataFrame(refs, schema), exact=exact).collect()
     assert sorted(((r.id, r.match_id, round(r.jac, 1)) for r in got), key=str) == sorted([(None, None, 1.0), (None, 2, 1.0), (7, 5, 1.0), (7, 5, 1.0)], key=str)
+
+
+def drawn_one_by_one(rows, seed, cap):
+    """(bucket, text, id) rows: buckets in turn, null first, each takes its next text that nobody has."""
+    lists = {}
+    for bucket, text, i in sorted(rows, key=lambda r: hashlib.md5(f"{seed}:{r[2]}".encode()).hexdigest()):
+        if text not in [t for t, _ in lists.setdefault(bucket, [])]:
+            lists[bucket].append((text, i))
+    out, taken, turn = [], set(), 0
+    order = sorted(lists, key=lambda b: (b is not None, b or ""))
+    while len(out) < cap and any(lists.values()):
+        turn += 1
+        for b in order:
+            lists[b] = [x for x in lists[b] if x[0] not in taken]
+            if lists[b] and len(out) < cap:
+                text, i = lists[b].pop(0)
+                taken.add(text)
+                out.append((b, i, turn))
+    return out
+
+
+@pytest.mark.parametrize(("n", "buckets", "texts", "cap"), [(300, 5, 60, 40), (200, 3, 400, 1000), (120, 12, 15, 1000)])
+def test_round_robin_passes_over_taken_texts(spark, n, buckets, texts, cap):
+    rng = np.random.default_rng(n + texts)
+    names = [None, "a", "b", "", *(f"s{i}" for i in range(20))][:buckets]
+    rows = [(names[int(rng.integers(buckets))], None if rng.random() < 0.03 else f"t{rng.integers(texts)}", i) for i in range(n)]
+    df = spark.createDataFrame(rows, "b string, x string, id bigint").repartition(3)
+    got = [(r.b, r.id, r.turn) for r in c.round_robin_dedup(df, "b", "x", "id", 7, cap).collect()]
+    want = drawn_one_by_one(rows, 7, cap)
+    assert sorted(got, key=str) == sorted(want, key=str)

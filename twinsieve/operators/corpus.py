@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions.hashing import fraction, order_key, pick
-from twinsieve.operators.ranks import number_by_hash, number_by_value
+from twinsieve.operators.ranks import number_by_hash, number_by_value, running
+from twinsieve.sources.readers import stored
 
 TRIPLE_STEP = 1500450271  # prime
 
@@ -129,14 +130,52 @@ def round_robin(df: DataFrame, bucket: str, key: str, seed: int, cap: int) -> Da
 
 
 def round_robin_dedup(df: DataFrame, bucket: str, text: str, key: str, seed: int, cap: int) -> DataFrame:
-    """Round robin in which a text is drawn once: its owner is the bucket that would reach it first."""
-    keyed = df.withColumn("_t", F.md5(F.col(text).cast("binary"))).withColumn("_h", order_key(seed, key))
-    unique = keyed.groupBy(bucket, "_t").agg(F.min(F.struct("_h", key)).alias("m")).select(bucket, "_t", "m.*")
-    ranked = number_by_hash(unique, "_h", [key], [bucket], "_rn")
-    owner = ranked.groupBy("_t").agg(F.min(F.struct("_rn", bucket, "_h", key)).alias("o"))
-    owned = owner.select(F.col(f"o.{bucket}").alias(bucket), F.col("o._h").alias("_h"), F.col(f"o.{key}").alias(key))
-    turns = number_by_hash(owned, "_h", [key], [bucket], "turn", cap).drop("_h")
-    return turns.orderBy("turn", bucket).limit(cap)
+    """Round robin in which a text is drawn once: buckets draw in turn and pass over texts that another one has taken.
+
+    The result is that of drawing one by one. Only texts of several buckets are looked at again: an entry's turn lies
+    between the turn it has if every open entry before it is lost and the one it has if none is. Where another bucket
+    surely comes first the entry is lost, and a text's last entry is won; turns then become narrower, until nothing is
+    open. The first open entry of all is always won, so rounds end; as all texts settle side by side there are far
+    fewer of them than texts. Open entries are stored in every round, and running counts are summed by cells of
+    the turn axis, so no bucket is one task. A null bucket draws first; a null text is one text.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(bucket).cast("string")), F.lit("")).alias("_b")
+    keyed = df.select(name, F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")).cast("binary")).alias("_t"), order_key(seed, key).alias("_h"), F.col(bucket).alias("_name"), F.col(key).alias("_key"))
+    unique = keyed.groupBy("_b", "_t").agg(F.min(F.struct("_h", "_key", "_name")).alias("m")).select("_b", "_t", "m.*")
+    ranked = stored(number_by_hash(unique, "_h", ["_key"], ["_b"], "_p"), "entries")
+    shared = ranked.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_t")
+    entries = stored(ranked.join(shared, "_t", "left_semi").select("_b", "_t", "_p", F.lit(OPEN).alias("_state")), "entries")
+    while not entries.filter(F.col("_state") == OPEN).isEmpty():
+        entries = stored(_settled(entries, cap), "entries")
+    lost = entries.filter(F.col("_state") == LOST).select("_b", "_t")
+    turns = number_by_hash(ranked.join(lost, ["_b", "_t"], "left_anti"), "_h", ["_key"], ["_b"], "turn", cap)
+    return turns.orderBy("turn", "_b").limit(cap).select(F.col("_name").alias(bucket), F.col("_key").alias(key), "turn")
+
+
+OPEN, WON, LOST, LATE = 0, 1, 2, 3
+
+
+def _settled(entries: DataFrame, cap: int) -> DataFrame:
+    """One round on entries ``_b, _t, _p, _state``: those that surely come too late are lost, a text's last one is won.
+
+    An entry whose turn is beyond ``cap`` takes no part, and what stands behind it in its bucket neither.
+    """
+    state = F.col("_state")
+    sums = {"lost": (state == LOST).cast("long"), "open": (state == OPEN).cast("long")}
+    before = running(entries, "_p", sums, ["_b"]).select("_b", "_p", "lost_below", "open_below")
+    turn = F.col("_p") - F.col("lost_below")
+    bounds = entries.join(before, ["_b", "_p"]).select("_b", "_t", "_p", "_state", (turn - F.col("open_below")).alias("low"), turn.alias("high"))
+    bounds = bounds.withColumn("_state", F.when((state == OPEN) & (F.col("low") > cap), LATE).otherwise(state))
+    alive = state.isin(OPEN, WON)
+    texts = bounds.groupBy("_t").agg(F.min(F.when(alive, F.struct("high", "_b"))).alias("best"), F.count(F.when(alive, 1)).alias("left"))
+    first = bounds.filter(state == OPEN).agg(F.min(F.when(F.col("low") == F.col("high"), F.struct("high", "_b"))).alias("first"))
+    seen = bounds.join(texts, "_t").join(F.broadcast(first))  # one row
+    late = F.struct(F.col("low").alias("high"), "_b") > F.col("best")
+    # the earliest open entry of all has its turn for certain, and nothing of its text can come before it
+    beaten = F.col("best") == F.col("first")
+    own = F.struct("high", "_b") == F.col("best")
+    now = F.when(state != OPEN, state).when((F.col("left") == 1) | (beaten & own), WON).when(late | (beaten & ~own), LOST).otherwise(OPEN)
+    return seen.select("_b", "_t", "_p", now.alias("_state"))
 
 
 def length_balance(df: DataFrame, donors: DataFrame, key: str, seed: int, share: float) -> DataFrame:

@@ -110,11 +110,15 @@ def round_robin(spark, d):
     return c.round_robin(docs(spark, d).select("doc_id", "source"), "source", "doc_id", 3131, 333).select("doc_id", "source", "turn")
 
 
-@query("round_robin_dedup", f"""with u as (select source, md5(text) as t, min({{'h': {hashed(3131, 'doc_id')}, 'k': doc_id}}) as m from documents group by 1,2),
+@query("round_robin_dedup", f"""with recursive u as (select source, md5(text) as t, min({{'h': {hashed(3131, 'doc_id')}, 'k': doc_id}}) as m from documents group by 1,2),
   r as (select source, t, m.h as h, m.k as k, row_number() over (partition by source order by m.h) rn from u),
-  o as (select t, min({{'rn': rn, 's': source, 'h': h, 'k': k}}) as o from r group by 1),
-  w as (select o.s as source, o.k as doc_id, row_number() over (partition by o.s order by o.h) as turn from o)
-  select doc_id, source, turn from w order by turn, source limit 500""")
+  b as (select source, row_number() over (order by source) - 1 as i, count(*) over () as nb from (select distinct source from r)),
+  z as (select max(nb) as nb, max(rn) as longest from b join r using (source)),
+  s as (select 0::bigint as step, []::varchar[] as taken, null::struct(t varchar, k bigint, s varchar) as got
+    union all select step + 1, case when got is null then taken else list_append(taken, got.t) end, got from
+    (select s.step, s.taken, (select arg_min({{'t': r.t, 'k': r.k, 's': r.source}}, r.rn) from r join b using (source) where b.i = s.step % z.nb and not list_contains(s.taken, r.t)) as got
+      from s, z where len(s.taken) < 500 and s.step < z.nb * z.longest))
+  select got.k as doc_id, got.s as source, (step - 1) // z.nb + 1 as turn from s, z where got is not null""")
 def round_robin_dedup(spark, d):
     return c.round_robin_dedup(docs(spark, d).select("doc_id", "source", "text"), "source", "text", "doc_id", 3131, 500).select("doc_id", "source", "turn")
 
