@@ -155,6 +155,23 @@ def test_a_long_text_slice_by_slice(monkeypatch):
             assert np.array_equal(x, y)
 
 
+def test_both_encoders_of_a_vocabulary_agree():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    fast = tokenlinks._ranked(BYTE_BPE, tokenlinks.byte_vocabulary(BYTE_BPE).token_bytes)
+    assert fast is not None
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA1, 0x180)]]
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = " " + "".join(rnd.choice(letters if rnd.random() < 0.5 else "aeiou 's'll19 \n.,") for _ in range(rnd.randint(0, 120)))
+        assert tokenlinks._plain(text) and fast(text) == t.encode(text, add_special_tokens=False).ids
+    assert not any(tokenlinks._plain(x) for x in ("日本", "x" * 400, " " * 400, "\x1c", "\u00a0", "\u0180"))
+
+
 def test_no_documents(spark):
     per_text, pairs = align_tokens(spark.createDataFrame([], SCHEMA))
     assert per_text.count() == pairs.count() == 0

@@ -8,7 +8,6 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -75,6 +74,36 @@ class Vocabulary(NamedTuple):
     cuts: bool  # a long text may be cut at JOINT
 
 
+#: What splits a text before the merges, as byte-level vocabularies of this family have it. Fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters outside the plain Latin ranges, whose classes could differ between versions of Unicode.
+OTHER = re.compile("[^\t-\r -~\u00a1-\u017f]")
+LONG_GAP = re.compile(r"\s{300}")
+
+
+def _plain(text: str) -> bool:
+    """Whether both encoders of a vocabulary surely agree and the fast one is fast: Latin letters, no very long runs."""
+    return not OTHER.search(text) and max(map(len, text.split()), default=0) < 300 and not LONG_GAP.search(text)
+
+
+def _ranked(path: str, table: list[bytes]) -> Callable[[str], list[int]] | None:
+    """An encoder of the same vocabulary that goes by ranks, if its merges make the ids in order and it splits alike."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    in_order = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+    single = sorted(i for i, b in enumerate(table) if len(b) == 1) == list(range(256))
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or not in_order or not single:
+        return None
+    ranks = {table[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @lru_cache(None)
 def byte_vocabulary(path: str) -> Vocabulary:
     """A byte-level BPE in a JSON file; characters of its entries stand for bytes."""
@@ -91,8 +120,16 @@ def byte_vocabulary(path: str) -> Vocabulary:
     for entry, i in entries.items():
         table[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else b""
 
+    slow = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    fast = _ranked(path, table)
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        spaced = [" " + x for x in texts]
+        if fast is None:
+            return slow(spaced)
+        plain = [_plain(x) for x in spaced]
+        rest = iter(slow([x for x, p in zip(spaced, plain) if not p]))
+        return [fast(x) if p else next(rest) for x, p in zip(spaced, plain)]
 
     return Vocabulary(encode, table, np.array([len(b) for b in table], np.int64), type(t.pre_tokenizer).__name__ == "ByteLevel")
 
