@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions.scores import ratio
+from twinsieve.operators.phrases import occurrences_by
 from twinsieve.operators.ranks import bucket_holds, holds, running
 from twinsieve.sources.readers import stored
 
@@ -56,15 +57,12 @@ def coverage_summary(cov: DataFrame, key: str) -> DataFrame:
     return base.join(at, key)
 
 
-def containment(df: DataFrame, text: str, phrases: Sequence[str]) -> DataFrame:
-    """Non-overlapping occurrences of each phrase in safe and unsafe text, in one pass over the texts."""
-    sums = []
-    for i, p in enumerate(phrases):
-        n = t.occurrences(F.col(text), F.lit(p))
-        sums += [F.sum(F.when(F.col("label") == y, n).otherwise(0)).alias(f"_{i}_{y}") for y in (0, 1)]
-    one = df.agg(*sums)
-    rows = F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"_{i}_0").alias("in_safe"), F.col(f"_{i}_1").alias("in_unsafe")) for i, p in enumerate(phrases)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+def containment(df: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
+    """Non-overlapping occurrences of each phrase of a table in safe and unsafe text, in one pass over the texts."""
+    found = occurrences_by(df, text, "label", phrases)
+    n = lambda y: F.coalesce(F.sum(F.when(F.col("key") == y, F.col("n"))), F.lit(0)).alias("in_unsafe" if y == "1" else "in_safe")
+    per = phrases.select("phrase").distinct().join(found, "phrase", "left")
+    return per.groupBy("phrase").agg(n("0"), n("1"))
 
 
 def set_overlap(items: DataFrame) -> DataFrame:

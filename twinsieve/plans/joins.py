@@ -12,6 +12,7 @@ from twinsieve.operators import corpus as c
 from twinsieve.operators import metrics as m
 from twinsieve.operators import neardup as nd
 from twinsieve.operators import overlap as ov
+from twinsieve.operators import phrases as ph
 from twinsieve.operators import vectors as vec
 from twinsieve.plans.filters import CARRIER_SQL, MARKER_SQL, PAYLOAD_SQL, PLAIN_SQL, docs, planted
 from twinsieve.plans.fixture_sql import CORPUS, hashed, with_
@@ -205,7 +206,27 @@ PHRASES = [*v.GOALS, "the", "und"]
 @query("containment_count", with_(CORPUS) + f"""select phrase, sum(case when label=0 then (length(text)-length(replace(text,phrase,'')))//length(phrase) else 0 end)::bigint as in_safe,
   sum(case when label=1 then (length(text)-length(replace(text,phrase,'')))//length(phrase) else 0 end)::bigint as in_unsafe from corpus, (select unnest({PHRASES!r}) as phrase) group by 1""")
 def containment_count(spark, d):
-    return ov.containment(corpus(spark, d), "text", PHRASES)
+    return ov.containment(corpus(spark, d), "text", spark.createDataFrame([(p,) for p in PHRASES], "phrase string"))
+
+
+WORDS_SQL = "(select distinct unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) as phrase from benchmark)"
+
+
+@query("phrase_counts", f"""select phrase, source as key, sum((length(text)-length(replace(text,phrase,'')))//length(phrase))::bigint as n
+  from documents, {WORDS_SQL} where contains(text, phrase) group by 1,2""")
+def phrase_counts(spark, d):
+    """Where the words of the benchmark occur, by source; the phrase list is a table that grows with the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("phrase"))
+    return ph.occurrences_by(table(spark, d, "documents"), "text", "source", words)
+
+
+@query("phrase_suffix", """with ph as (select distinct unnest([right(text, 2), right(text, 4), right(text, 7)]) as phrase from conversations),
+  hit as (select doc_id, phrase, row_number() over (partition by doc_id order by length(phrase) desc) as i from documents join ph on right(text, length(phrase)) = phrase and length(phrase) > 0)
+  select d.doc_id, phrase as payload from documents d left join hit on hit.doc_id = d.doc_id and i = 1""")
+def phrase_suffix(spark, d):
+    """The longest end of a turn that is also the end of a document."""
+    ends = table(spark, d, "conversations").select(F.explode(F.array(*[F.right("text", F.lit(k)) for k in (2, 4, 7)])).alias("phrase"))
+    return ph.longest_suffix(table(spark, d, "documents"), "doc_id", "text", ends)
 
 
 @query("set_overlap", with_(planted_cte(), f"""pt as (select side, 'payload' as kind, {PAYLOAD_SQL} as item from planted union all select side, 'carrier', {CARRIER_SQL} from planted union all select side, 'full', text from planted),

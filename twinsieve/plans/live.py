@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import ratio
 from twinsieve.operators import plugins
+from twinsieve.operators.aggregates import ScoreHistogram, aggregate_by
 from twinsieve.operators.metrics import by_channel_and_overall
-from twinsieve.plans.fixture_sql import SCORED, with_
+from twinsieve.plans.fixture_sql import SCORED, auroc_sql, with_
 from twinsieve.plans.metrics import GROUPED, SUS, rnd, suspicious
 from twinsieve.plans.registry import query
 from twinsieve.sources.readers import scratch
 from twinsieve.sources.tables import scored, table
-from twinsieve.streaming.route import run_available
+from twinsieve.streaming.route import DECISIONS, read_sinks, run_available, run_sinks
 
 
 @query("route_stream", with_(SCORED) + """, c as (select row_id, 1e0/(1e0+exp(-(ln(p1)-ln(1e0-p1))/2e0)) as p from scored)
@@ -28,6 +29,19 @@ def route_stream(spark, d):
     return rnd(back.select("row_id", "p_safe", "decision"), "p_safe")
 
 
+@query("route_sinks", with_(SCORED) + """, c as (select row_id, 1e0/(1e0+exp(-(ln(p1)-ln(1e0-p1))/2e0)) as p from scored)
+  select row_id, round(p,6) as p_safe, case when p>=0.6e0 then 'pass' when p<=0.4e0 then 'block' else 'escalate' end as decision from c""")
+def route_sinks(spark, d):
+    """Every request arrives, and every third one twice; each is routed once, to the sink of its decision."""
+    arrived, out, state = (scratch(spark, x) for x in ("requests", "sinks", "sinks-state"))
+    s = scored(spark, d).select("row_id", F.log("p1").alias("logp_benign"), F.log(1.0 - F.col("p1")).alias("logp_injection"),
+                                F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("row_id", F.lit(300))).alias("sent"))
+    s.unionByName(s.filter("row_id % 3 = 0")).repartition(4).write.parquet(arrived)
+    sinks = {x: f"{out}/{x}" for x in DECISIONS}
+    run_sinks(spark, arrived, sinks, state, 2.0, 0.6, 0.4, files_per_batch=2)
+    return rnd(read_sinks(spark, sinks), "p_safe")
+
+
 def flag_sums(rows):
     """Partial sums of a user metric: row count, flagged rows, and their suspicion."""
     hit = rows["s2"] > 0.5
@@ -41,6 +55,15 @@ def metric_callable(spark, d):
     return rnd(plugins.metric_by(rows, "group", flag_sums, ["n", "flagged", "mass"], finish), "flag_rate", "mean_flagged")
 
 
+@query("metric_mergeable", with_(SCORED, "binned as (select source, label, floor((1e0-p2)*1000e0)/1000e0 as s from scored)", auroc_sql("binned", "label", "s", "source"),
+                                "med as (select source, s, row_number() over (partition by source order by s) as i, count(*) over (partition by source) as n from binned)")
+       + "select source, round(max(case when i=(n+1)//2 then s end),6) as median, round(max(auroc),6) as auroc from med join a_res on k=source group by 1")
+def metric_mergeable(spark, d):
+    """Metrics that are not sums: median and AUROC of a slice from merged histograms of the user's own."""
+    rows = suspicious(spark, d).select("source", "label", (F.floor(F.col("s2") * 1000.0) / 1000.0).alias("s"))
+    return rnd(aggregate_by(rows, "source", ScoreHistogram("s", "label"), ["median", "auroc"]), "median", "auroc")
+
+
 def make_space_scorer():
     """A stand-in model: texts with many spaces for their length look suspicious."""
 

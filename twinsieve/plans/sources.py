@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions import text as t
 from twinsieve.functions import vocab as v
 from twinsieve.functions.scores import clean
 from twinsieve.operators import corpus as c
+from twinsieve.operators import fingerprints as fp
 from twinsieve.operators.ranks import quantiles
 from twinsieve.plans.fixture_sql import SAMPLES, SCORED, with_
 from twinsieve.plans.registry import query
@@ -204,3 +208,43 @@ def fingerprint(spark, d):
     for name, cols in DIGESTED.items():
         out = one(name, cols) if out is None else out.unionByName(one(name, cols))
     return out
+
+
+PINNED = {**DIGESTED, "events": ("event_id", "user_id", "event_type")}
+
+
+def _lanes_sql(name, cols, rows=None):
+    row = " || '|' || ".join(f"coalesce(length({x}::varchar) || ':' || {x}::varchar, 'null')" for x in cols)
+    lanes = ", ".join(f"(coalesce(sum(('0x' || substr(sha256({row}),{16 * i + 1},16))::ubigint::hugeint),0) % 18446744073709551616)::varchar as lane{i}" for i in range(4))
+    return f"select '{name}' as tbl, count(*)::bigint as n, {lanes} from {rows or name}"
+
+
+_NOW = {
+    "documents": "documents", "events": "events",
+    "conversations": "(select * from conversations union all select * from conversations where turn = 0)",
+    "pages": "(select page_id, case when page_id%10=3 then url || '#' else url end as url, html from pages)",
+    "benchmark": "(select * from benchmark where item_id%4<>0)",
+}
+
+
+@query("fingerprint_compare", with_(
+    "now as (" + " union all ".join(_lanes_sql(n, PINNED[n], rows) for n, rows in _NOW.items()) + ")",
+    "pin as (" + " union all ".join(_lanes_sql(n, cols) for n, cols in DIGESTED.items()) + ")")
+    + """select coalesce(now.tbl, pin.tbl) as tbl, case when now.tbl is null then 'missing' when pin.tbl is null then 'unpinned' when now.n=pin.n and now.lane0=pin.lane0 and now.lane1=pin.lane1
+  and now.lane2=pin.lane2 and now.lane3=pin.lane3 then 'same' else 'changed' end as verdict, (coalesce(now.n,0)-coalesce(pin.n,0))::bigint as gained, now.n, now.lane0, now.lane1, now.lane2, now.lane3
+  from now full join pin on now.tbl=pin.tbl""")
+def fingerprint_compare(spark, d):
+    """All corpus tables pinned, then compared after doubled, changed and removed rows; counts follow the differences alone."""
+    t = {name: table(spark, d, name) for name in PINNED}
+    one = lambda name, rows=None: fp.fingerprint(t[name] if rows is None else rows, name, PINNED[name])
+    pinned = r.stored(reduce(DataFrame.unionByName, [one(name) for name in DIGESTED]), "pinned")
+    old = lambda name: pinned.filter(F.col("tbl") == name)
+    now = [
+        fp.updated(one("documents", t["documents"].filter("doc_id % 2 = 0")), added=one("documents", t["documents"].filter("doc_id % 2 <> 0"))),
+        fp.updated(old("conversations"), added=one("conversations", t["conversations"].filter("turn = 0"))),
+        one("pages", t["pages"].withColumn("url", F.when(F.col("page_id") % 10 == 3, F.concat("url", F.lit("#"))).otherwise(F.col("url")))),
+        fp.updated(old("benchmark"), removed=one("benchmark", t["benchmark"].filter("item_id % 4 = 0"))),
+        one("events"),
+    ]
+    now = reduce(DataFrame.unionByName, now)
+    return fp.compared(now, pinned).join(now, "tbl", "left")
