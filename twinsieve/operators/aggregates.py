@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ class Metric(Protocol):
 
 def _partial(metric: Metric, key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def out(states: dict[Any, Any]) -> pd.DataFrame:
-        return pd.DataFrame({key: list(states), "state": [pickle.dumps(s) for s in states.values()]})
+        return pd.DataFrame({key: list(states), "state": [cloudpickle.dumps(s) for s in states.values()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[Any, Any] = {}
@@ -50,9 +50,9 @@ def _partial(metric: Metric, key: str) -> Callable[[Iterator[pd.DataFrame]], Ite
 
 
 def _merged(metric: Metric, states: list[bytes]) -> Any:
-    whole = pickle.loads(states[0])
+    whole = cloudpickle.loads(states[0])
     for s in states[1:]:
-        whole = metric.merge(whole, pickle.loads(s))
+        whole = metric.merge(whole, cloudpickle.loads(s))
     return whole
 
 
@@ -68,7 +68,7 @@ def aggregate_by(df: DataFrame, key: str, metric: Metric, results: Sequence[str]
     most = part.groupBy(key).count().agg(F.max("count")).first()[0] or 0
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: rows[key].iloc[:1], "state": [pickle.dumps(_merged(metric, rows["state"].tolist()))]})
+        return pd.DataFrame({key: rows[key].iloc[:1], "state": [cloudpickle.dumps(_merged(metric, rows["state"].tolist()))]})
 
     while most > 1:
         nodes = -(-most // fan)
@@ -79,7 +79,7 @@ def aggregate_by(df: DataFrame, key: str, metric: Metric, results: Sequence[str]
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [metric.finish(pickle.loads(s)) for s in b["state"]]
+            found = [metric.finish(cloudpickle.loads(s)) for s in b["state"]]
             yield pd.DataFrame({key: b[key], **{r: [f[r] for f in found] for r in results}})
 
     return part.mapInPandas(finish, f"`{key}` {kind}, " + ", ".join(f"`{r}` double" for r in results))
