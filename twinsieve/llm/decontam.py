@@ -8,7 +8,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ K1, B = 1.2, 0.75
 BLOCK = 16  # items under one bound
 FLOOR = 0.05  # items whose threshold is a lower share of their own score are not left to BM25
 INDEX_BYTES = 4 << 20  # of item texts in one broadcast index
+PASSES = 4  # indexes that a task holds at once
 
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 
@@ -190,13 +193,17 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The items as one index, or several of about INDEX_BYTES each; document frequencies are those of all items."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The items as one index, or several of about INDEX_BYTES each; document frequencies are those of all items.
+
+    Tasks build the indexes and write them to the shared folder, one row each. The driver takes one at a time, so it
+    holds a bounded part of the benchmark however large this is.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
     items = stored(items, "items")
     size, n_items = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if not n_items:
-        return []
+        return
     n_blocks = max(1, -(-size // INDEX_BYTES))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
 
@@ -210,13 +217,20 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     lengths = items.select(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("n"))
     mean_length = max(1.0, lengths.agg(F.avg("n")).first()[0])
-    out = []
+
+    def build(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["item_id", "text"])
+        rows = [(None if pd.isna(i) else int(i), t) for i, t in zip(own["item_id"], own["text"])]
+        index = Index(rows, dict(zip(known["term"], known["df"].tolist())), n_items, mean_length)
+        return pd.DataFrame({"block": [key[0]], "index": [cloudpickle.dumps(index)]})
+
+    known = terms.select("block", "term").distinct().join(df, "term")
+    named = items.withColumn("item_id", F.col("item_id").cast("string"))  # no detour through doubles where an id is null
+    built = stored(named.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(build, "block long, index binary"), "item-indexes")
     for block in range(n_blocks):
-        own = [(r.item_id, r.text) for r in items.filter(F.col("block") == block).orderBy("item_id", "text").collect()]
-        known = terms.filter(F.col("block") == block).select("term").distinct().join(df, "term").collect()
-        if own:
-            out.append(Index(own, {r.term: r.df for r in known}, n_items, mean_length))
-    return out
+        row = built.filter(F.col("block") == block).first()
+        if row is not None:
+            yield cloudpickle.loads(row["index"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -257,7 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item."""
-    for index in indexes(benchmark):
+    for n, index in enumerate(indexes(benchmark), 1):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -266,4 +280,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n % PASSES == 0:
+            docs = stored(docs, "clean")
     return docs
