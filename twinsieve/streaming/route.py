@@ -73,7 +73,7 @@ def run_sinks(
 
 
 def read_sinks(spark: SparkSession, sinks: dict[str, str]) -> DataFrame:
-    """Rows of all sinks as ``row_id, p_safe, decision``."""
+    """Rows of all sinks as ``row_id, p_safe, decision``; an error before the first batch, when there are no sinks yet."""
     out = None
     for name in DECISIONS:
         part = spark.read.schema("row_id bigint, p_safe double, decision string").parquet(f"{sinks[name]}/batch=*")
