@@ -28,7 +28,12 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Rows are judged one by one, so repeated rows have one fate and an id, null or shared, decides nothing. A null or empty
+    text has no words and goes; a long one is judged whole. The row travels in one column, so names of other columns
+    cannot clash. An empty table stays empty.
+    """
     return quality_rules(whole_rows(docs), carry="row").filter("kept").select("row.*")
 
 
@@ -43,17 +48,29 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Judged by whole texts, row by row: repeated rows have one fate, null ids count for nothing, and null or empty texts hold
+    nothing and stay. All columns are carried; only ``text`` is read. An empty table or benchmark takes nothing away.
+    """
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; not at all, once, or up to three times."""
+    """Every document as often as the mix takes it; not at all, once, or up to three times.
+
+    A null source is a source of its own. A null text has no words; such a row comes as often as its source is taken whole.
+    Rows with one id and one text are taken together. The row travels in one column, so names of others cannot clash.
+    """
     return mix(whole_rows(docs), carry="row").filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their place in it; columns of these names are replaced."""
+    """Documents with their shard and their place in it; columns of these names are replaced.
+
+    Null ids come first, rows of one id by CRC of their text and then by place; equal rows stay separate rows. A null text
+    counts as an empty one. An empty table stays empty.
+    """
     own = [f"row.{c}" for c in docs.columns if c.lower() not in ("shard", "slot")]
     return contiguous_shards(whole_rows(docs), carry="row").select(*own, "shard", "slot")
 
