@@ -175,24 +175,26 @@ def fill_tokens(t: Column, fillers: dict[str, str] | None = None) -> Column:
     fillers = v.FILLERS if fillers is None else fillers
     for key, value in fillers.items():
         t = F.regexp_replace(t, r"(?i)\{_*" + key + r"_*\}", value)
-    found = F.array_distinct(F.regexp_extract_all(t, F.lit(ANY_SLOT), F.lit(1)))
-    named = F.aggregate(
-        found, t,
-        lambda acc, k: F.replace(acc, F.concat(F.lit("{"), k, F.lit("}")),
-                                 F.concat(F.lit("<"), F.trim(F.lower(k), F.lit("_")), F.lit(">"))),
-    )
-    return named
+    angled = lambda acc, k: F.replace(acc, F.concat(F.lit("{"), k, F.lit("}")), F.concat(F.lit("<"), F.trim(F.lower(k), F.lit("_")), F.lit(">")))
+    # the text is read for its tokens and rewritten, but made only once
+    return let(t, lambda x: F.aggregate(F.array_distinct(F.regexp_extract_all(x, F.lit(ANY_SLOT), F.lit(1))), x, angled))
 
 
 def fill_slots(carrier: Column, payload: Column) -> Column:
     """First injection slot takes the payload, other tokens their fillers; escapes are undone."""
-    slot = F.regexp_extract(carrier, SLOT, 0)
-    at = F.instr(carrier, slot)
-    head = F.expr("1")  # 1-based start of the text
-    filled = F.when(slot == "", carrier).otherwise(
-        F.concat(F.substring(carrier, head, at - 1), payload, F.substring(carrier, at + F.length(slot), F.length(carrier)))
-    )
-    return strip(unescape(fill_tokens(filled)))
+    def filled(c: Column, slot: Column, at: Column) -> Column:
+        head, tail = F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(slot), F.length(c))
+        return F.when(slot == "", c).otherwise(F.concat(head, payload, tail))
+
+    out = let(carrier, lambda c: let(F.regexp_extract(c, SLOT, 0), lambda slot: filled(c, slot, F.instr(c, slot))))
+    return strip(unescape(fill_tokens(out)))
+
+
+def without_slots(t: Column) -> Column:
+    """Braces and backslashes mapped away, as three replacements of whole texts; a translation looks at every character."""
+    for old, new in ("{(", "})", "\\/"):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
 
 
 def around_slot(carrier: Column) -> tuple[Column, Column]:

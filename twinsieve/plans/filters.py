@@ -211,7 +211,7 @@ PLAIN_SQL = "translate(text, '{}' || chr(92), '()/')"
 
 @query("fill_slots", f"""select doc_id, {strip("'Dear " + v.FILLERS["recipient"] + ",' || chr(10) || " + PLAIN_SQL + " || ' TODO: ' || " + choose(v.GOALS, 41, 'doc_id') + " || ' re <other_thing> and <injection_2>'")} as text from documents""")
 def fill_slots(spark, d):
-    plain = F.translate("text", "{}\\", "()/")
+    plain = t.without_slots(F.col("text"))
     carrier = F.concat(F.lit("Dear {recipient},\\n"), plain, F.lit(" {injection_1} re {Other_Thing} and {_injection_2}"))
     payload = F.concat(F.lit("TODO: "), c.choose(v.GOALS, 41, "doc_id"))
     return docs(spark, d).select("doc_id", t.fill_slots(carrier, payload).alias("text"))
