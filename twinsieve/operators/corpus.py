@@ -246,8 +246,15 @@ def attack_cross(carriers: DataFrame, goals: Sequence[str], wordings: Mapping[st
     own = F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % groups
     head, tail = t.around_slot(F.col("carrier"))
     forms = forms.withColumn("payload", t.unescape(t.fill_tokens(F.col("payload"))))
+    forms = forms.withColumn("form", F.xxhash64("grp", "goal_family", "payload"))
     # a carrier is filled once, not once a payload
     parts = carriers.select("suite", "vector", own.alias("grp"), F.explode(F.array(F.struct(head.alias("head"), tail.alias("tail")))).alias("p"))
-    x = parts.join(F.broadcast(forms), "grp").select("suite", "vector", "goal_family", t.strip(F.concat("p.head", "payload", "p.tail")).alias("text")).filter("text <> ''")
-    out = x.groupBy("suite", "text").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"))
-    return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), "text")
+    parts = stored(parts.select("suite", "vector", "grp", "p.*").withColumn("part", F.monotonically_increasing_id()), "carriers")
+    text = t.strip(F.concat("head", "payload", "tail")).alias("text")
+    x = parts.join(F.broadcast(forms), "grp").select("suite", "vector", "goal_family", "part", "form", text).filter("text <> ''")
+    # digests meet, not texts: the text of a record is made again from one of the pairs it comes from
+    x = x.select("suite", "vector", "goal_family", "part", "form", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    one = x.groupBy("suite", "key").agg(F.min("vector").alias("vector"), F.min("goal_family").alias("goal_family"), F.min(F.struct("part", "form")).alias("from"))
+    one = one.select("vector", "goal_family", F.col("from.part").alias("part"), F.col("from.form").alias("form"))
+    out = one.join(parts.drop("vector").hint("merge"), "part").join(F.broadcast(forms.select("grp", "form", "payload").distinct()), ["grp", "form"])
+    return out.select("suite", "vector", "goal_family", F.lit("tool").alias("channel"), text)

@@ -165,7 +165,7 @@ FORMS_SQL = " union all ".join(f"select {n % v.GOAL_GROUPS} as grp, '{family}' a
   select suite, min(vector) as vector, min(goal_family) as goal_family, 'tool' as channel, text from t where text<>'' group by suite, text""")
 def attack_cross(spark, d):
     """Every carrier of all documents with every goal of its suite in every wording: records of text and provenance."""
-    plain = F.replace(F.translate("text", "{}\\", "()/"), F.lit(". "), F.concat(F.lit(". {injection_"), F.col("lang"), F.lit("} ")))
+    plain = F.replace(t.without_slots(F.col("text")), F.lit(". "), F.concat(F.lit(". {injection_"), F.col("lang"), F.lit("} ")))
     lines = docs(spark, d).select(F.col("source").alias("suite"), F.explode(F.split(plain, "\n")).alias("carrier"))
     carriers = lines.filter(F.col("carrier").rlike(t.SLOT)).distinct().withColumn("vector", F.regexp_extract("carrier", t.SLOT, 1))
     return c.attack_cross(carriers, v.GOALS, WORDINGS, v.GOAL_GROUPS)
