@@ -234,3 +234,59 @@ def test_round_robin_passes_over_taken_texts(spark, n, buckets, texts, cap):
     got = [(r.b, r.id, r.turn) for r in c.round_robin_dedup(df, "b", "x", "id", 7, cap).collect()]
     want = drawn_one_by_one(rows, 7, cap)
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_gram_sets_do_not_move(spark, near_fixture, monkeypatch):
+    """What is stored of a text is its sketch and a digest, not its gram set."""
+    schemas = []
+    monkeypatch.setattr(nd, "stored", lambda df, tag, keep=nd.stored: schemas.append(df.schema.names) or keep(df, tag))
+    frames = [nd.normalised(spark.createDataFrame([r for r in near_fixture if r[0] % 2 == s], "id bigint, text string")) for s in (1, 0)]
+    nd.lsh_best(*frames).count()
+    assert schemas and not any("grams" in names for names in schemas)
+
+
+def test_best_candidate_without_threshold_equals_brute_force(spark, near_fixture, monkeypatch):
+    """Also where the first round cannot tell: with cells this few, bounds say little and a second round settles it."""
+    monkeypatch.setattr(nd, "_margin", lambda n: 0.0 * n)
+    rows = {i: x for i, x in near_fixture if x and i < 80}
+    frames = [spark.createDataFrame([(i, x) for i, x in rows.items() if i % 2 == s], "id bigint, norm string") for s in (1, 0)]
+    got = {r.id: r.jac for r in nd.lsh_best(*frames, threshold=0.0).collect()}
+    g = {i: gram_hashes(x) for i, x in rows.items()}
+    want = {i: max(jaccard(g[i], g[j]) for j in rows if j % 2 == 0) for i in rows if i % 2}
+    assert all(got[i] == w for i, w in want.items() if w >= 0.5)
+
+
+def test_knn_copies_a_query_once_a_block_not_once_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frames = [spark.createDataFrame([(i, x[i].tolist()) for i in range(s, 400, 2)], "id bigint, vec array<float>") for s in (1, 0)]
+    counts = {}
+
+    def counted(df, tag, keep=vec.stored):
+        out = keep(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(vec, "stored", counted)
+    assert vec.knn(*frames, 5).count() == 1000 and counts["routed"] == 200  # all references are one block
+
+
+def test_homoglyphs_see_chosen_texts_only(spark):
+    df = spark.createDataFrame([(1, 1, "apex"), (2, 0, "apex"), (3, 1, None)], "id long, label long, text string")
+    plan = c.with_variants(df, "text", F.col("label") == 1)
+    assert sorted((r.id, r.variant) for r in plan.collect()) == sorted([(i, v) for i in (1, 3) for v in ("original", "b64", "rot13", "homoglyph")] + [(2, "original")])
+    assert "CASE WHEN (label" in plan._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].split("\n")[1]
+
+
+def test_texts_of_attack_cross_do_not_move(spark):
+    carriers = spark.createDataFrame([("s", "a {injection_x} b", "injection_x")], "suite string, carrier string, vector string")
+    plan = c.attack_cross(carriers, ["g"], {"plain": "{goal}"}, 1)
+    assert [r.text for r in plan.collect()] == ["a g b"]
+    assert not any("hashpartitioning(suite" in x and "text" in x.lower() for x in plan._jdf.queryExecution().sparkPlan().toString().split("\n"))
+
+
+def test_slots_are_filled_from_one_copy_of_the_text(spark):
+    x = t.fill_slots(F.concat(F.col("text"), F.lit(" {injection_1}")), F.lit("P"))
+    df = spark.createDataFrame([("a{b}",)], "text string").select(x.alias("y"))
+    assert df.collect()[0].y == "a<b> P" and df._jdf.queryExecution().optimizedPlan().toString().count("concat(text") == 1

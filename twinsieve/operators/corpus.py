@@ -51,7 +51,7 @@ def with_variants(df: DataFrame, text: str, chosen: Column) -> DataFrame:
     coded = [
         F.struct(F.lit("b64").alias("variant"), t.base64_text(body).alias("body")),
         F.struct(F.lit("rot13").alias("variant"), t.rot13(body).alias("body")),
-        F.struct(F.lit("homoglyph").alias("variant"), t.homoglyph(body).alias("body")),
+        F.struct(F.lit("homoglyph").alias("variant"), t.homoglyph(F.when(chosen, body)).alias("body")),  # Python sees no other text
     ]
     forms = F.when(chosen, F.array(plain, *coded)).otherwise(F.array(plain))
     rest = [c for c in df.columns if c != text]
