@@ -276,14 +276,14 @@ def test_homoglyphs_see_chosen_texts_only(spark):
     df = spark.createDataFrame([(1, 1, "apex"), (2, 0, "apex"), (3, 1, None)], "id long, label long, text string")
     plan = c.with_variants(df, "text", F.col("label") == 1)
     assert sorted((r.id, r.variant) for r in plan.collect()) == sorted([(i, v) for i in (1, 3) for v in ("original", "b64", "rot13", "homoglyph")] + [(2, "original")])
-    assert "CASE WHEN (label" in plan._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].split("\n")[1]
+    assert "CASE WHEN (label" in plan._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].split("\n")[0]
 
 
 def test_texts_of_attack_cross_do_not_move(spark):
     carriers = spark.createDataFrame([("s", "a {injection_x} b", "injection_x")], "suite string, carrier string, vector string")
     plan = c.attack_cross(carriers, ["g"], {"plain": "{goal}"}, 1)
     assert [r.text for r in plan.collect()] == ["a g b"]
-    assert not any("hashpartitioning(suite" in x and "text" in x.lower() for x in plan._jdf.queryExecution().sparkPlan().toString().split("\n"))
+    assert not re.search(r"Aggregate \[[^\]]*\btext#", plan._jdf.queryExecution().optimizedPlan().toString())
 
 
 def test_slots_are_filled_from_one_copy_of_the_text(spark):
