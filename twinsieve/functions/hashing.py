@@ -6,8 +6,11 @@ the rows are laid out, so a lost task that is run again draws the same values.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +61,93 @@ def poisson1(digest: str, lane: Column) -> Column:
     for n, p in enumerate(POISSON1[1:], 1):
         count = count.when(x < step(p), n)
     return count.otherwise(len(POISSON1)).cast("long")
+
+
+_BATCH = 1 << 14  # digests made at once, so that they stay in the cache
+_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_STEPS = [np.uint32(math.ceil(p * U32 - 0.5)) for p in POISSON1]
+
+
+def _md5(words: Sequence[np.ndarray | int], n: int) -> list[np.ndarray]:
+    """MD5 of ``n`` messages of one block each, word by word: a digest by itself costs a call, and a row has hundreds."""
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
+    f, low = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            at = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            at = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            at = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            at = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        word, added = words[at], _ADDED[i]
+        if isinstance(word, int):
+            added = (added + word) % 2**32
+        else:
+            f += word
+        f += np.uint32(added)
+        np.left_shift(f, np.uint32(_TURNS[i]), out=low)
+        f >>= np.uint32(32 - _TURNS[i])
+        f |= low
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return [x + np.uint32(s) for x, s in zip((a, b, c, d), _START)]
+
+
+def draws_in(seed: int, groups: int, keys: Sequence[bytes | None]) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """The draws of ``draws_of`` for all groups of a batch of keys: some groups, and four arrays (groups, keys) of 32 bits."""
+    n = len(keys)
+    tails = [b"" if k is None else b":" + k for k in keys]  # a key that is null is left out of the text
+    heads = [f"{seed}:{g}".encode() for g in range(groups)]
+    sizes = np.array([len(x) for x in tails])
+    longer = np.flatnonzero(sizes + max(map(len, heads)) > 55).tolist()  # more than one block
+    if longer:
+        sizes[longer] = 0
+    flat = np.array([b"" if 0 == s else x for s, x in zip(sizes.tolist(), tails)], "S56").view(np.uint8).reshape(n, 56)
+    at_once, g = max(1, _BATCH // n), 0
+    while g < groups:
+        size = len(heads[g])
+        end = min(g + at_once, groups)
+        some = [h for h in heads[g:end] if len(h) == size]
+        m = len(some)
+        if not g or size != len(heads[g - 1]):  # the words of the keys are the same for all heads of one size
+            text = np.zeros((n, 64), np.uint8)
+            text[:, size:56] = flat[:, : 56 - size]
+            text[np.arange(n), size + sizes] = 0x80
+            base = np.ascontiguousarray(text.view("<u4").T)
+            base[14] = 8 * (size + sizes)
+            base = [w if w.any() else 0 for w in base]
+        words: list[np.ndarray | int] = [w if isinstance(w, int) else np.tile(w, m) for w in base]
+        head = np.array(some, f"S{-(-size // 4) * 4}").view("<u4").reshape(m, -1)
+        for i in range(head.shape[1]):
+            words[i] = words[i] | np.repeat(head[:, i], n)
+        out = [x.byteswap().reshape(m, n) for x in _md5(words, m * n)]
+        for i in longer:
+            for k, h in enumerate(some):
+                for x, v in zip(out, np.frombuffer(hashlib.md5(h + tails[i], usedforsecurity=False).digest(), ">u4")):
+                    x[k, i] = v
+        yield slice(g, g + m), out
+        g += m
+
+
+def poisson1_in(x: np.ndarray) -> np.ndarray:
+    """The counts of ``poisson1`` for an array of draws."""
+    count = np.zeros(x.shape, np.uint8)
+    for step in _STEPS:
+        count += x >= step
+    return count
