@@ -64,3 +64,15 @@ def test_rates_of_many_and_of_tied_scores(spark, tied):
         both = esc[int(np.ceil((len(esc) - 1) * (1 - min(1.0, 0.01 * len(benign) / len(esc)))))]
         assert got[rep].stage2_dr == pytest.approx((ss[yy == 1] > alone).mean())
         assert got[rep].cascade_tpr == pytest.approx(((ss > both) & (pp < 0.7))[yy == 1].mean())
+
+
+def test_reports_make_no_digest_a_row_and_replicate_in_expressions(spark, monkeypatch):
+    """The bootstrap inside ``indist_report`` is the operator's."""
+    from twinsieve.plans import cost
+
+    def never(*_):
+        raise AssertionError("a digest for every row and replicate in Spark's expressions")
+
+    monkeypatch.setattr(b, "draws_of", never)
+    df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("label"), (F.col("id") * 37 % 101 / 101).alias("p1"), (F.col("id") * 53 % 97 / 97).alias("s2"))
+    assert cost.b.gap(df, "row_id", 0.7, n=12).first().n_boot == 12
