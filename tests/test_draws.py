@@ -76,3 +76,23 @@ def test_reports_make_no_digest_a_row_and_replicate_in_expressions(spark, monkey
     monkeypatch.setattr(b, "draws_of", never)
     df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("label"), (F.col("id") * 37 % 101 / 101).alias("p1"), (F.col("id") * 53 % 97 / 97).alias("s2"))
     assert cost.b.gap(df, "row_id", 0.7, n=12).first().n_boot == 12
+
+
+def test_report_sketches_its_second_score_once_and_equals_its_sql(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.check import rows_of
+    from twinsieve.operators import ranks
+
+    i = F.col("id")
+    kinds = F.array(*[F.lit(x) for x in ("view", "error", "click")])
+    spark.range(1500).select(i.alias("event_id"), (i * 7 % 59).alias("user_id"), F.element_at(kinds, (i * 11 % 3 + 1).cast("int")).alias("event_type"), (i * 13 % 101 / 4).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    seen, sketch = [], ranks._cuts_and_groups
+    monkeypatch.setattr(ranks, "_cuts_and_groups", lambda df, value, keys: seen.append(value) or sketch(df, value, keys))
+    df = entry.queries()["indist_report"](spark, str(tmp_path))
+    assert "s2" not in seen, "a branch of the report cuts the score again"
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    rel = con.execute(entry.oracle_sql()["indist_report"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in rel.description], rel.fetchall())

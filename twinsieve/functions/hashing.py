@@ -63,17 +63,20 @@ def poisson1(digest: str, lane: Column) -> Column:
     return count.otherwise(len(POISSON1)).cast("long")
 
 
-_BATCH = 1 << 14  # digests made at once, so that they stay in the cache
+_BATCH = 1 << 15  # digests made at once, so that they stay in the cache
 _ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 _STEPS = [np.uint32(math.ceil(p * U32 - 0.5)) for p in POISSON1]
 
 
-def _md5(words: Sequence[np.ndarray | int], n: int) -> list[np.ndarray]:
-    """MD5 of ``n`` messages of one block each, word by word: a digest by itself costs a call, and a row has hundreds."""
-    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
-    f, low = np.empty(n, np.uint32), np.empty(n, np.uint32)
+def _md5(words: Sequence[np.ndarray | int], shape: tuple[int, int]) -> list[np.ndarray]:
+    """MD5 of messages of one block each, word by word: a digest by itself costs a call, and a row has hundreds.
+
+    A word that is the same along a side of ``shape`` is given once: as a number, a row or a column.
+    """
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _START)
+    f, low = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
     for i in range(64):
         if i < 16:
             at = i
@@ -95,12 +98,8 @@ def _md5(words: Sequence[np.ndarray | int], n: int) -> list[np.ndarray]:
             f |= b
             f ^= c
         f += a
-        word, added = words[at], _ADDED[i]
-        if isinstance(word, int):
-            added = (added + word) % 2**32
-        else:
-            f += word
-        f += np.uint32(added)
+        word = words[at]
+        f += np.uint32((_ADDED[i] + word) % 2**32) if isinstance(word, int) else word + np.uint32(_ADDED[i])
         np.left_shift(f, np.uint32(_TURNS[i]), out=low)
         f >>= np.uint32(32 - _TURNS[i])
         f |= low
@@ -132,11 +131,11 @@ def draws_in(seed: int, groups: int, keys: Sequence[bytes | None]) -> Iterator[t
             base = np.ascontiguousarray(text.view("<u4").T)
             base[14] = 8 * (size + sizes)
             base = [w if w.any() else 0 for w in base]
-        words: list[np.ndarray | int] = [w if isinstance(w, int) else np.tile(w, m) for w in base]
+        words: list[np.ndarray | int] = list(base)
         head = np.array(some, f"S{-(-size // 4) * 4}").view("<u4").reshape(m, -1)
         for i in range(head.shape[1]):
-            words[i] = words[i] | np.repeat(head[:, i], n)
-        out = [x.byteswap().reshape(m, n) for x in _md5(words, m * n)]
+            words[i] = words[i] | head[:, i : i + 1]
+        out = [x.byteswap(inplace=True) for x in _md5(words, (m, n))]
         for i in longer:
             for k, h in enumerate(some):
                 for x, v in zip(out, np.frombuffer(hashlib.md5(h + tails[i], usedforsecurity=False).digest(), ">u4")):
@@ -147,7 +146,8 @@ def draws_in(seed: int, groups: int, keys: Sequence[bytes | None]) -> Iterator[t
 
 def poisson1_in(x: np.ndarray) -> np.ndarray:
     """The counts of ``poisson1`` for an array of draws."""
-    count = np.zeros(x.shape, np.uint8)
+    count, more = np.zeros(x.shape, np.uint8), np.empty(x.shape, bool)
     for step in _STEPS:
-        count += x >= step
+        np.greater_equal(x, step, out=more)
+        count += more.view(np.uint8)
     return count

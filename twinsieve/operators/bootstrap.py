@@ -21,7 +21,7 @@ from twinsieve.operators.ranks import BUCKET, bucket_count, bucket_holds, cut_po
 from twinsieve.sources.readers import stored
 
 LANES = 4  # replicates that share a digest
-ROWS = 8192  # rows drawn for at once
+ROWS = 10_000  # rows drawn for at once; an Arrow batch of Spark has as many
 MOST_BUCKETS = 256  # score buckets of a pass: rows near the thresholds are cut again, so finer ones only cost sums
 WIDE = "_wide"  # such a bucket; BUCKET is a finer one
 
@@ -67,13 +67,14 @@ def replicate_sums(df: DataFrame, key: str, n: int, seed: int, values: Mapping[s
                 first = np.append(0, np.flatnonzero(np.diff(number[order])) + 1)
                 b = b.take(pa.array(order))
                 value = {c: b.column(f"_{c}").fill_null(0).to_numpy(zero_copy_only=False) for c in names}
+                one = {c: whole[c] and bool((value[c] == 1).all()) for c in names}  # without copies the counts are the products
                 known = {c: np.add.reduceat(b.column(f"_{c}").is_valid().to_numpy(zero_copy_only=False).astype(np.int64), first) > 0 for c in names}
                 sums = {c: np.zeros((len(first), lanes * LANES), value[c].dtype) for c in names}
                 for some, draws in draws_in(seed, lanes, b.column("_key").to_pylist()):
                     for lane, x in enumerate(draws):
                         w = poisson1_in(x)
                         for c in names:
-                            sums[c][:, some.start * LANES + lane: some.stop * LANES: LANES] = np.add.reduceat(w * value[c], first, axis=1).T
+                            sums[c][:, some.start * LANES + lane: some.stop * LANES: LANES] = np.add.reduceat(w if one[c] else w * value[c], first, axis=1, dtype=value[c].dtype).T
                 spots = pa.array(np.arange(0, len(first) + 1, dtype=np.int32) * np.int32(n))
                 out = [pa.ListArray.from_arrays(spots, pa.array(np.ascontiguousarray(sums[c][:, :n]).ravel()), mask=pa.array(~known[c])) for c in names]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(first)) for c in keys], *out], [*keys, *[f"_{c}" for c in names]])

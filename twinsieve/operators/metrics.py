@@ -150,9 +150,9 @@ def ece(df: DataFrame, conf: str, keys: Sequence[str] = (), bins: int = 10, name
     return b.groupBy(*keys).agg(F.try_divide(F.sum(gap), F.sum("n").cast("double")).alias(name))
 
 
-def auroc(df: DataFrame, score: str, keys: Sequence[str] = (), name: str = "auroc") -> DataFrame:
+def auroc(df: DataFrame, score: str, keys: Sequence[str] = (), name: str = "auroc", cuts: Sequence[float] | None = None) -> DataFrame:
     """Mann-Whitney area with ties counted half; NULL when a class is missing."""
-    run = running(df, score, class_sums(), keys)
+    run = running(df, score, class_sums(), keys, cuts=cuts)
     wins = F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))
     agg = run.groupBy(*keys).agg(
         F.sum(wins).alias("w"), F.max("pos_all").cast("double").alias("p"), F.max("neg_all").cast("double").alias("m")

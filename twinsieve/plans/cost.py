@@ -10,7 +10,7 @@ from twinsieve.operators import cascade as k
 from twinsieve.operators import cost as c
 from twinsieve.operators import metrics as m
 from twinsieve.operators import reports as rep
-from twinsieve.operators.ranks import quantiles
+from twinsieve.operators.ranks import cut_points, quantiles
 from twinsieve.plans.cascade import BOOT_GAP, MED512, N_BOOT, k1_k2, point_ctes
 from twinsieve.plans.fixture_sql import SAMPLES, SCORED, auroc_sql, dr_ctes, with_
 from twinsieve.plans.metrics import SUS, rnd, suspicious
@@ -267,14 +267,15 @@ def indist_report(spark, d):
     sk = s.agg(F.avg(F.when(F.col("label") == 0, skip)).alias("benign_skipped"), F.avg(F.when(F.col("label") == 1, skip)).alias("attacks_passed"),
                F.max(F.when(F.col("label") == 0, F.col("s2"))).alias("max_benign"), F.min(F.when(F.col("label") == 1, F.col("s2"))).alias("min_attack"))
     sk = sk.withColumn("e_ood", F.lit(OOD_SHARE) * (1 - F.col("benign_skipped")) + F.lit(1 - OOD_SHARE) * (1 - F.col("attacks_passed")))
-    pt = k.cascade_at(s, 0.7).select("e", "passed", "caught", "tpr", "fpr")
-    cal_pt = k.cascade_at(s.filter("split = 'cal'"), 0.7).select(*[F.col(x).alias(f"cal_{x}") for x in ("e", "tpr", "fpr")])
+    cuts = cut_points(s, "s2")  # one sketch serves all that ranks by this score
+    pt = k.cascade_at(s, 0.7, cuts=cuts).select("e", "passed", "caught", "tpr", "fpr")
+    cal_pt = k.cascade_at(s.filter("split = 'cal'"), 0.7, cuts=cuts).select(*[F.col(x).alias(f"cal_{x}") for x in ("e", "tpr", "fpr")])
     boot = b.gap(s, "row_id", 0.7, n=N_BOOT).drop("verdict")
     tokens = quantiles(s, "n_tokens", {"tokens_median": 0.5}).join(F.broadcast(s.agg(F.avg("n_tokens").alias("tokens_mean"), F.sum("label").alias("_na"))))
-    dr = m.dr_at_fpr(s, "s2", (0.01, 0.001)).agg(*[F.max(F.when(F.col("fpr_target") == f, F.col("dr"))).alias(n) for f, n in ((0.01, "dr_1pct"), (0.001, "dr_01pct"))])
+    dr = m.dr_at_fpr(s, "s2", (0.01, 0.001), cuts=cuts).agg(*[F.max(F.when(F.col("fpr_target") == f, F.col("dr"))).alias(n) for f, n in ((0.01, "dr_1pct"), (0.001, "dr_01pct"))])
     w = c.weighted_cost(c.prevalence_weights(priced(spark, d), MIXES), "k1", "k2", ["mix"]).agg(
         *[F.max(F.when(F.col("mix") == x, F.col("reduction"))).alias(f"reduction_{x}") for x in MIXES])
-    out = m.one_row(pt, sk, dr, m.auroc(s, "s2"), w, cal_pt, boot, tokens, k1_k2(spark, d))
+    out = m.one_row(pt, sk, dr, m.auroc(s, "s2", cuts=cuts), w, cal_pt, boot, tokens, k1_k2(spark, d))
     flat = lambda e: F.lit(1.0) - (F.col("k1") + e * F.col("k2")) / F.col("k2")
     out = out.withColumns({"missed_total": F.col("_na") - F.col("caught"), "reduction_512": flat(F.col("e")), "reduction_512_ood": flat(F.col("e_ood"))}).drop("_na", "caught", "k1", "k2")
     return rnd(out, *[x for x in out.columns if x not in ("passed", "missed_total", "n_boot", "tokens_median")])
